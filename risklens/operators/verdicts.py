@@ -45,7 +45,9 @@ def clamp_score(value: Column) -> Column:
         .when(kind.isin("STRING", "VOID") | F.rlike(kind, F.lit("^(ARRAY|OBJECT)")), F.lit(None).cast("double"))
         .otherwise(F.try_variant_get(value, "$", "double"))
     )
-    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number))).cast("int")
+    # least and greatest skip nulls, so an unreadable value is kept out of them
+    clamped = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(10.0), number))).cast("int")
+    return F.when(number.isNotNull(), clamped)
 
 
 def parse_verdict(df: DataFrame, col: str = "reply", compat: bool = True) -> DataFrame:
