@@ -28,41 +28,46 @@ def dependents(edges: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select("project_name", "dst", "src").distinct()
 
 
-def dependencies(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def dependencies(edges: DataFrame, roots: DataFrame, depth: int, order: bool = True) -> DataFrame:
     """Files reachable in at most ``depth`` steps: (root, dst, level, order).
 
     A file appears once per root, at its lowest level; the root itself is left
     out.  ``order`` sorts a level the way a queue would visit it: the import
-    places along the way, compared element by element.  One join and one
-    map-side combined aggregate per round; from the second round on the found
-    rows are written out, so the plan does not double with every step.
+    places along the way, compared element by element; ``order=False`` leaves
+    that column and its cost out.  One join and one map-side combined aggregate
+    per round; rounds that are read again are written out, so the plan does not
+    double with every step.
     """
-    steps = edges.select(
-        "project_name", "src", F.col("dst").alias("_next"), F.array("stmt_seq", "pos").alias("_place")
-    )
+    place = F.array("stmt_seq", "pos") if order else F.array().cast("array<bigint>")
+    steps = edges.select("project_name", "src", F.col("dst").alias("_next"), place.alias("_place"))
+    if not order:
+        # repeated imports of a file add nothing: fewer rows to join
+        steps = steps.drop("_place").distinct()
+    kept = ["order"] if order else []
     start = roots.select("project_name", "root").distinct()
-    frontier = start.select("*", F.col("root").alias("dst"), F.array().cast("array<bigint>").alias("order"))
+    frontier = start.select("*", F.col("root").alias("dst"), *[
+        F.array().cast("array<bigint>").alias(c) for c in kept
+    ])
     seen = start.select("project_name", "root", F.col("root").alias("dst"))
-    found: DataFrame | None = None
+    found = seen.limit(0).select(
+        *NODE, F.lit(0).cast("bigint").alias("level"), *[F.array().cast("array<bigint>").alias(c) for c in kept]
+    )
     for level in range(1, depth + 1):
         reached = frontier.join(
             steps, (frontier["project_name"] == steps["project_name"]) & (frontier["dst"] == steps["src"])
         ).select(
-            frontier["project_name"], "root", F.col("_next").alias("dst"), F.concat("order", "_place").alias("order")
-        )
-        nearest = reached.groupBy(*NODE).agg(F.min("order").alias("order"))
-        fresh = nearest.join(seen, NODE, "left_anti").select(
-            *NODE, F.lit(level).cast("bigint").alias("level"), "order"
+            frontier["project_name"], "root", F.col("_next").alias("dst"),
+            *[F.concat("order", "_place").alias(c) for c in kept],
         )
+        nearest = reached.groupBy(*NODE).agg(F.min("order").alias("order")) if order else reached.distinct()
+        fresh = nearest.join(seen, NODE, "left_anti").select(*NODE, F.lit(level).cast("bigint").alias("level"), *kept)
         if level < depth:
             fresh = materialize(fresh, "round")
             if level > 1 and fresh.isEmpty():
                 break
             seen = seen.unionByName(fresh.select(*NODE))
             frontier = fresh.drop("level")
-        found = fresh if found is None else found.unionByName(fresh)
-    if found is None:
-        return seen.limit(0).select("*", F.lit(0).cast("bigint").alias("level"), F.array().cast("array<bigint>").alias("order"))
+        found = fresh if level == 1 else found.unionByName(fresh)
     return found
 
 

@@ -74,29 +74,33 @@ def _relative_paths() -> Column:
     )
 
 
-def _first_existing(candidates: DataFrame, paths: Column, files: DataFrame) -> DataFrame:
-    """Join candidate paths with the corpus and keep the first that exists.
+def _existing(candidates: DataFrame, paths: Column, files: DataFrame) -> DataFrame:
+    """Join candidate paths with the corpus and keep the first that exists:
+    (stmt, pos, dst), partitioned by ``stmt``, the importing statement.
 
     The paths of the corpus are unique, so a popular module is hot on one side
-    only, where the adaptive skew join splits it.  One repartitioning by
-    statement then serves this aggregate and the de-duplication of edges.
+    only, where the adaptive skew join splits it.  The statement is one struct
+    column, so that this aggregate and the one over edges share its shuffle.
     """
     asked = candidates.select(
-        "project_name", "file_path", "stmt_seq", "pos", F.posexplode(paths).alias("_rank", "_path")
-    )
-    known = files.select("project_name", F.col("file_path").alias("_path"))
-    hits = asked.join(known, ["project_name", "_path"]).repartition("project_name", "file_path", "stmt_seq")
-    return hits.groupBy("project_name", "file_path", "stmt_seq", "pos").agg(F.min_by("_path", "_rank").alias("dst"))
+        F.struct("project_name", "file_path", "stmt_seq").alias("stmt"), "pos",
+        F.posexplode(paths).alias("_rank", "_path"),
+    ).withColumn("_project", F.col("stmt.project_name"))
+    known = files.select(F.col("project_name").alias("_project"), F.col("file_path").alias("_path"))
+    hits = asked.join(known, ["_project", "_path"]).select("stmt", "pos", "_rank", "_path").repartition("stmt")
+    return hits.groupBy("stmt", "pos").agg(F.min_by("_path", "_rank").alias("dst"))
 
 
 def resolve_absolute(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """``a.b`` to ``a/b.py`` or ``a/b/__init__.py`` from the root."""
-    return _first_existing(candidates.filter(~F.startswith("module", F.lit("."))), _absolute_paths(), files)
+    absolute = candidates.filter(~F.startswith("module", F.lit(".")))
+    return _existing(absolute, _absolute_paths(), files).select("stmt.*", "pos", "dst")
 
 
 def resolve_relative(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Dotted-prefix modules against the folder of the importing file."""
-    return _first_existing(candidates.filter(F.startswith("module", F.lit("."))), _relative_paths(), files)
+    relative = candidates.filter(F.startswith("module", F.lit(".")))
+    return _existing(relative, _relative_paths(), files).select("stmt.*", "pos", "dst")
 
 
 def build_edges(files_all: DataFrame, files_indexed: DataFrame | None = None, compat: bool = False) -> DataFrame:
@@ -109,6 +113,7 @@ def build_edges(files_all: DataFrame, files_indexed: DataFrame | None = None, co
     sources = files_all if files_indexed is None else files_indexed
     asked = deny_modules(import_candidates(extract_imports(sources), compat))
     paths = F.when(F.startswith("module", F.lit(".")), _relative_paths()).otherwise(_absolute_paths())
-    found = _first_existing(asked, paths, files_all)
-    once = found.groupBy("project_name", "file_path", "stmt_seq", "dst").agg(F.min("pos").alias("pos"))
-    return once.select("project_name", F.col("file_path").alias("src"), "dst", "stmt_seq", "pos")
+    once = _existing(asked, paths, files_all).groupBy("stmt", "dst").agg(F.min("pos").alias("pos"))
+    return once.select(
+        "stmt.project_name", F.col("stmt.file_path").alias("src"), "dst", F.col("stmt.stmt_seq").alias("stmt_seq"), "pos"
+    )

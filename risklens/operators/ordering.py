@@ -37,23 +37,24 @@ def chunk_rank(
     ``lead`` must take few values (a score); ``seq`` must be an integer that is
     unique inside ``by``.
     """
-    keys = [*by, "_lead", "_chunk"]
-    marked = df.withColumn("_lead", lead if lead is not None else F.lit(0)).withColumn(
-        "_chunk", F.floor(F.col(seq) / F.lit(chunk))
+    # one struct as the key: it compares null groups as equal, and window,
+    # aggregate and join all agree on a single shuffle of the rows
+    group = F.struct(*by)
+    marked = df.withColumn("_key", F.struct(
+        group.alias("g"), (lead if lead is not None else F.lit(0)).alias("lead"),
+        F.expr(f"`{seq}` div {chunk}").alias("chunk"),
+    ))
+    before = Window.partitionBy("_key.g").orderBy(F.col("_key.lead").desc(), "_key.chunk").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    before = Window.partitionBy(*by).orderBy(F.col("_lead").desc(), "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.groupBy(*keys)
+        marked.groupBy("_key")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    local = marked.withColumn("_local", F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
-    joined = local.alias("l").join(
-        offsets.alias("o"), [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    )
-    return joined.select(
-        *[F.col(f"l.`{c}`") for c in df.columns],
-        (F.col("l._local") + F.col("o._offset")).cast("bigint").alias(out),
+    local = marked.withColumn("_local", F.row_number().over(Window.partitionBy("_key").orderBy(seq)))
+    return local.join(offsets, "_key").select(
+        *df.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias(out)
     )
 
 
@@ -75,6 +76,9 @@ def group_position(df: DataFrame, by: Sequence[str], order: Sequence[Column | st
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
+    # at most one row per group and sorted partition it touches; written, so that
+    # later reads of the result do not count again
+    starts = materialize(starts, "offsets")
     joined = stored.alias("s").join(
         starts.alias("t"), [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from risklens.functions.severity import risk_columns, severity, should_verify
 from risklens.operators.filters import effective_score
@@ -57,22 +56,14 @@ def select_for_verification(
     """Column ``selected``: rows that pass the strategy, per project at most
     ``max_n`` in input order (0 or None is no limit).
 
-    The limit needs only the sequence number of the last selected row, found with
-    a group limit below the shuffle.
+    Only passing rows are numbered; the others never leave their partition.
     """
     passing = should_verify(F.col("risk_score"), strategy)
     if not max_n:
         return df.withColumn("selected", passing)
-    window = Window.partitionBy(by).orderBy(seq)
-    within = (
-        df.filter(passing).select(by, seq).withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= max_n)
-    )
-    last = within.groupBy(by).agg(F.max(seq).alias("_last"))
-    return (
-        df.join(last, by, "left")
-        .withColumn("selected", passing & F.coalesce(F.col(seq) <= F.col("_last"), F.lit(False)))
-        .drop("_last")
-    )
+    numbered = chunk_rank(df.filter(passing), [by], seq, "_n")
+    within = numbered.withColumn("selected", F.col("_n") <= max_n).drop("_n")
+    return within.unionByName(df.filter(~passing).withColumn("selected", F.lit(False)))
 
 
 def validated(df: DataFrame, strategy: str = "smart", max_n: int | None = None) -> DataFrame:

@@ -82,7 +82,7 @@ def dep_tree(edges: DataFrame, roots: DataFrame, files: DataFrame, max_depth: in
 
 def _walked(edges: DataFrame, present: DataFrame, max_depth: int) -> DataFrame:
     """Rows below the root for any depth, one root at a time."""
-    reach = dependencies(edges, present, max_depth - 1).select("project_name", "root", F.col("dst").alias("src"))
+    reach = dependencies(edges, present, max_depth - 1, order=False).select("project_name", "root", F.col("dst").alias("src"))
     nodes = present.select("project_name", "root", F.col("root").alias("src")).unionByName(reach)
     local = nodes.join(edges, ["project_name", "src"]).select(
         "project_name", "root", "src", "dst", "stmt_seq", "pos"

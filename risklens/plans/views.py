@@ -29,11 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Write a derived table once per application and read it from then on."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than that; every row of
+    these tables turns into much work.  A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: bool = True
+) -> DataFrame:
+    """Build a derived table once per application and read it from then on.
+    ``write=False`` is for builders that already read written tables."""
     key = (spark.sparkContext.applicationId, name, sf_dir)
     if key not in _STORED:
-        _STORED[key] = materialize(build(), name)
+        _STORED[key] = materialize(build(), name) if write else build()
     return _STORED[key]
 
 
@@ -54,7 +64,7 @@ TYPES = ["SQL Injection", "Path Traversal", "Hardcoded Credentials", "Weak Hashi
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: one Python source file per part, importing three others."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
     n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n")).scalar()
     k = F.col("p_partkey")
     base = part.select(
@@ -147,12 +157,12 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = table(spark, sf_dir, "lineitem").select(*_finding_columns(), *LINE_ORDER)
         return group_position(lines, ["project_name"], LINE_ORDER, "seq").drop(*LINE_ORDER)
 
-    return stored(spark, sf_dir, "findings", build)
+    return stored(spark, sf_dir, "findings", build, write=False)
 
 
 def verdict_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4: model replies in the shapes a reply can have."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props"), "event_id")
     i = F.col("event_id") % 8
     reply = (
         F.when(i == 0, F.concat(
@@ -217,7 +227,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B7: the document table as a corpus."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
     return d.select(
         F.col("source").alias("project_name"),
         F.concat(F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".txt")).alias("file_path"),
