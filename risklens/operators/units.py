@@ -29,7 +29,7 @@ _BLOCK = (
 _TRAILING = r"(?:\n[ \t\r]*(?:#[^\n]*)?)++\z"
 # Body's first statement, or a later one at the body's indent, that is a string.
 _DOCSTRING = (
-    r"(?s)\A(?:async[ \t]+)?def\b(?>.*?:[ \t]*(?:#[^\n]*)?\n)(?>(?:[ \t]*(?:#[^\n]*)?\n)*)([ \t]+)(?=\S)"
+    r"(?s)\A(?:async[ \t]+)?def\b(?>.*?:[ \t]*(?:#[^\n]*)?\n)(?:[ \t]*(?:#[^\n]*)?\n)*+([ \t]+)(?=\S)"
     r"(?:.*?\n\1)??([rRbBuUfF]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*'))[ \t\r]*(?:#[^\n]*)?(?:\n|\z)"
 )
 _IMPORT = r"(?:import[ \t]+[\p{L}\p{N}_]|from[ \t]+(?!__future__\b)[.\p{L}\p{N}_]+[ \t]+import\b)"
@@ -75,12 +75,8 @@ def _numbered(lines: Column, header: str) -> Column:
     return F.filter(pairs, lambda p: F.rlike(p["text"], F.lit(r"(?d)^[ \t]*" + header)))
 
 
-def extract_units(files: DataFrame) -> DataFrame:
-    """All functions and classes, nested ones included, in pre-order ``pos``.
-
-    ``code`` starts at ``def``/``async``/``class`` (decorators are outside) and
-    ends with the last statement of the body.
-    """
+def _unit_arrays(files: DataFrame) -> DataFrame:
+    """Files with their units as an array in pre-order."""
     masked = files.select("*", mask_strings(F.col("content")).alias("_masked"))
     parts = masked.select(
         "project_name", "file_path", "content",
@@ -102,8 +98,16 @@ def extract_units(files: DataFrame) -> DataFrame:
             F.rtrim(F.regexp_replace(code, r"^[ \t]+", "")).alias("code"),
         )
 
-    units = F.zip_with("_heads", "_blocks", unit)
-    rows = parts.select("project_name", "file_path", F.posexplode(units).alias("pos", "u"))
+    return parts.select("project_name", "file_path", "content", F.zip_with("_heads", "_blocks", unit).alias("units"))
+
+
+def extract_units(files: DataFrame) -> DataFrame:
+    """All functions and classes, nested ones included, in pre-order ``pos``.
+
+    ``code`` starts at ``def``/``async``/``class`` (decorators are outside) and
+    ends with the last statement of the body.
+    """
+    rows = _unit_arrays(files).select("project_name", "file_path", F.posexplode("units").alias("pos", "u"))
     return rows.select("project_name", "file_path", "pos", "u.*")
 
 
@@ -156,22 +160,15 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def finding_code(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Code of the first function with the finding's name, the whole file when
-    there is none.  Files are cut to units inside their row, so only the wanted
-    text travels."""
-    units = extract_units(files).filter(F.col("node_type") == "function")
-    first = units.groupBy("project_name", "file_path", "name").agg(F.min_by("code", "pos").alias("_code"))
-    keyed = findings.join(
-        first,
-        (findings["project_name"] == first["project_name"])
-        & (findings["file"] == first["file_path"])
-        & (findings["function"] == first["name"]),
-        "left",
-    ).select(findings["*"], "_code")
-    found = keyed.filter(F.col("_code").isNotNull()).withColumnRenamed("_code", "code")
-    rest = keyed.filter(F.col("_code").isNull()).drop("_code")
-    whole = files.select(F.col("project_name").alias("_p"), F.col("file_path").alias("_f"), F.col("content").alias("code"))
-    fallback = rest.join(whole, (F.col("project_name") == F.col("_p")) & (F.col("file") == F.col("_f")), "left")
-    return found.unionByName(fallback.drop("_p", "_f"))
+    there is none.  Only files with findings travel, once, already cut to units."""
+    wanted = findings.select("project_name", F.col("file").alias("file_path")).distinct()
+    texts = _unit_arrays(files.join(wanted, ["project_name", "file_path"], "left_semi")).select(
+        "project_name", F.col("file_path").alias("file"), F.col("content").alias("_whole"),
+        F.filter("units", lambda u: u["node_type"] == "function").alias("_units"),
+    )
+    joined = findings.join(texts, ["project_name", "file"], "left")
+    named = F.filter("_units", lambda u: u["name"] == F.col("function"))
+    return joined.withColumn("code", F.coalesce(F.get(named, F.lit(0))["code"], F.col("_whole"))).drop("_whole", "_units")
 
 
 def unit_stats(files: DataFrame, findings: DataFrame) -> DataFrame:

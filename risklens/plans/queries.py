@@ -942,7 +942,7 @@ def stream_upsert(spark, d):
         delivery.write.mode("append").parquet(source)
         stream = spark.readStream.schema(index_stream.SCHEMA).parquet(source)
         index_stream.start_index_stream(stream, table, checkpoint).awaitTermination()
-    return _document_rows(index_stream.read_index(spark, table, 1))
+    return _document_rows(index_stream.read_index(spark, table))
 
 
 # ---------------------------------------------------------------- whole scan

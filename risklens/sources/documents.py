@@ -17,9 +17,17 @@ def upsert_documents(
     existing: DataFrame, incoming: DataFrame, key: str = "doc_id", order: str = "analyzed_at"
 ) -> DataFrame:
     """Latest version of every document; a tie goes to the incoming one.
-    Documents that did not come in again stay."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    return latest_by(both, [key], [F.col(order).desc(), F.col("_new").desc()]).drop("_new")
+    Documents that did not come in again stay.
+
+    Two anti joins on (key, order): against a small delivery Spark broadcasts its
+    keys, and the stored contents are filtered where they lie.  ``existing`` has
+    each key once."""
+    fresh = latest_by(incoming, [key], [F.col(order).desc()])
+    theirs = fresh.select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    kept = existing.join(theirs, (F.col(key) == F.col("_key")) & (F.col(order) <= F.col("_order")), "left_anti")
+    ours = existing.select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    accepted = fresh.join(ours, (F.col(key) == F.col("_key")) & (F.col("_order") > F.col(order)), "left_anti")
+    return kept.unionByName(accepted)
 
 
 def write_documents(df: DataFrame, path: str, buckets: int = 64) -> None:

@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from risklens.sources.documents import upsert_documents
+from risklens.operators.ordering import latest_by
 
 SCHEMA = "project_name string, file_path string, content string, analyzed_at timestamp, doc_id string"
 
 
-def read_index(spark: SparkSession, table_path: str, version: int) -> DataFrame:
-    """One version of the document table; before the first it is empty."""
-    if version < 0:
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA).parquet(f"{table_path}/version={version}")
+def read_index(spark: SparkSession, table_path: str) -> DataFrame:
+    """The document table: the latest delivered version of every document."""
+    deliveries = spark.read.schema(SCHEMA + ", batch bigint").parquet(table_path)
+    newest = [F.col("analyzed_at").desc(), F.col("batch").desc()]
+    return latest_by(deliveries, ["doc_id"], newest).drop("batch")
+
+
+def compact_index(spark: SparkSession, table_path: str, target_path: str) -> None:
+    """Write the current documents as one delivery of a new table."""
+    read_index(spark, table_path).write.parquet(f"{target_path}/batch=0")
 
 
 def start_index_stream(source: DataFrame, table_path: str, checkpoint: str, available_now: bool = True):
     """Upsert each micro-batch of file versions in the document table.
 
-    A batch reads the version before it and writes its own, so a batch that is
-    repeated after a failure gives the same table."""
-    spark = source.sparkSession
+    A batch writes only its own documents, each once, in a folder of its own:
+    the cost follows the delivery, not the table, and a batch that is repeated
+    after a failure replaces itself."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = read_index(spark, table_path, batch_id - 1)
-        upsert_documents(old, batch).write.mode("overwrite").parquet(f"{table_path}/version={batch_id}")
+        once = latest_by(batch, ["doc_id"], [F.col("analyzed_at").desc()])
+        once.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.session import new_path
+from risklens.operators.ordering import latest_by
+from risklens.session import materialize, new_path
 
 SCHEMA = (
     "session bigint, seq bigint, phase string, message string, type string, "
@@ -112,28 +113,38 @@ def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def start_session_state(stream: DataFrame, state_path: str, checkpoint: str, available_now: bool = True):
-    """Keep the state table of all sessions up to date.
+def start_session_state(
+    stream: DataFrame, state_path: str, checkpoint: str, available_now: bool = True, snapshot_every: int = 50
+):
+    """Keep the state of all sessions up to date.
 
     Each micro-batch is reduced to one row per session before it meets the
-    stored state.  A batch writes its own version of the table and reads the one
-    before it, so a repeated batch gives the same result.  Records of a session
-    must arrive in batches in their order."""
+    stored state, and writes the sessions it changed as one version; every
+    ``snapshot_every`` batches a version holds all sessions.  A batch reads only
+    earlier versions, so a repeated batch gives the same result.  Records of a
+    session must arrive in batches in their order."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = read_state(spark, state_path, batch_id - 1)
-        merge_state(old, session_state(batch)).write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+        new = session_state(batch)
+        old = read_state(spark, state_path, batch_id - 1, snapshot_every)
+        if batch_id % snapshot_every:
+            new = materialize(new, "batch-state")
+            old = old.join(new.select("session"), "session", "left_semi")
+        merge_state(old, new).write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_state(spark: SparkSession, state_path: str, version: int) -> DataFrame:
-    """One version of the state table; before the first it is empty."""
+def read_state(spark: SparkSession, state_path: str, version: int, snapshot_every: int = 50) -> DataFrame:
+    """State after batch ``version``; before the first it is empty."""
     if version < 0:
         return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(f"{state_path}/version={version}")
+    first = version - version % snapshot_every
+    paths = [f"{state_path}/version={v}" for v in range(first, version + 1)]
+    versions = spark.read.schema(STATE + ", version bigint").option("basePath", state_path).parquet(*paths)
+    return latest_by(versions, ["session"], [F.col("version").desc()]).drop("version")
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
