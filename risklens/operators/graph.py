@@ -97,7 +97,7 @@ def context_sections(files: DataFrame, edges: DataFrame, targets: DataFrame, dep
 
 
 def context_bundle(
-    files: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 1, sections_per_part: int = 4096
+    files: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 1, sections_per_part: int = 256
 ) -> DataFrame:
     """One text per target: its dependencies' contents, then its own.
 

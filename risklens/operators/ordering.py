@@ -58,15 +58,18 @@ def chunk_rank(
     )
 
 
-def group_position(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "seq") -> DataFrame:
+def group_position(
+    df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "seq", keep: Sequence[str] | None = None
+) -> DataFrame:
     """1-based position inside ``by`` under a total order, for any group size.
+    ``keep`` names the columns to carry on, by default all.
 
     The sorted table is written once, because range bounds are sampled per
     execution: numbering and offsets must see the same partitions.
     """
-    columns = df.columns
+    columns = list(keep or df.columns)
     ordered = df.orderBy(*by, *order).select(
-        *columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")
+        *dict.fromkeys([*columns, *by]), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")
     )
     stored = materialize(ordered, "sorted")
     keys = [*by, "_part"]

@@ -75,8 +75,11 @@ def _numbered(lines: Column, header: str) -> Column:
     return F.filter(pairs, lambda p: F.rlike(p["text"], F.lit(r"(?d)^[ \t]*" + header)))
 
 
-def _unit_arrays(files: DataFrame) -> DataFrame:
-    """Files with their units as an array in pre-order."""
+def _unit_arrays(files: DataFrame) -> tuple[DataFrame, Column]:
+    """Files cut to lines and blocks, and the array of their units in pre-order.
+
+    The array is handed out as an expression: exploding a column would make the
+    optimizer test its size first, and so build every array twice."""
     masked = files.select("*", mask_strings(F.col("content")).alias("_masked"))
     parts = masked.select(
         "project_name", "file_path", "content",
@@ -98,7 +101,7 @@ def _unit_arrays(files: DataFrame) -> DataFrame:
             F.rtrim(F.regexp_replace(code, r"^[ \t]+", "")).alias("code"),
         )
 
-    return parts.select("project_name", "file_path", "content", F.zip_with("_heads", "_blocks", unit).alias("units"))
+    return parts, F.zip_with("_heads", "_blocks", unit)
 
 
 def extract_units(files: DataFrame) -> DataFrame:
@@ -107,7 +110,8 @@ def extract_units(files: DataFrame) -> DataFrame:
     ``code`` starts at ``def``/``async``/``class`` (decorators are outside) and
     ends with the last statement of the body.
     """
-    rows = _unit_arrays(files).select("project_name", "file_path", F.posexplode("units").alias("pos", "u"))
+    parts, array = _unit_arrays(files)
+    rows = parts.select("project_name", "file_path", F.posexplode(array).alias("pos", "u"))
     return rows.select("project_name", "file_path", "pos", "u.*")
 
 
@@ -162,9 +166,10 @@ def finding_code(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Code of the first function with the finding's name, the whole file when
     there is none.  Only files with findings travel, once, already cut to units."""
     wanted = findings.select("project_name", F.col("file").alias("file_path")).distinct()
-    texts = _unit_arrays(files.join(wanted, ["project_name", "file_path"], "left_semi")).select(
+    parts, array = _unit_arrays(files.join(wanted, ["project_name", "file_path"], "left_semi"))
+    texts = parts.select(
         "project_name", F.col("file_path").alias("file"), F.col("content").alias("_whole"),
-        F.filter("units", lambda u: u["node_type"] == "function").alias("_units"),
+        F.filter(array, lambda u: u["node_type"] == "function").alias("_units"),
     )
     joined = findings.join(texts, ["project_name", "file"], "left")
     named = F.filter("_units", lambda u: u["name"] == F.col("function"))

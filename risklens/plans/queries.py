@@ -11,7 +11,7 @@ from risklens.functions import errors, severity as sev, text
 from risklens.operators import (
     attempts as att, filters, graph, imports, publish, reports, rules, scoring, tree, units, verdicts,
 )
-from risklens.operators.ordering import chunk_rank
+from risklens.operators.ordering import group_position
 from risklens.plans import views as V
 from risklens.session import new_path, tune
 from risklens.sources import corpus, documents, sessions
@@ -329,11 +329,16 @@ def symbols_array(spark, d):
 
 
 def _rule_findings(spark, d) -> DataFrame:
-    """Rule hits of the corpus's functions as findings."""
-    functions = units.extract_units(V.files(spark, d)).filter(F.col("node_type") == "function")
-    hits = rules.scan_rules(functions, "code")
-    return hits.select("project_name", F.col("file_path").alias("file"), F.col("name").alias("function"),
-                       "start_line", "end_line", "rule", "type", "risk_score", "vulnerable", "description")
+    """Rule hits of the corpus's functions as findings, stored once: the hits are
+    few, and queries that read them several times must not parse the corpus again."""
+
+    def build() -> DataFrame:
+        functions = units.extract_units(V.files(spark, d)).filter(F.col("node_type") == "function")
+        hits = rules.scan_rules(functions, "code")
+        return hits.select("project_name", F.col("file_path").alias("file"), F.col("name").alias("function"),
+                           "start_line", "end_line", "rule", "type", "risk_score", "vulnerable", "description")
+
+    return V.stored(spark, d, "rule_findings", build)
 
 
 @query
@@ -954,18 +959,14 @@ def scan_repository(spark, d):
     files = filters.exclude_segments(V.files(spark, d))
     functions = units.extract_units(files).filter(F.col("node_type") == "function")
     hits = rules.scan_rules(functions, "code")
-    number = F.regexp_extract("file_path", r"mod_(\d+)\.py$", 1).cast("bigint")
-    # scan order as one number: file, unit in the file, rule on the unit
-    order = {r.name: i for i, r in enumerate(rules.RULES)}
-    place = F.when(F.col("rule") == rules.RULES[0].name, 0)
-    for name, i in order.items():
-        place = place.when(F.col("rule") == name, i)
-    seq = number * 4096 + F.col("pos") * 64 + place
     found = hits.select(
         "project_name", F.col("file_path").alias("file"), F.col("name").alias("function"), "start_line", "type",
-        "risk_score", "vulnerable", sev.severity(F.col("risk_score"), "api").alias("severity"), seq.alias("seq"),
+        "risk_score", "vulnerable", sev.severity(F.col("risk_score"), "api").alias("severity"),
+        F.regexp_extract("file_path", r"mod_(\d+)\.py$", 1).cast("bigint").alias("file_no"), "pos",
+        F.array_position(F.array(*[F.lit(r.name) for r in rules.RULES]), F.col("rule")).alias("rule_no"),
     )
-    numbered = chunk_rank(found, ["project_name"], "seq", "id")
-    ranked = scoring.ranked(numbered)
+    # scan order: file, unit in the file, rule on the unit; the corpus is parsed once
+    numbered = group_position(found, ["project_name"], ["file_no", "pos", "rule_no"], "id")
+    ranked = scoring.ranked(numbered, seq="id")
     return ranked.select("project_name", "id", "rank", "file", "function", "type", "severity",
                          *_long("risk_score", "start_line"))

@@ -103,7 +103,7 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
         # one table for both sides of the self join: positions are computed once
         numbered = materialize(
-            group_position(lines, ["l_orderkey"], LINE_ORDER[1:], "pos").select("l_orderkey", "l_partkey", "pos"),
+            group_position(lines, ["l_orderkey"], LINE_ORDER[1:], "pos", keep=["l_orderkey", "l_partkey"]),
             "positions",
         )
         here, there = numbered.alias("h"), numbered.alias("t")
@@ -154,8 +154,9 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3: findings with ``seq``, their 1-based place in the project."""
 
     def build() -> DataFrame:
+        columns = finding_rows(spark, sf_dir).columns
         lines = table(spark, sf_dir, "lineitem").select(*_finding_columns(), *LINE_ORDER)
-        return group_position(lines, ["project_name"], LINE_ORDER, "seq").drop(*LINE_ORDER)
+        return group_position(lines, ["project_name"], LINE_ORDER, "seq", keep=columns)
 
     return stored(spark, sf_dir, "findings", build, write=False)
 
