@@ -362,7 +362,7 @@ def _candidates(spark, d) -> DataFrame:
     return imports.import_candidates(units.extract_imports(V.files(spark, d)))
 
 
-def _edges(spark, d) -> DataFrame:
+def corpus_edges(spark, d) -> DataFrame:
     """Edges of the corpus, stored once: graph queries read them several times."""
     return V.stored(spark, d, "edges", lambda: imports.build_edges(V.files(spark, d)))
 
@@ -423,12 +423,12 @@ def dep_bfs(spark, d):
 @query
 def dep_bfs_order(spark, d):
     """Visiting order of the corpus's own graph, three steps deep."""
-    found = graph.dependencies(_edges(spark, d), _roots(spark, d), 3)
+    found = graph.dependencies(corpus_edges(spark, d), _roots(spark, d), 3)
     return found.select("root", "dst", "level", F.array_join("order", ".").alias("visit_order"))
 
 
 def _bundles(spark, d) -> DataFrame:
-    return graph.context_bundle(V.files(spark, d), _edges(spark, d), _roots(spark, d), 1)
+    return graph.context_bundle(V.files(spark, d), corpus_edges(spark, d), _roots(spark, d), 1)
 
 
 @query
@@ -452,7 +452,7 @@ def bundle_unpack(spark, d):
 @query
 def graph_stats(spark, d):
     indexed = filters.exclude_segments(V.files(spark, d))
-    edges = _edges(spark, d).join(
+    edges = corpus_edges(spark, d).join(
         indexed.select("project_name", F.col("file_path").alias("src")), ["project_name", "src"], "left_semi"
     )
     return graph.graph_stats(indexed, edges)
@@ -470,14 +470,14 @@ def graph_isolated(spark, d):
 def dep_tree(spark, d):
     known = _roots(spark, d)
     roots = known.unionByName(known.select("project_name", F.concat("root", F.lit(".gone")).alias("root")))
-    rows = tree.dep_tree(_edges(spark, d), roots, V.files(spark, d), 2)
+    rows = tree.dep_tree(corpus_edges(spark, d), roots, V.files(spark, d), 2)
     return rows.select("root", F.array_join("path", ".").alias("place"), "depth", "node", "text")
 
 
 @query
 def dep_tree_deep(spark, d):
     """Three levels: opened at the first visit, which needs a walk per root."""
-    rows = tree.dep_tree(_edges(spark, d), _roots(spark, d), V.files(spark, d), 3)
+    rows = tree.dep_tree(corpus_edges(spark, d), _roots(spark, d), V.files(spark, d), 3)
     return rows.select("root", F.array_join("path", ".").alias("place"), "depth", "node", "text")
 
 
