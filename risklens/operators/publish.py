@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from risklens.functions.severity import severity
 from risklens.operators.filters import effective_score
+from risklens.operators.ordering import latest_by
 
 BASE_LABELS = ("security",)
 FOOTER = "*This issue was created automatically.*"
@@ -34,10 +35,13 @@ def existing_issues(df: DataFrame, state: str = "open", labels: Sequence[str] =
 def new_issues(findings: DataFrame, existing: DataFrame, within_batch: bool = False) -> DataFrame:
     """Findings whose title no existing issue has.
 
-    Findings of one batch may share a title, unless ``within_batch`` is set."""
+    Findings of one batch may share a title; with ``within_batch`` only the one
+    with the highest score is kept."""
     titled = findings.withColumn("title", issue_title())
     fresh = titled.join(existing.select("title").distinct(), "title", "left_anti")
-    return fresh.dropDuplicates(["title"]) if within_batch else fresh
+    if not within_batch:
+        return fresh
+    return latest_by(fresh, ["title"], [F.col("risk_score").desc(), F.col("file"), F.col("function")])
 
 
 def issue_labels(mode: str = "audit", base: Sequence[str] = BASE_LABELS) -> Column:

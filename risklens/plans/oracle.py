@@ -197,8 +197,7 @@ CTES["fixes"] = """SELECT finding_id, baseline_ok, baseline_ok AND fix_at IS NOT
  CASE WHEN NOT baseline_ok THEN 'Exploit doesn''t work on original code (false positive)' WHEN fix_at IS NOT NULL THEN ''
  ELSE 'Could not generate valid patch after 3 attempts' END AS error FROM fixes0"""
 CTES["versions"] = """SELECT project_name, file_path, content, '2024-01-01' AS analyzed FROM files UNION ALL
- SELECT project_name, file_path, concat(content,'# v2',chr(10)), '2024-01-02' FROM files
- WHERE CAST(regexp_extract(file_path,'mod_(\\d+)\\.py$',1) AS BIGINT)%3=0"""
+ SELECT project_name, file_path, replace(content,'md5','sha256'), '2024-01-02' FROM files WHERE contains(content,'md5')"""
 CTES["json_values"] = """SELECT event_id, CASE event_id%12 WHEN 0 THEN '8' WHEN 1 THEN '" 8 "' WHEN 2 THEN '"high"' WHEN 3 THEN 'true'
  WHEN 4 THEN 'false' WHEN 5 THEN 'null' WHEN 6 THEN '[1]' WHEN 7 THEN '"false"' WHEN 8 THEN '""' WHEN 9 THEN '-3'
  WHEN 10 THEN '"-7"' ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS raw FROM events"""

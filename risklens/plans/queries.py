@@ -71,11 +71,10 @@ def src_decode(spark, d):
 
 
 def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two deliveries of the corpus; the second changes every third file."""
+    """Two deliveries of the corpus; the second repairs every file with a weak hash."""
     first = V.files(spark, d).withColumn("analyzed_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    number = F.regexp_extract("file_path", r"mod_(\d+)\.py$", 1).cast("bigint")
-    second = V.files(spark, d).filter(number % 3 == 0).select(
-        "project_name", "file_path", F.concat("content", F.lit("# v2\n")).alias("content"),
+    second = V.files(spark, d).filter(F.contains("content", F.lit("md5"))).select(
+        "project_name", "file_path", F.replace("content", F.lit("md5"), F.lit("sha256")).alias("content"),
         F.lit("2024-01-02 00:00:00").cast("timestamp").alias("analyzed_at"),
     )
     return documents.with_doc_id(first), documents.with_doc_id(second)
