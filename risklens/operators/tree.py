@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,13 +88,13 @@ def _walked(edges: DataFrame, present: DataFrame, max_depth: int) -> DataFrame:
         "project_name", "root", "src", "dst", "stmt_seq", "pos"
     )
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = pdf["root"].iloc[0]
-        ordered = pdf.sort_values(["stmt_seq", "pos"])
-        children = {
-            src: list(zip(g["dst"], g["stmt_seq"], g["pos"])) for src, g in ordered.groupby("src", sort=False)
-        }
-        rows: list[tuple] = []
+    def walk(table: pa.Table) -> pa.Table:
+        cols = table.to_pydict()
+        root = cols["root"][0]
+        children: dict[str, list[tuple]] = {}
+        for stmt, pos, src, dst in sorted(zip(cols["stmt_seq"], cols["pos"], cols["src"], cols["dst"])):
+            children.setdefault(src, []).append((dst, stmt, pos))
+        paths, depths, nodes, texts = [], [], [], []
         opened = {root}
         stack: list[tuple[Iterator, list[int], int, str]] = [(iter(_marked(children.get(root, []))), [], 1, "")]
         while stack:
@@ -104,18 +104,23 @@ def _walked(edges: DataFrame, present: DataFrame, max_depth: int) -> DataFrame:
                 stack.pop()
                 continue
             (dst, stmt, pos), last = item
-            here = [*path, int(stmt), int(pos)]
-            rows.append((here, depth, dst, f"{indent}{'└── ' if last else '├── '}{dst}"))
+            here = [*path, stmt, pos]
+            paths.append(here)
+            depths.append(depth)
+            nodes.append(dst)
+            texts.append(f"{indent}{'└── ' if last else '├── '}{dst}")
             if depth < max_depth and dst not in opened:
                 opened.add(dst)
                 deeper = indent + ("    " if last else "│   ")
                 stack.append((iter(_marked(children.get(dst, []))), here, depth + 1, deeper))
-        out = pd.DataFrame(rows, columns=["path", "depth", "node", "text"])
-        out.insert(0, "root", root)
-        out.insert(0, "project_name", pdf["project_name"].iloc[0])
-        return out
-
-    return local.groupBy("project_name", "root").applyInPandas(walk, _SCHEMA)
+        n = len(nodes)
+        return pa.table({
+            "project_name": [cols["project_name"][0]] * n, "root": [root] * n,
+            "path": pa.array(paths, pa.list_(pa.int64())), "depth": pa.array(depths, pa.int64()),
+            "node": pa.array(nodes, pa.string()), "text": pa.array(texts, pa.string()),
+        })
+
+    return local.groupBy("project_name", "root").applyInArrow(walk, _SCHEMA)
 
 
 def _marked(items: list) -> list[tuple]:

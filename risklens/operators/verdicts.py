@@ -63,11 +63,18 @@ def parse_verdict(df: DataFrame, col: str = "reply", compat: bool = True) -> Dat
     s2 = s1.withColumn("_whole", F.try_parse_json("_text")).withColumn(
         "_group", F.regexp_extract("_text", r"(?s)\{[^}]+\}", 0)
     )
-    s3 = s2.withColumn("_v", F.coalesce("_whole", F.try_parse_json("_group")))
+    # one generated row each: a filter on the verdict must not be rewritten in
+    # terms of the reply, which would parse it once per mention
+    parsed = F.struct(
+        F.coalesce("_whole", F.try_parse_json("_group")).alias("v"),
+        (F.col("_whole").isNull() & (F.col("_group") == "")).alias("missing"),
+    )
+    s3 = s2.select(*df.columns, F.explode(F.array(parsed)).alias("_p")).select(
+        *df.columns, F.col("_p.v").alias("_v"), F.col("_p.missing").alias("_missing")
+    )
     value = {f: F.try_variant_get("_v", f"$.{f}", "variant") for f in FIELDS}
-    missing = F.col("_whole").isNull() & (F.col("_group") == "")
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
-    s4 = s3.withColumn("_object", F.coalesce(is_object, F.lit(False))).withColumn("_missing", missing)
+    s4 = s3.withColumn("_object", F.coalesce(is_object, F.lit(False)))
     s5 = s4.withColumn(
         "_score", F.when(value["risk_score"].isNull(), F.lit(0)).otherwise(clamp_score(value["risk_score"]))
     )
