@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import chat, hilbert, packing, quality
+from risklens.llm import chat, hilbert, ngram_join, packing, quality, suffix_dedup
 from risklens.session import tune
 
 
 def _over(table: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # a batch that goes to Python is also bounded when every text is long
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         return build(tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet"))
 
     return query
@@ -21,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packing.pack_query),
     "op2_quality": _over("documents", quality.quality_query),
     "op3_chat": _over("conversations", chat.chat_query),
+    "op5_suffix_dedup": _over("documents", suffix_dedup.repeats_query),
+    "op7_ngram_join": _over("documents", ngram_join.join_query),
     "op9_sharding": _over("documents", hilbert.shard_query),
 }
