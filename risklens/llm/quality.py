@@ -8,7 +8,7 @@ shuffle, no Python, linear in the text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 # Patterns both Spark and the SQL form use; only syntax that both engines share.
 SPACE = "[\\x20\\x09-\\x0D]+"
 # a line of prose ends in one of these, closing quotes and brackets included
-ENDING = "[.!?:;,…。！？\"'”’»)\\]]$"
+ENDINGS = list(".!?:;,…。！？\"'”’»)]")
 # words that are mostly marks: two or more in a row
 MARKED = "[!?#*$%&|<>=~^_+]{2,}"
 # separators of link bars
-BAR = "[|>»•·]"
+BAR_MARKS = list("|>»•·")
+BAR = f"[{''.join(BAR_MARKS)}]"
 NAVIGATION = (
     "^(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back to top|skip to (main )?content|contact us"
     "|about us|site ?map|share this|follow us|read more|comments?|tags?)([^a-z]|$)"
 )
-BOILERPLATE = (
-    "lorem ipsum|enable javascript|javascript is (required|disabled)|uses? cookies|cookie policy|privacy policy"
-    "|terms of (use|service)|all rights reserved|click here|subscribe to our|add to cart"
-)
+BOILERPLATE = [
+    "lorem ipsum", "enable javascript", "javascript is required", "javascript is disabled", "uses cookies", "use cookies",
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here",
+    "subscribe to our", "add to cart",
+]
 
 
 @dataclass(frozen=True)
@@ -54,12 +56,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def _has_word(line: Column) -> Column:
-    return F.length(_squeezed(line)) > 0
-
-
-def _squeezed(text: Column) -> Column:
-    return F.translate(text, " \t\n\x0b\x0c\r", "")
+def _solid(text: Column) -> Column:
+    """Number of characters that are not white space."""
+    return F.length(F.regexp_replace(text, SPACE, ""))
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -67,24 +66,31 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.size(F.split(text, pattern)) - 1
 
 
-def line_passes(line: Column, rules: LineRules) -> Column:
-    """Whether a line with a word passes all line rules."""
+def _any(text: Column, phrases: Sequence[str]) -> Column:
+    found = text.contains(phrases[0])
+    for p in phrases[1:]:
+        found = found | text.contains(p)
+    return found
+
+
+def line_passes(line: Column, suspects: Column, rules: LineRules) -> Column:
+    """Whether a line with a word passes all line rules.
+
+    ``suspects`` says of the whole text whether boilerplate phrases, runs of marks and
+    separators occur in it at all; lines are only searched for what does."""
 
     def judged(bare: Column) -> Column:
-        words = _matches(bare, SPACE) + 1
         lowered = F.lower(bare)
-        marked = _matches(bare, MARKED)
-        navigation = (words <= rules.short_words) & (
-            lowered.rlike(NAVIGATION) | (_matches(bare, BAR) >= rules.bar_marks)
-        )
-        return (
-            bare.rlike(ENDING)
-            & (marked * 100 <= words * rules.marked_pct)
-            & ~navigation
-            & ~lowered.rlike(BOILERPLATE)
-        )
+        short = _matches(bare, SPACE) < rules.short_words
+        bar = F.when(suspects["bars"], _matches(bare, BAR) >= rules.bar_marks).otherwise(False)
+        navigation = (bar | lowered.rlike(NAVIGATION)) & short
+        marked = F.when(
+            suspects["marks"], _matches(bare, MARKED) * 100 > (_matches(bare, SPACE) + 1) * rules.marked_pct
+        ).otherwise(False)
+        phrase = F.when(suspects["phrases"], _any(lowered, BOILERPLATE)).otherwise(False)
+        return F.right(bare, F.lit(1)).isin(*ENDINGS) & ~marked & ~navigation & ~phrase
 
-    return _let(F.regexp_replace(line, f"^{SPACE}|{SPACE}$", ""), judged)
+    return _let(F.trim(line, F.lit(" \t\n\x0b\x0c\r")), judged)
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -96,10 +102,11 @@ def repeated_words(words: Column, window: int) -> Column:
     """
 
     def keyed(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.size(w) - window),
-            lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(window)]),
-        )
+        hashes = F.transform(w, lambda x: F.xxhash64(x))
+        return _let(hashes, lambda h: F.slice(
+            F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)])),
+            1, F.size(w) - (window - 1),
+        ))
 
     def places(keys: Column) -> Column:
         pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -130,16 +137,20 @@ def line_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
+    def suspects(t: Column) -> Column:
+        return _let(F.lower(t), lambda low: F.struct(
+            _any(low, BOILERPLATE).alias("phrases"), t.rlike(MARKED).alias("marks"), _any(t, BAR_MARKS).alias("bars"),
+        ))
+
     def judged(t: Column, words: Column, lines: Column) -> Column:
         n_words = F.size(words).cast("bigint")
-        squeezed = _squeezed(t)
-        solid = F.filter(lines, _has_word)
-        good = F.filter(lines, lambda x: ~_has_word(x) | line_passes(x, rules))
+        solid = F.filter(lines, lambda x: x.rlike(f"[^{SPACE[1:-2]}]"))
+        good = _let(suspects(t), lambda u: F.filter(lines, lambda x: ~x.rlike(f"[^{SPACE[1:-2]}]") | line_passes(x, u, rules)))
         return _let(
             F.struct(
                 n_words.alias("n_words"),
-                F.length(squeezed).cast("bigint").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+                _solid(t).cast("bigint").alias("word_chars"),
+                _matches(t, "[#*$%&|<>]").cast("bigint").alias("n_symbols"),
                 repeated_words(words, rules.window).alias("n_repeat_words"),
                 F.size(lines).cast("bigint").alias("n_lines"),
                 solid.alias("solid"),
@@ -150,7 +161,9 @@ def line_quality(df: DataFrame, text: str = "text", rules: LineRules = LineRules
                     ((s["n_words"] < rules.min_words) | (s["n_repeat_words"] * 100 > s["n_words"] * rules.max_repeat_pct)).alias("failed"),
                     F.array_join(s["good"], "\n").alias("clean"),
                 ),
-                lambda v: _let(F.length(_squeezed(v["clean"])).cast("bigint"), lambda left: F.struct(
+                lambda v: _let(F.when(
+                    F.size(s["good"]) == s["n_lines"], s["word_chars"]
+                ).otherwise(_solid(v["clean"])), lambda left: F.struct(
                     s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"),
                     (F.size(s["solid"]) - F.size(F.array_distinct(s["solid"]))).cast("bigint").alias("n_dup_lines"),
                     s["n_repeat_words"].alias("n_repeat_words"), v["failed"].alias("base_failed"),

@@ -2,7 +2,7 @@ import re
 from collections import defaultdict
 
 from risklens.llm.quality import LineRules, line_quality, quality_query, quality_stage
-from risklens.llm.quality import BAR, BOILERPLATE, ENDING, MARKED, NAVIGATION
+from risklens.llm.quality import BAR, BOILERPLATE, ENDINGS, MARKED, NAVIGATION
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -25,7 +25,7 @@ def brute(text, rules=LineRules()):
         bare = line.strip(" \t\n\r\x0b\x0c")
         n, low = len(WORD.findall(bare)), bare.lower()
         nav = n <= rules.short_words and (re.search(NAVIGATION, low) or len(re.findall(BAR, bare)) >= rules.bar_marks)
-        return bool(re.search(ENDING, bare)) and len(re.findall(MARKED, bare)) * 100 <= n * rules.marked_pct and not nav and not re.search(BOILERPLATE, low)
+        return bare[-1] in ENDINGS and len(re.findall(MARKED, bare)) * 100 <= n * rules.marked_pct and not nav and not any(p in low for p in BOILERPLATE)
 
     chars = sum(map(len, words))
     left = sum(len(w) for x in lines if good(x) for w in WORD.findall(x))
