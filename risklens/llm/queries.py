@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import chat, hilbert, ngram_join, packing, quality, suffix_dedup
+from risklens.llm import chat, hilbert, line_dedup, ngram_join, packing, quality, suffix_dedup
 from risklens.session import tune
 
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packing.pack_query),
     "op2_quality": _over("documents", quality.quality_query),
     "op3_chat": _over("conversations", chat.chat_query),
+    "op4_line_dedup": _over("documents", line_dedup.lines_query),
     "op5_suffix_dedup": _over("documents", suffix_dedup.repeats_query),
     "op7_ngram_join": _over("documents", ngram_join.join_query),
     "op9_sharding": _over("documents", hilbert.shard_query),
