@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import chat, hilbert, line_dedup, ngram_join, packing, quality, suffix_dedup
+from risklens.llm import ann, chat, hilbert, licences, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup
 from risklens.session import tune
 
 
@@ -19,12 +19,20 @@ def _over(table: str, build: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
     return query
 
 
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return _over("documents", lambda docs: mixing.mix_query(docs, labels))(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packing.pack_query),
     "op2_quality": _over("documents", quality.quality_query),
     "op3_chat": _over("conversations", chat.chat_query),
     "op4_line_dedup": _over("documents", line_dedup.lines_query),
     "op5_suffix_dedup": _over("documents", suffix_dedup.repeats_query),
+    "op6_mixing": _mixing,
     "op7_ngram_join": _over("documents", ngram_join.join_query),
+    "op8_ann": _over("embeddings", ann.ann_query),
     "op9_sharding": _over("documents", hilbert.shard_query),
+    "op10_licences": _over("documents", licences.licence_query),
 }
