@@ -80,12 +80,16 @@ def should_verify(score: Column, strategy: str = "smart") -> Column:
     return score >= {"critical": 8, "demo": 6}.get(strategy, 7)
 
 
+# What a run prints about its own outcome.
+SUCCESS_MARKER = "exploit_success"
+FAILURE_MARKER = "exploit_failed"
+
 # Substrings of output that count as proof.
 INDICATORS = ["uid=", "root:", "etc/passwd", "<script>", "<!entity"]
 
 
 def outcome_reason(
-    stdout: Column, exit_code: Column, success: str = "check_success", failure: str = "check_failed",
+    stdout: Column, exit_code: Column, success: str = SUCCESS_MARKER, failure: str = FAILURE_MARKER,
     indicators: list[str] | None = None,
 ) -> Column:
     """Name of the first rule that decides an execution's outcome."""

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from risklens.functions.severity import outcome_ok, outcome_reason
+from risklens.functions.severity import FAILURE_MARKER, SUCCESS_MARKER, outcome_ok, outcome_reason
 from risklens.functions.text import truncated
 
 MAX_ATTEMPTS = 3
 
 
-def classify_outcome(attempts: DataFrame, success: str = "check_success", failure: str = "check_failed",
+def classify_outcome(attempts: DataFrame, success: str = SUCCESS_MARKER, failure: str = FAILURE_MARKER,
                      indicators: list[str] | None = None) -> DataFrame:
     """Columns ``reason`` (the rule that decided) and ``ok``."""
     reason = outcome_reason(F.col("stdout"), F.col("exit_code"), success, failure, indicators)

@@ -96,36 +96,31 @@ def context_sections(files: DataFrame, edges: DataFrame, targets: DataFrame, dep
     )
 
 
-def context_bundle(
-    files: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 1, sections_per_part: int = 256
-) -> DataFrame:
+def context_bundle(files: DataFrame, edges: DataFrame, targets: DataFrame, depth: int = 1) -> DataFrame:
     """One text per target: its dependencies' contents, then its own.
 
-    A target with more than ``sections_per_part`` sections gets further rows with
-    ``part`` 1, 2, ...; the parts in order are the bundle.  A target without any
-    content gives no row.
+    One value per target by definition, so it is as large as what the target
+    imports; :func:`context_sections` has the same as rows.  A target without
+    any content gives no row.
     """
     sections = context_sections(files, edges, targets, depth)
     head = F.concat(F.lit("=== "), F.col("kind"), F.lit(": "), F.col("path"), F.lit(" ===\n"), F.col("content"))
     text = F.when(F.col("kind") == "Context", F.concat(head, F.lit("\n\n"))).otherwise(head)
-    part = F.floor((F.col("section") - 1) / sections_per_part)
-    gathered = sections.select("project_name", "root", part.alias("part"), "section", text.alias("text")).groupBy(
-        "project_name", "root", "part"
-    ).agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("_s"))
-    return gathered.select(
-        "project_name", "root", "part", F.array_join(F.col("_s.text"), "").alias("bundle")
+    gathered = sections.select("project_name", "root", "section", text.alias("text")).groupBy("project_name", "root").agg(
+        F.array_sort(F.collect_list(F.struct("section", "text"))).alias("_s")
     )
+    return gathered.select("project_name", "root", F.array_join(F.col("_s.text"), "").alias("bundle"))
 
 
 def finding_context(findings: DataFrame, bundles: DataFrame, files: DataFrame) -> DataFrame:
-    """Bundle of each finding's file, one row per part, or the bare file where
-    there is none."""
-    text = bundles.select("project_name", F.col("root").alias("file"), "part", "bundle")
+    """Bundle of each finding's file, or the bare file where there is none."""
+    text = bundles.select("project_name", F.col("root").alias("file"), "bundle")
     bare = files.select("project_name", F.col("file_path").alias("file"), "content")
     both = findings.join(text, ["project_name", "file"], "left").join(bare, ["project_name", "file"], "left")
     return both.withColumn("context", F.coalesce(F.nullif("bundle", F.lit("")), "content")).drop("bundle", "content")
 
 
+# Fixed value: the heading of a section.
 _SECTION = r"===\s*(Context|Target):\s*(.+?)\s*===\s*\n"
 
 

@@ -159,21 +159,21 @@ def resolve_tiers(tiers: DataFrame, key: str, names: Sequence[str] = ("primary",
     """First successful reply per key over rows (key, tier, ok, reply, error).
 
     ``tier`` is the one used, ``switches`` the failed tiers before it; when all
-    fail ``error`` lists every tier's error in order.  Tiers are few, so each
-    error is an aggregate of its own and nothing is gathered in lists.
+    fail ``error`` lists every tier's error in order.  Any number of tiers; those
+    beyond ``names`` go by their number.  A key's list holds one error per tier.
     """
     at = F.when(F.col("ok"), F.col("tier"))
-    errors = [
-        F.max(F.when(F.col("tier") == i, F.col("error"))).alias(f"_e{i}") for i in range(1, len(names) + 1)
-    ]
     best = tiers.groupBy(key).agg(
         F.min(at).alias("tier"), F.min_by("reply", at).alias("reply"),
-        F.min(at).alias("_first"), F.max("tier").alias("_tiers"), *errors,
+        F.min(at).alias("_first"), F.max("tier").alias("_tiers"),
+        F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.struct("tier", "error")))).alias("_errors"),
     )
-    text = F.concat(F.lit("All tiers failed."), *[
-        F.when(F.col(f"_e{i}").isNotNull(), F.concat(F.lit(f" Tier {i} ({name}): "), F.col(f"_e{i}"), F.lit(".")))
-        .otherwise("") for i, name in enumerate(names, 1)
-    ])
+    named = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    lines = F.transform("_errors", lambda e: F.concat(
+        F.lit(" Tier "), e["tier"], F.lit(" ("), F.coalesce(F.get(named, e["tier"] - 1), F.concat(F.lit("tier "), e["tier"])),
+        F.lit("): "), e["error"], F.lit("."),
+    ))
+    text = F.concat(F.lit("All tiers failed."), F.array_join(lines, ""))
     return best.select(
         key, "tier", "reply",
         F.coalesce(F.col("_first") - 1, F.col("_tiers")).cast("bigint").alias("switches"),

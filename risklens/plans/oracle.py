@@ -48,7 +48,7 @@ CTES["verdict_raw"] = """SELECT event_id, CASE event_id%8
  ELSE '{"vulnerable": true, "risk_score": "high", "type": "t", "description": "d"}' END AS reply FROM events"""
 CTES["attempts"] = """SELECT user_id*100+day(ts) AS finding_id, event_id,
  row_number() OVER (PARTITION BY user_id*100+day(ts) ORDER BY ts,event_id) AS attempt, concat('s',event_id%5) AS strategy,
- CASE event_type WHEN 'purchase' THEN 'CHECK_SUCCESS' WHEN 'view' THEN 'CHECK_FAILED' WHEN 'click' THEN 'done' ELSE '' END AS stdout,
+ CASE event_type WHEN 'purchase' THEN 'EXPLOIT_SUCCESS' WHEN 'view' THEN 'EXPLOIT_FAILED' WHEN 'click' THEN 'done' ELSE '' END AS stdout,
  CASE WHEN event_type='error' THEN 'Traceback' ELSE '' END AS stderr,
  CASE WHEN event_type='error' THEN 1 ELSE 0 END AS exit_code FROM events"""
 CTES["issues"] = f"""SELECT o_orderkey AS number,
@@ -174,8 +174,8 @@ CTES["verdicts"] = """SELECT event_id, error, CASE WHEN missing THEN false WHEN
   WHEN sc IS NULL THEN 'risk_score is not a number' END AS error FROM parsed4)"""
 
 # attempts
-CTES["reasons"] = r"""SELECT *, CASE WHEN contains(lower(stdout),'check_success') THEN 'success_marker'
- WHEN contains(lower(stdout),'check_failed') THEN 'failure_marker' WHEN exit_code<>0 THEN 'nonzero_exit'
+CTES["reasons"] = r"""SELECT *, CASE WHEN contains(lower(stdout),'exploit_success') THEN 'success_marker'
+ WHEN contains(lower(stdout),'exploit_failed') THEN 'failure_marker' WHEN exit_code<>0 THEN 'nonzero_exit'
  WHEN regexp_matches(lower(stdout),'uid=|root:|etc/passwd|<script>|<!entity') THEN 'indicator'
  WHEN trim(stdout,' '||chr(9)||chr(10)||chr(13))<>'' THEN 'clean_output' ELSE 'no_evidence' END AS reason FROM {source}"""
 CTES["outcomes"] = "SELECT *, reason IN ('success_marker','indicator','clean_output') AS ok FROM (" + CTES["reasons"].format(source="attempts") + ")"
@@ -232,8 +232,8 @@ def _ladder(name: str, *bands: tuple[int, str], rest: str | None) -> str:
 
 
 _BODY.update({
-    "src_corpus": """SELECT indent, count(*) FILTER (NOT blank) AS lines, sum(length(text)) AS chars FROM lines
-        GROUP BY indent HAVING count(*) FILTER (NOT blank)>0""",
+    "src_corpus": """SELECT regexp_extract(file_path,'(pkg\\d+)/',1) AS folder, indent, count(*) FILTER (NOT blank) AS lines,
+        sum(length(text)) AS chars FROM lines GROUP BY 1, 2""",
     "src_decode": """SELECT project_name, 'ignore' AS mode, count(*) AS files, sum(length(content)) AS chars FROM docs GROUP BY 1
         UNION ALL SELECT project_name, 'skip', count(*), sum(length(content)) FROM docs WHERE octet_length(encode(content))%3<>0 GROUP BY 1""",
     "sink_upsert": """SELECT sha256(concat(project_name,':',file_path)) AS doc_id, file_path, md5(arg_max(content,analyzed)) AS content_md5,
@@ -321,7 +321,7 @@ _BODY.update({
           AND NOT EXISTS (SELECT 1 FROM l2 x WHERE x.root=l2.root AND x.dst=e.dst) GROUP BY 1,2)
         SELECT root, dst, level, array_to_string(k,'.') AS visit_order FROM (SELECT *, 1 AS level FROM l1
          UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)""",
-    "context_bundle": "SELECT root, 0 AS part, bundle FROM bundles",
+    "context_bundle": "SELECT root, bundle FROM bundles",
     "context_for_findings": "SELECT file, function, rule, md5(bundle) AS context_md5 FROM unit_hits JOIN bundles ON root=file",
     "bundle_unpack": r"""SELECT f.file_path AS root, string_split(f.file_path,'/')[-1] AS name, f.file_path AS path, 'Target' AS kind,
         md5(trim(f.content,chr(10)||' ')) AS content_md5 FROM files f
@@ -358,9 +358,10 @@ _BODY.update({
     "error_findings": """SELECT event_id, coalesce(vulnerable,false) AS vulnerable, coalesce(risk_score,0) AS risk_score,
         CASE WHEN error IS NULL THEN type ELSE 'analysis_error' END AS type,
         CASE WHEN error IS NULL THEN description ELSE concat('Failed to analyze: Vulnerability analysis failed: ',error) END AS description FROM verdicts""",
-    "finding_assemble": """SELECT f.file_path AS file, f.name AS function, f.pos, f.start_line, f.end_line, coalesce(h.risk_score,0) AS risk_score,
-        h.rule IS NOT NULL AS vulnerable, coalesce(h.type,'analysis_error') AS type,
-        CASE WHEN h.rule IS NULL THEN 'Failed to analyze: no verdict' ELSE concat('pattern rule ',h.rule) END AS description FROM functions f LEFT JOIN (
+    "finding_assemble": """SELECT f.file_path AS file, f.name AS function, f.pos, f.start_line, f.end_line, CASE WHEN failed THEN 0 ELSE coalesce(h.risk_score,0) END AS risk_score,
+        NOT failed AND h.rule IS NOT NULL AS vulnerable, CASE WHEN failed THEN 'analysis_error' ELSE coalesce(h.type,'None') END AS type,
+        CASE WHEN failed THEN 'Failed to analyze: no verdict' WHEN h.rule IS NULL THEN 'No issue found' ELSE concat('pattern rule ',h.rule) END AS description
+        FROM (SELECT *, CAST(regexp_extract(file_path,'mod_([0-9]+)[.]py$',1) AS BIGINT)%13=0 AS failed FROM functions) f LEFT JOIN (
          SELECT file, pos, max(risk_score) AS risk_score, arg_max(type,risk_score) AS type, arg_max(rule,risk_score) AS rule FROM unit_hits GROUP BY 1,2) h
         ON h.file=f.file_path AND h.pos=f.pos""",
     "rule_scan": """SELECT project_name, file_path, rule, type, risk_score FROM docs JOIN rules ON regexp_matches(content,p1) AND regexp_matches(content,p2)""",
@@ -368,11 +369,12 @@ _BODY.update({
     "rule_summary": """SELECT rule, type, count(*) AS hits, count(DISTINCT project_name) AS projects FROM (
         SELECT project_name, content FROM docs UNION ALL SELECT project_name, content FROM files) x
         JOIN rules ON regexp_matches(content,p1) AND regexp_matches(content,p2) GROUP BY 1,2""",
-    "tier_fallback": """SELECT event_id, CASE WHEN ok1 THEN 1 WHEN ok2 THEN 2 END AS tier,
-        CASE WHEN ok1 THEN concat('one ',event_type) WHEN ok2 THEN concat('two ',event_type) END AS reply,
-        CASE WHEN ok1 THEN 0 WHEN ok2 THEN 1 ELSE 2 END AS switches,
-        CASE WHEN NOT ok1 AND NOT ok2 THEN concat('All tiers failed. Tier 1 (primary): 429 for ',event_type,'. Tier 2 (fallback): Connection reset.') END AS error
-        FROM (SELECT *, event_type NOT IN ('error','view') AS ok1, (event_id+user_id)%4<>0 AS ok2 FROM events)""",
+    "tier_fallback": """SELECT event_id, CASE WHEN ok1 THEN 1 WHEN ok2 THEN 2 WHEN ok3 THEN 3 END AS tier,
+        CASE WHEN ok1 THEN concat('one ',event_type) WHEN ok2 THEN concat('two ',event_type) WHEN ok3 THEN concat('three ',event_type) END AS reply,
+        CASE WHEN ok1 THEN 0 WHEN ok2 THEN 1 WHEN ok3 THEN 2 ELSE 3 END AS switches,
+        CASE WHEN NOT ok1 AND NOT ok2 AND NOT ok3 THEN concat('All tiers failed. Tier 1 (primary): 429 for ',event_type,
+        '. Tier 2 (fallback): Connection reset. Tier 3 (last): No such model.') END AS error
+        FROM (SELECT *, event_type NOT IN ('error','view') AS ok1, (event_id+user_id)%4<>0 AS ok2, event_id%3<>0 AS ok3 FROM events)""",
     "error_classify": """SELECT event_id, CASE event_id%8 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'rate_limit' WHEN 3 THEN 'timeout'
         WHEN 4 THEN 'connection' WHEN 5 THEN 'non_retryable' WHEN 6 THEN 'non_retryable' ELSE 'timeout' END AS error_class,
         event_id%8 IN (0,1,2,3,5,7) AS retryable FROM events""",
@@ -429,8 +431,8 @@ _BODY.update({
     "review_reduction": """SELECT *, round_even((total-to_review)*100.0/total,2) AS reduction_pct, round_even(false_positives*100.0/total,2) AS false_positive_pct
         FROM (SELECT project_name, count(*) AS total, count(*) FILTER (verified OR risk_score>=8) AS to_review,
         count(*) FILTER (final_score=0) AS false_positives FROM scored GROUP BY 1)""",
-    "metric_max_risk": """SELECT concat(project_name,'/',substr(file,1,4)) AS project_name, count(*) FILTER (vulnerable AND risk_score>=10) AS threats,
-        count(DISTINCT file)*100 AS scanned, coalesce(CAST(max(risk_score) FILTER (vulnerable AND risk_score>=10) AS DOUBLE), 8.0) AS risk_score
+    "metric_max_risk": """SELECT concat(project_name,'/',substr(file,1,4)) AS project_name, count(*) FILTER (vulnerable) AS threats,
+        count(DISTINCT file)*100 AS scanned, coalesce(CAST(max(risk_score) FILTER (vulnerable) AS DOUBLE), 8.0) AS risk_score
         FROM findings GROUP BY 1""",
     "pick_front": """SELECT project_name, seq, rank, CASE WHEN rank=5 THEN 1 WHEN rank<5 THEN rank+1 ELSE rank END AS position FROM (SELECT *,
         row_number() OVER (PARTITION BY project_name ORDER BY risk_score DESC, seq) AS rank FROM findings WHERE vulnerable)""",

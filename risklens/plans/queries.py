@@ -13,7 +13,7 @@ from risklens.operators import (
 )
 from risklens.operators.ordering import group_position
 from risklens.plans import views as V
-from risklens.session import new_path, tune
+from risklens.session import materialize, new_path, tune
 from risklens.sources import corpus, documents, sessions
 from risklens.streaming import index as index_stream, progress
 
@@ -45,13 +45,14 @@ def _long(*names: str) -> list[Column]:
 @query
 def src_corpus(spark, d):
     path = new_path(spark, "corpus")
-    lines = V.files(spark, d).select("content")
-    lines.write.option("maxRecordsPerFile", 500).text(path)
+    lines = V.files(spark, d).select("content", F.regexp_extract("file_path", r"(pkg\d+)/", 1).alias("folder"))
+    lines.write.partitionBy("folder").option("maxRecordsPerFile", 500).text(path)
+    # the folder comes back as part of each file's relative path
     read = corpus.read_corpus(spark, path, "main", glob="*.txt")
-    rows = units.to_lines(read)
-    return rows.groupBy("indent").agg(
+    rows = units.to_lines(read).withColumn("folder", F.regexp_extract("file_path", "^folder=([^/]+)/", 1))
+    return rows.groupBy("folder", "indent").agg(
         F.count_if(~F.col("blank")).alias("lines"), F.sum(F.length("text")).alias("chars")
-    ).filter("lines > 0").select(*_long("indent", "lines", "chars"))
+    ).select("folder", *_long("indent", "lines", "chars"))
 
 
 @query
@@ -137,12 +138,15 @@ def src_doc_lookup(spark, d):
 def _feed(spark, d) -> str:
     """The progress records as a folder of JSON lines, with blank and broken ones."""
     path = new_path(spark, "feed")
-    rows = V.progress_rows(spark, d)
+    _write_feed(V.progress_rows(spark, d), path)
+    return path
+
+
+def _write_feed(rows: DataFrame, path: str) -> None:
     record = F.to_json(F.struct(*rows.columns))
     junk = F.array_compact(F.array(record, F.when(F.col("seq") % 50 == 0, '{"session": 1, "phase'),
                                    F.when(F.col("seq") % 60 == 0, "")))
-    rows.select(F.explode(junk).alias("value")).write.text(path)
-    return path
+    rows.select(F.explode(junk).alias("value")).write.mode("append").text(path)
 
 
 PROGRESS = ["session", "seq", "phase", "message", "type", "success", "pr_url", "error"]
@@ -432,13 +436,16 @@ def _bundles(spark, d) -> DataFrame:
 
 @query
 def context_bundle(spark, d):
-    return _bundles(spark, d).select("root", "part", "bundle")
+    return _bundles(spark, d).select("root", "bundle")
 
 
 @query
 def context_for_findings(spark, d):
-    found = _rule_findings(spark, d)
-    rows = graph.finding_context(found, _bundles(spark, d), V.files(spark, d))
+    # only files with findings are asked for their context
+    found = materialize(_rule_findings(spark, d), "findings")
+    asked = found.select("project_name", F.col("file").alias("root")).distinct()
+    bundles = graph.context_bundle(V.files(spark, d), corpus_edges(spark, d), asked, 1)
+    rows = graph.finding_context(found, bundles, V.files(spark, d))
     return rows.select("file", "function", "rule", F.md5("context").alias("context_md5"))
 
 
@@ -550,8 +557,15 @@ def finding_assemble(spark, d):
     hits = rules.scan_rules(found, "code")
     worst = hits.groupBy("project_name", "file_path", "pos").agg(
         F.max(F.struct("risk_score", "type", "description", "vulnerable")).alias("w")
-    ).select("project_name", "file_path", "pos", "w.*")
-    rows = verdicts.assemble_findings(found, worst)
+    )
+    # every scanned unit has a verdict; the analysis of each thirteenth file fails
+    number = F.regexp_extract("file_path", r"mod_(\d+)\.py$", 1).cast("bigint")
+    key = ["project_name", "file_path", "pos"]
+    scanned = found.select(*key).filter(number % 13 != 0).join(worst, key, "left").select(
+        *key, F.coalesce("w.vulnerable", F.lit(False)).alias("vulnerable"), F.coalesce("w.risk_score", F.lit(0)).alias("risk_score"),
+        F.coalesce("w.type", F.lit("None")).alias("type"), F.coalesce("w.description", F.lit("No issue found")).alias("description"),
+    )
+    rows = verdicts.assemble_findings(found, scanned)
     return rows.select("file", "function", *_long("pos", "start_line", "end_line", "risk_score"), "vulnerable",
                        "type", "description")
 
@@ -576,22 +590,25 @@ def rule_summary(spark, d):
 
 
 def _tiers(spark, d) -> DataFrame:
-    """Two replies per request: a tier fails on the third and the fifth event kind."""
+    """Three replies per request; the first fails on two event kinds, the others on
+    some ids."""
     e = V.table(spark, d, "events").select("event_id", "event_type", "user_id")
     kind, i = F.col("event_type"), F.col("event_id")
-    first_bad, second_bad = kind.isin("error", "view"), (i + F.col("user_id")) % 4 == 0
+    first_bad, second_bad, third_bad = kind.isin("error", "view"), (i + F.col("user_id")) % 4 == 0, i % 3 == 0
     rows = F.array(
         F.struct(F.lit(1).alias("tier"), (~first_bad).alias("ok"), F.concat(F.lit("one "), kind).alias("reply"),
                  F.when(first_bad, F.concat(F.lit("429 for "), kind)).alias("error")),
         F.struct(F.lit(2).alias("tier"), (~second_bad).alias("ok"), F.concat(F.lit("two "), kind).alias("reply"),
                  F.when(second_bad, F.lit("Connection reset")).alias("error")),
+        F.struct(F.lit(3).alias("tier"), (~third_bad).alias("ok"), F.concat(F.lit("three "), kind).alias("reply"),
+                 F.when(third_bad, F.lit("No such model")).alias("error")),
     )
     return e.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.*")
 
 
 @query
 def tier_fallback(spark, d):
-    rows = verdicts.resolve_tiers(_tiers(spark, d), "event_id")
+    rows = verdicts.resolve_tiers(_tiers(spark, d), "event_id", ["primary", "fallback", "last"])
     return rows.select("event_id", *_long("tier"), "reply", "switches", "error")
 
 
@@ -674,7 +691,7 @@ def verify_budget(spark, d):
 
 
 def _check_results(spark, d) -> DataFrame:
-    checked = att.first_success(V.attempts(spark, d, att.MAX_ATTEMPTS))
+    checked = att.first_success(V.attempts(spark, d))
     return checked.withColumn("evidence", F.when(F.col("verified"), F.col("output")).otherwise(""))
 
 
@@ -733,8 +750,7 @@ def review_reduction(spark, d):
 
 @query
 def metric_max_risk(spark, d):
-    # projects without a vulnerable finding show the default
-    rows = filters.min_risk(V.finding_rows(spark, d), 10)
+    rows = filters.vulnerable_only(V.finding_rows(spark, d))
     files = _finding_files(spark, d).withColumn("project_name", F.concat("project_name", F.lit("/"), F.substring("file", 1, 4)))
     keyed = rows.withColumn("project_name", F.concat("project_name", F.lit("/"), F.substring("file", 1, 4)))
     return reports.dashboard_metrics(keyed, files)
@@ -807,7 +823,7 @@ def outcome_reason(spark, d):
 
 @query
 def first_success(spark, d):
-    return att.first_success(V.attempts(spark, d, att.MAX_ATTEMPTS)).select(
+    return att.first_success(V.attempts(spark, d)).select(
         "finding_id", "verified", "attempts", "output", "error"
     )
 
@@ -815,19 +831,19 @@ def first_success(spark, d):
 @query
 def attempt_failures(spark, d):
     # a signup event stands for an attempt whose text could not be generated
-    log = V.attempts(spark, d, att.MAX_ATTEMPTS)
+    log = V.attempts(spark, d)
     never = (F.col("stdout") == "") & (F.col("exit_code") == 0)
     return att.failure_records(log.withColumn("generation_error", F.when(never, F.lit("no reply"))))
 
 
 @query
 def attempt_history_digest(spark, d):
-    return att.history_digest(V.attempts(spark, d, att.MAX_ATTEMPTS))
+    return att.history_digest(V.attempts(spark, d))
 
 
 def _fix_log(spark, d) -> DataFrame:
     """The log with the first run as the baseline, attempt 0."""
-    return V.attempts(spark, d, att.MAX_ATTEMPTS + 1).withColumn("attempt", F.col("attempt") - 1)
+    return V.attempts(spark, d).withColumn("attempt", F.col("attempt") - 1)
 
 
 @query
@@ -933,10 +949,16 @@ def stream_terminal(spark, d):
 
 @query
 def stream_session_state(spark, d):
-    state, checkpoint = new_path(spark, "state"), new_path(spark, "state-checkpoint")
-    stream = progress.read_progress_stream(spark, _feed(spark, d))
-    progress.start_session_state(stream, state, checkpoint).awaitTermination()
-    return progress.read_state(spark, state, 0)
+    # the feed arrives in five deliveries, in the order of its records
+    feed, state, checkpoint = (new_path(spark, n) for n in ("feed", "state", "state-checkpoint"))
+    rows = V.progress_rows(spark, d)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    part = F.least(F.floor((F.col("seq") - low) * 5 / (high - low + 1)), F.lit(4))
+    for i in range(5):
+        _write_feed(rows.filter(part == i), feed)
+        stream = progress.read_progress_stream(spark, feed)
+        progress.start_session_state(stream, state, checkpoint, snapshot_every=3).awaitTermination()
+    return progress.read_state(spark, state)
 
 
 @query

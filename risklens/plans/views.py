@@ -190,22 +190,18 @@ def attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("finding_id"), "event_id", "ts",
         F.concat(F.lit("s"), F.col("event_id") % 5).alias("strategy"),
-        F.when(kind == "purchase", "CHECK_SUCCESS").when(kind == "view", "CHECK_FAILED")
+        F.when(kind == "purchase", "EXPLOIT_SUCCESS").when(kind == "view", "EXPLOIT_FAILED")
         .when(kind == "click", "done").otherwise("").alias("stdout"),
         F.when(kind == "error", "Traceback").otherwise("").alias("stderr"),
         F.when(kind == "error", 1).otherwise(0).alias("exit_code"),
     )
 
 
-def attempts(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
-    """B5: the first attempts of every finding, numbered from 1.
-
-    Every consumer looks at a fixed number of attempts (the protocol's maximum),
-    and the bound on ``row_number`` is applied below the shuffle.
-    """
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B5: the attempts of every finding, numbered from 1.  Operators bound the
+    number they look at, and Spark applies that bound below the shuffle."""
     window = Window.partitionBy("finding_id").orderBy("ts", "event_id")
-    numbered = attempt_rows(spark, sf_dir).withColumn("attempt", F.row_number().over(window))
-    return numbered.filter(F.col("attempt") <= first).drop("ts")
+    return attempt_rows(spark, sf_dir).withColumn("attempt", F.row_number().over(window)).drop("ts")
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:

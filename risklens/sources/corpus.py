@@ -29,6 +29,13 @@ def decode_files(df: DataFrame, on_bad_utf8: str = "ignore") -> DataFrame:
     return df.withColumn("content", decode(F.col("content"), on_bad_utf8)).filter(F.col("content").isNotNull())
 
 
+def _spelled(spark: SparkSession, path: str) -> str:
+    """A folder's path as its file system writes it, without scheme and trailing slash."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toUri().getPath().rstrip("/")
+
+
 def read_corpus(
     spark: SparkSession, path: str, project: str, glob: str = "*.py", on_bad_utf8: str = "ignore"
 ) -> DataFrame:
@@ -43,10 +50,11 @@ def read_corpus(
         if err.getCondition() not in ("PATH_NOT_FOUND", "PATH_DOES_NOT_EXIST"):
             raise
         return spark.createDataFrame([], SCHEMA)
-    # paths come back as URIs: cut everything up to the root folder's own path
-    root = path.split("://", 1)[-1].removeprefix("file:").rstrip("/")
-    bare = F.regexp_replace("path", r"^[a-zA-Z0-9]+:(//)?", "")
-    at = F.locate(root + "/", bare)
-    relative = F.substr(bare, at + F.lit(len(root) + 1))
+    # paths come back as the file system spells them: cut off the root in that spelling
+    root = _spelled(spark, path)
+    bare = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    relative = F.when(F.startswith(bare, F.lit(root + "/")), F.substr(bare, F.lit(len(root) + 2))).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {root}: "), bare)).cast("string")
+    )
     files = raw.select(F.lit(project).alias("project_name"), norm_path(relative).alias("file_path"), "content")
     return decode_files(files, on_bad_utf8)

@@ -30,7 +30,8 @@ def start_index_stream(source: DataFrame, table_path: str, checkpoint: str, avai
     after a failure replaces itself."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        once = latest_by(batch, ["doc_id"], [F.col("analyzed_at").desc()])
+        # two versions of one time: the greater content, so a repeated batch agrees
+        once = latest_by(batch, ["doc_id"], [F.col("analyzed_at").desc(), F.col("content").desc()])
         once.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -94,20 +94,30 @@ def session_state(df: DataFrame) -> DataFrame:
 
 
 def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
-    """State after one more batch; a done session no longer changes."""
+    """State after one more batch; a done session no longer changes.  Of two lanes or
+    errors the one with the greater ``seq`` counts; an end's own error counts most."""
     o, n = old.alias("o"), new.alias("n")
     closed = F.coalesce(F.col("o.done"), F.lit(False))
 
     def later(name: str) -> Column:
         return F.when(closed, F.col(f"o.{name}")).otherwise(F.coalesce(f"n.{name}", f"o.{name}"))
 
+    def newer(seq: str, also: Column = F.lit(False)) -> Column:
+        fresh = also | F.coalesce(F.col(f"n.{seq}") > F.col(f"o.{seq}"), F.col(f"n.{seq}").isNotNull())
+        return ~closed & fresh
+
+    in_lane = newer("lane_seq")
+    failed = newer("error_seq", F.coalesce(F.col("n.done") & ~F.col("n.success") & F.col("n.last_error").isNotNull(), F.lit(False)))
+
+    def chosen(name: str, fresh: Column) -> Column:
+        return F.when(fresh, F.coalesce(f"n.{name}", f"o.{name}")).otherwise(F.col(f"o.{name}")).alias(name)
+
     return o.join(n, F.col("o.session") == F.col("n.session"), "full_outer").select(
         F.coalesce("o.session", "n.session").alias("session"),
         F.when(closed, F.col("o.n_lines")).otherwise(
             F.coalesce("o.n_lines", F.lit(0)) + F.coalesce("n.n_lines", F.lit(0))
         ).alias("n_lines"),
-        later("lane").alias("lane"), later("lane_seq").alias("lane_seq"),
-        later("last_error").alias("last_error"), later("error_seq").alias("error_seq"),
+        chosen("lane", in_lane), chosen("lane_seq", in_lane), chosen("last_error", failed), chosen("error_seq", failed),
         F.coalesce(closed | F.col("n.done"), F.lit(False)).alias("done"),
         later("success").alias("success"), later("pr_url").alias("pr_url"),
     )
@@ -120,31 +130,47 @@ def start_session_state(
 
     Each micro-batch is reduced to one row per session before it meets the
     stored state, and writes the sessions it changed as one version; every
-    ``snapshot_every`` batches a version holds all sessions.  A batch reads only
-    earlier versions, so a repeated batch gives the same result.  Records of a
-    session must arrive in batches in their order."""
+    ``snapshot_every`` batches a version holds all sessions.  Each row names the last
+    such version in ``base``, so readers need not know the interval and it may change.  A batch reads only
+    earlier versions, so a repeated batch gives the same result.
+
+    Batches arrive in the order of their records (a session's records may be mixed
+    inside a batch): lines are counted as they come, and an end closes a session."""
     spark = stream.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
         new = session_state(batch)
-        old = read_state(spark, state_path, batch_id - 1, snapshot_every)
+        base, old = _state_before(spark, state_path, batch_id)
         if batch_id % snapshot_every:
             new = materialize(new, "batch-state")
             old = old.join(new.select("session"), "session", "left_semi")
-        merge_state(old, new).write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+        else:
+            base = batch_id
+        merged = merge_state(old, new).withColumn("base", F.lit(base).cast("bigint"))
+        merged.write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_state(spark: SparkSession, state_path: str, version: int, snapshot_every: int = 50) -> DataFrame:
-    """State after batch ``version``; before the first it is empty."""
-    if version < 0:
-        return spark.createDataFrame([], STATE)
-    first = version - version % snapshot_every
-    paths = [f"{state_path}/version={v}" for v in range(first, version + 1)]
-    versions = spark.read.schema(STATE + ", version bigint").option("basePath", state_path).parquet(*paths)
-    return latest_by(versions, ["session"], [F.col("version").desc()]).drop("version")
+def _state_before(spark: SparkSession, state_path: str, version: int | None) -> tuple[int, DataFrame]:
+    """Last full version before ``version`` (None: of all), and the state then."""
+    empty = spark.createDataFrame([], STATE)
+    if version == 0:
+        return 0, empty
+    rows = spark.read.schema(STATE + ", base bigint, version bigint").option("basePath", state_path).parquet(state_path)
+    if version is not None:
+        rows = rows.filter(F.col("version") < version)
+    base = rows.agg(F.max("base")).first()[0]
+    if base is None:
+        return 0, empty
+    newest = latest_by(rows.filter(F.col("version") >= base), ["session"], [F.col("version").desc()])
+    return base, newest.drop("base", "version")
+
+
+def read_state(spark: SparkSession, state_path: str, version: int | None = None) -> DataFrame:
+    """State after batch ``version``, by default the last one; before the first it is empty."""
+    return _state_before(spark, state_path, None if version is None else max(version + 1, 0))[1]
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:

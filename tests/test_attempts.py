@@ -3,7 +3,7 @@ import pytest
 from risklens.operators import attempts as att
 
 SCHEMA = "finding_id int, attempt int, strategy string, stdout string, stderr string, exit_code int"
-OK, BAD = "CHECK_SUCCESS", "CHECK_FAILED"
+OK, BAD = "EXPLOIT_SUCCESS", "EXPLOIT_FAILED"
 
 
 @pytest.fixture(scope="module")

@@ -93,13 +93,18 @@ def test_cycle_and_missing_target(spark, corpus):
     assert _bundle(spark, files, "nothing.py", 2) is None
 
 
-def test_bundle_parts_join_to_the_whole(spark, corpus):
-    files = corpus({"a.py": "".join(f"import m{i}\n" for i in range(9)), **{f"m{i}.py": f"x = {i}\n" for i in range(9)}})
+def test_bundle_of_many_sections_is_one_text(spark, corpus):
+    n = 310
+    names = [f"d{i}/same.py" if i in (3, 305) else f"m{i}.py" for i in range(n)]
+    calls = "".join(f"import {x[:-3].replace('/', '.')}\n" for x in names)
+    files = corpus({"a.py": calls, **{x: f"x = {i}\n" for i, x in enumerate(names)}})
     roots = spark.createDataFrame([("p", "a.py")], "project_name string, root string")
-    edges = build_edges(files)
-    whole = graph.context_bundle(files, edges, roots, 1).collect()[0].bundle
-    parts = graph.context_bundle(files, edges, roots, 1, sections_per_part=4).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2] and "".join(p.bundle for p in parts) == whole
+    bundles = graph.context_bundle(files, build_edges(files), roots, 1)
+    [row] = bundles.collect()
+    assert row.bundle.count("=== Context: ") == n and row.bundle.endswith(calls)
+    rows = graph.unpack_bundle(bundles, "bundle").collect()
+    # of two sections with one file name the last stays, wherever they stand
+    assert len(rows) == n and [r.path for r in rows if r.name == "same.py"] == ["d305/same.py"]
 
 
 def test_unpack_is_the_inverse(spark, corpus):

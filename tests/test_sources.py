@@ -78,3 +78,10 @@ def test_sessions(spark):
     found = spark.createDataFrame([("s", 1), ("s", 2)], "project_name string, seq int")
     assert sessions.findings_for(found, "s").count() == 2
     assert sessions.findings_for(found, "s", 2).count() == 1 and sessions.findings_for(found, "x", 2).count() == 0
+
+
+def test_corpus_root_in_any_spelling(spark, tmp_path):
+    (tmp_path / "r" / "pkg").mkdir(parents=True)
+    (tmp_path / "r" / "pkg" / "a.py").write_text("x = 1\n")
+    for root in (f"{tmp_path}/r", f"{tmp_path}/r/", f"{tmp_path}/r/../r", f"file://{tmp_path}/r", f"file:{tmp_path}//r"):
+        assert [r.file_path for r in corpus.read_corpus(spark, root, "p").collect()] == ["pkg/a.py"], root

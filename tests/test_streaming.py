@@ -65,12 +65,21 @@ def test_state_over_batches_equals_the_table(spark, tmp_path):
         _write(feed, f"{i}.json", FEED[2 * i: 2 * i + 2])
         stream = progress.read_progress_stream(spark, str(feed))
         progress.start_session_state(stream, state, checkpoint, snapshot_every=3).awaitTermination()
-    assert _state(progress.read_state(spark, state, 4, snapshot_every=3)) == WANT
+    assert _state(progress.read_state(spark, state)) == WANT
+    assert _state(progress.read_state(spark, state, 4)) == WANT and progress.read_state(spark, state, -1).count() == 0
     # versions hold only what changed, snapshots everything
     assert spark.read.parquet(f"{state}/version=1").count() == 1
     assert spark.read.parquet(f"{state}/version=3").count() == 2
 
 
+def test_lane_and_error_follow_the_sequence(spark):
+    old = [(1, 2, "B", 9, "late", 8, False, None, None), (2, 1, "A", 1, None, None, False, None, None), (3, 1, "A", 1, None, None, True, True, "u")]
+    new = [(1, 1, "A", 5, "early", 4, False, None, None), (2, 1, "B", 2, "e", 3, False, None, None), (3, 1, "B", 2, "e", 3, False, None, None)]
+    merged = progress.merge_state(spark.createDataFrame(old, progress.STATE), spark.createDataFrame(new, progress.STATE))
+    have = {r.session: (r.n_lines, r.lane, r.lane_seq, r.last_error, r.done) for r in merged.collect()}
+    assert have == {1: (3, "B", 9, "late", False), 2: (2, "B", 2, "e", False), 3: (1, "A", 1, None, True)}
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     feed, state = tmp_path / "feed", str(tmp_path / "state")
     feed.mkdir()

@@ -90,6 +90,14 @@ def test_tiers(spark):
     assert have[3][0] is None and "429" in have[3][2] and "down" in have[3][2]
 
 
+def test_more_tiers_than_names(spark):
+    rows = [(1, t, False, None, f"e{t}") for t in (2, 4, 1, 3)] + [(2, 1, False, None, "e1"), (2, 2, False, None, None), (2, 3, True, "r", None)]
+    df = spark.createDataFrame(rows, "k int, tier int, ok boolean, reply string, error string")
+    have = {r.k: (r.tier, r.reply, r.switches, r.error) for r in verdicts.resolve_tiers(df, "k").collect()}
+    assert have[1] == (None, None, 4, "All tiers failed. Tier 1 (primary): e1. Tier 2 (fallback): e2. Tier 3 (tier 3): e3. Tier 4 (tier 4): e4.")
+    assert have[2] == (3, "r", 2, None)
+
+
 def test_chat_puts_the_system_message_first(spark):
     df = spark.createDataFrame(
         [(1, 0, "user", "hello"), (1, 1, "assistant", "hi"), (1, 2, "system", "be kind"), (2, 0, "assistant", "x")],
