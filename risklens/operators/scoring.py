@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from risklens.functions.severity import risk_columns, severity, should_verify
 from risklens.operators.filters import effective_score
-from risklens.operators.ordering import CHUNK_ROWS, chunk_rank
+from risklens.operators.ordering import CHUNK_ROWS, chunk_rank, group_position
+from risklens.session import materialize
 
 
 def score(df: DataFrame, evidence: Column | None = None) -> DataFrame:
@@ -50,20 +52,26 @@ def prioritize(df: DataFrame, by: str = "project_name", seq: str = "seq") -> Dat
     return df.orderBy(effective_score(df).desc(), by, seq)
 
 
+def ranked_overall(df: DataFrame, by: str = "project_name", seq: str = "seq") -> DataFrame:
+    """Column ``rank`` over all findings, in the order of :func:`prioritize`."""
+    return group_position(df, [], [effective_score(df).desc(), by, seq], "rank")
+
+
 def select_for_verification(
     df: DataFrame, strategy: str = "smart", max_n: int | None = None, by: str = "project_name", seq: str = "seq"
 ) -> DataFrame:
     """Column ``selected``: rows that pass the strategy, per project at most
     ``max_n`` in input order (0 or None is no limit).
 
-    Only passing rows are numbered; the others never leave their partition.
+    The first passing rows of a project come from a row number with a limit, which
+    Spark applies below the shuffle; their keys mark the rows.
     """
     passing = should_verify(F.col("risk_score"), strategy)
     if not max_n:
         return df.withColumn("selected", passing)
-    numbered = chunk_rank(df.filter(passing), [by], seq, "_n")
-    within = numbered.withColumn("selected", F.col("_n") <= max_n).drop("_n")
-    return within.unionByName(df.filter(~passing).withColumn("selected", F.lit(False)))
+    first = Window.partitionBy(by).orderBy(seq)
+    picked = df.filter(passing).select(by, seq).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= max_n)
+    return df.join(picked, [by, seq], "left").withColumn("selected", F.col("_n").isNotNull()).drop("_n")
 
 
 def validated(df: DataFrame, strategy: str = "smart", max_n: int | None = None) -> DataFrame:
@@ -117,10 +125,12 @@ def work_queue(
 ) -> DataFrame:
     """Selected rows in rank order: position, state and the next item.
 
-    The successor is an equi-join on (project, position + 1), both sides unique.
+    The successor is an equi-join on (project, position + 1), both sides unique; the
+    ranking is computed once.
     """
     chosen = df if selected is None else df.join(selected, [by, item], "left_semi")
-    order = ranked(chosen, by, item, chunk).withColumnRenamed("rank", "position")
+    # both sides of the join read one written ranking
+    order = materialize(ranked(chosen, by, item, chunk).withColumnRenamed("rank", "position"), "queue")
     following = order.select(
         F.col(by), (F.col("position") - 1).alias("position"), F.col(item).alias("next_item")
     )

@@ -240,12 +240,16 @@ _BODY.update({
         max(analyzed) AS analyzed FROM versions GROUP BY project_name, file_path""",
     "sink_quarantine": """SELECT CASE WHEN error IS NULL THEN 'good' ELSE 'bad' END AS kind, count(*) AS n, CAST(NULL AS VARCHAR) AS error FROM verdicts GROUP BY 1
         UNION ALL (SELECT 'error', event_id, error FROM verdicts WHERE error IS NOT NULL ORDER BY event_id LIMIT 5)""",
+    "quarantine_split": "SELECT CASE WHEN error IS NULL THEN 'good' ELSE 'bad' END AS side, event_id, error FROM verdicts",
+    "documents_round_trip": """SELECT project_name, sha256(concat(project_name,':',file_path)) AS doc_id,
+        md5(concat(content,CASE WHEN project_name='src1' THEN '!' ELSE '' END)) AS content_md5 FROM docs""",
     "sink_clear_project": """SELECT project_name, count(*) AS files FROM docs WHERE project_name<>'src0' GROUP BY 1
         UNION ALL SELECT '(deleted)', count(*) FROM docs WHERE project_name='src0'""",
     "src_issues": """SELECT number, title, url, state, labels_csv FROM issues WHERE NOT is_pr AND state='open'
         AND list_contains(string_split(labels_csv,','),'security') AND list_contains(string_split(labels_csv,','),'tool')""",
     "src_session_latest": """SELECT concat('owner_repo',user_id) AS session_id, event_id AS scan_id, event_type AS status FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)=1""",
+    "session_drop": "SELECT concat('owner_repo',user_id) AS session_id, count(*) AS scans FROM events WHERE user_id<>3 GROUP BY 1",
     "src_finding_lookup": f"""SELECT 'one' AS lookup, seq, {_F} FROM findings WHERE project_name='proj3' AND seq=17
         UNION ALL SELECT 'all', seq, {_F} FROM findings WHERE project_name='proj3'""",
     "src_doc_lookup": "SELECT file_path, content FROM files WHERE file_path='pkg7/sub3/mod_17.py'",
@@ -395,6 +399,8 @@ _BODY.update({
     "score_effective": "SELECT project_name, file, function, CASE WHEN verified THEN final_score ELSE risk_score END AS score FROM scored",
     "rank_findings": """SELECT project_name, seq, final_score, row_number() OVER (PARTITION BY project_name ORDER BY final_score DESC, seq) AS rank
         FROM scored WHERE vulnerable""",
+    "rank_overall": """SELECT project_name, seq, final_score, row_number() OVER (ORDER BY final_score DESC, project_name, seq) AS rank
+        FROM scored WHERE vulnerable""",
     "number_findings": """SELECT project_name, seq, row_number() OVER (PARTITION BY project_name ORDER BY seq) AS id, file, function
         FROM findings WHERE vulnerable""",
     "verify_budget": """, p AS (SELECT *, risk_score>=7 AND count(*) FILTER (risk_score>=7) OVER (PARTITION BY project_name ORDER BY seq)<=25 AS selected FROM findings),
@@ -472,6 +478,10 @@ _BODY.update({
           WHERE NOT is_pr AND state='open' AND labels_csv LIKE 'security,tool%')
         SELECT project_name, file, function, risk_score, title FROM (SELECT *, concat('[Security] ',type,' in ',function,'()') AS title
          FROM findings WHERE vulnerable AND risk_score>=5) WHERE title NOT IN (SELECT title FROM x)""",
+    "issue_dedupe_batch": """, x AS (SELECT replace(replace(title,'Weak Hashing','Other'),'Path Traversal','Other') AS title FROM issues
+          WHERE NOT is_pr AND state='open' AND labels_csv LIKE 'security,tool%')
+        SELECT title, max(risk_score) AS risk_score FROM (SELECT *, concat('[Security] ',type,' in ',function,'()') AS title
+         FROM findings WHERE vulnerable AND risk_score>=5) WHERE title NOT IN (SELECT title FROM x) GROUP BY 1""",
     "issue_labels": """SELECT project_name, file, function, risk_score,
         concat('security',CASE WHEN risk_score>=8 THEN ',critical' WHEN risk_score>=7 THEN ',high-priority' ELSE '' END) AS audit_labels,
         concat('security',CASE priority WHEN 'CRITICAL' THEN ',critical' WHEN 'HIGH' THEN ',high-priority' ELSE '' END,

@@ -98,6 +98,24 @@ def sink_quarantine(spark, d):
     return verdicts.error_summary(parsed, "event_id")
 
 
+@query
+def quarantine_split(spark, d):
+    parsed = verdicts.parse_verdict(V.verdict_raw(spark, d))
+    good, bad = verdicts.split_quarantine(parsed, F.col("error").isNull())
+    return good.withColumn("side", F.lit("good")).unionByName(bad.withColumn("side", F.lit("bad"))).select("side", "event_id", "error")
+
+
+@query
+def documents_round_trip(spark, d):
+    # everything is written, then one project again with other contents
+    path = new_path(spark, "documents")
+    rows = documents.with_doc_id(V.docs(spark, d))
+    documents.write_documents(rows, path)
+    changed = rows.filter("project_name = 'src1'").withColumn("content", F.concat("content", F.lit("!")))
+    documents.write_documents(changed, path)
+    return documents.read_documents(spark, path).select("project_name", "doc_id", F.md5("content").alias("content_md5"))
+
+
 @query
 def sink_clear_project(spark, d):
     remaining, deleted = documents.clear_project(V.docs(spark, d), "src0")
@@ -121,6 +139,13 @@ def src_session_latest(spark, d):
     return sessions.latest_scan(scans).select("session_id", "scan_id", "status")
 
 
+@query
+def session_drop(spark, d):
+    e = V.table(spark, d, "events")
+    scans = e.select(F.concat(F.lit("owner_repo"), "user_id").alias("session_id"), F.col("event_id").alias("scan_id"))
+    return sessions.drop_session(scans, "owner_repo3").groupBy("session_id").agg(F.count(F.lit(1)).alias("scans"))
+
+
 @query
 def src_finding_lookup(spark, d):
     rows = V.findings(spark, d)
@@ -678,6 +703,12 @@ def rank_findings(spark, d):
     return scoring.ranked(vulnerable).select("project_name", *_long("seq", "final_score", "rank"))
 
 
+@query
+def rank_overall(spark, d):
+    rows = scoring.ranked_overall(filters.vulnerable_only(_scored_seq(spark, d)))
+    return rows.select("project_name", *_long("seq", "final_score", "rank"))
+
+
 @query
 def number_findings(spark, d):
     rows = scoring.number_findings(filters.vulnerable_only(V.findings(spark, d)))
@@ -887,6 +918,14 @@ def issue_dedupe(spark, d):
     return rows.select("project_name", "file", "function", *_long("risk_score"), "title")
 
 
+@query
+def issue_dedupe_batch(spark, d):
+    known = publish.existing_issues(V.issues(spark, d), "open", ["security", "tool"])
+    known = known.withColumn("title", F.regexp_replace("title", "(Weak Hashing|Path Traversal)", "Other"))
+    rows = publish.new_issues(filters.min_risk(V.finding_rows(spark, d), 5), known, within_batch=True)
+    return rows.select("title", *_long("risk_score"))
+
+
 @query
 def issue_labels(spark, d):
     rows = _scored(spark, d)
