@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 from risklens.operators.ordering import group_position
 from risklens.session import materialize
 
-# Tables stored once per application: (application id, view, input folder).
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+# Tables stored once per application and state of the input:
+# (application id, view, input folder, its files).
+_STORED: dict[tuple[str, str, str, int], DataFrame] = {}
 
 LINE_ORDER = [
     "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -36,12 +37,23 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def _files_of(spark: SparkSession, sf_dir: str) -> int:
+    """Hash of the input files' names, lengths and times."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
 def stored(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write: bool = True
 ) -> DataFrame:
-    """Build a derived table once per application and read it from then on.
-    ``write=False`` is for builders that already read written tables."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    """Build a derived table once per application and read it until the input files
+    change.  ``write=False`` is for builders that already read written tables."""
+    key = (spark.sparkContext.applicationId, name, sf_dir, _files_of(spark, sf_dir))
     if key not in _STORED:
         _STORED[key] = materialize(build(), name) if write else build()
     return _STORED[key]
