@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from risklens.llm.records import thinned
 from risklens.session import materialize
 
 DIMS = 8
@@ -211,7 +212,7 @@ def nearest(df: DataFrame, every: int = 50, rules: AnnRules = AnnRules(), vec_id
     valid = materialize(rows.filter(usable(F.col("vec"), dim)).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     total, matrix = valid.count(), projection(dim, rules.seed)
     # bounded: the sample, and below one box per cell
-    sample = valid.orderBy(F.xxhash64("id"), "id").limit(rules.sample).toLocalIterator()
+    sample = thinned(valid, F.xxhash64("id"), rules.sample).orderBy(F.xxhash64("id"), "id").limit(rules.sample).toLocalIterator()
     sampled = np.array([r.vec for r in sample], dtype=np.float64).reshape(-1, dim)
     depth = min(max(math.ceil(math.log2(max(total, 1) / rules.block)), 0), int(math.log2(rules.max_cells)))
     cells = Cells(project(sampled, matrix) if len(sampled) else np.zeros((0, DIMS)), depth)

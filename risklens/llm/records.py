@@ -65,6 +65,14 @@ def small_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int) -
     return big.join(small, on, how)
 
 
+def thinned(df: DataFrame, hashed, rows: int) -> DataFrame:
+    """Rows whose hash lies in a range that about four times ``rows`` of them meet; all
+    rows of a small table.  Taking the first ``rows`` of that by hash then moves a
+    bounded number, however many partitions there are."""
+    share = min(1.0, 4 * rows / max(df.count(), 1))
+    return df.filter(F.pmod(hashed, F.lit(1 << 30)) <= int(share * (1 << 30)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) edges of long ids: (node, label), label the
     smallest id of the component.  Ids without an edge are not listed.
