@@ -164,16 +164,18 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def finding_code(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Code of the first function with the finding's name, the whole file when
-    there is none.  Only files with findings travel, once, already cut to units."""
+    there is none.  Files with findings are cut to their functions where they lie;
+    a finding meets one function's code, and contents only when it has none."""
     wanted = findings.select("project_name", F.col("file").alias("file_path")).distinct()
-    parts, array = _unit_arrays(files.join(wanted, ["project_name", "file_path"], "left_semi"))
-    texts = parts.select(
-        "project_name", F.col("file_path").alias("file"), F.col("content").alias("_whole"),
-        F.filter(array, lambda u: u["node_type"] == "function").alias("_units"),
-    )
-    joined = findings.join(texts, ["project_name", "file"], "left")
-    named = F.filter("_units", lambda u: u["name"] == F.col("function"))
-    return joined.withColumn("code", F.coalesce(F.get(named, F.lit(0))["code"], F.col("_whole"))).drop("_whole", "_units")
+    mine = files.join(wanted, ["project_name", "file_path"], "left_semi")
+    named = extract_units(mine).filter(F.col("node_type") == "function").groupBy(
+        "project_name", F.col("file_path").alias("file"), F.col("name").alias("function")
+    ).agg(F.min_by("code", "pos").alias("_code"))
+    found = findings.join(named, ["project_name", "file", "function"], "left")
+    whole = mine.select(F.col("project_name").alias("_project"), F.col("file_path").alias("_path"), F.col("content").alias("_whole"))
+    bare = F.when(F.col("_code").isNull(), F.col("file"))
+    joined = found.join(whole, (F.col("project_name") == F.col("_project")) & (bare == F.col("_path")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in findings.columns], F.coalesce("_code", "_whole").alias("code"))
 
 
 def unit_stats(files: DataFrame, findings: DataFrame) -> DataFrame:
