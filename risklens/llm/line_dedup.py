@@ -4,8 +4,8 @@ The distinct words of a line, rarest first, are its tokens.  Two lines of Jaccar
 ``percent`` share a token among their first ``n - ceil(percent * n / 100) + 1``, so
 only those are sent.  Lines that meet at a token pass a length filter, a positional
 filter (what can still be common after this token) and a bitmap filter (parity
-bits of both sets differ in at most as many places as the sets), and are then
-verified on their tokens.  A line is removed if a similar line comes earlier.
+bits of both sets differ in at most as many places as the sets), first on 64 bits
+and then on ``WIDE_BITS``, and are then verified on their tokens.  A line is removed if a similar line comes earlier.
 
 Rarity is counted over all words in a fixed number of hash ranges; any total order
 of the tokens gives exact results.
@@ -27,6 +27,7 @@ from risklens.session import materialize
 
 RARITY_RANGES = 1 << 16
 FLUSH = 1 << 21
+WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
 NO_ID = np.iinfo(np.int64).max
 
 TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
@@ -109,6 +110,15 @@ class Lines:
             self.set = self.bits = np.zeros(0, dtype=U64)
 
 
+def wide_bits(lines: Lines, use: np.ndarray) -> np.ndarray:
+    """``WIDE_BITS`` parity bits of each line in ``use``, as rows of words."""
+    owner = np.repeat(np.arange(len(use)), lines.size[use])
+    spot = mix(lines.key[ranges(lines.begin[use], lines.size[use])] ^ U64(0x9E6C63D0876A9A99)) & U64(WIDE_BITS - 1)
+    words = np.zeros(len(use) * (WIDE_BITS // 64), dtype=U64)
+    np.bitwise_xor.at(words, owner * (WIDE_BITS // 64) + (spot >> U64(6)).astype(np.int64), U64(1) << (spot & U64(63)))
+    return words.reshape(len(use), -1)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
@@ -281,7 +291,8 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
         F.first("doc").alias("doc"), F.first("line").alias("line"), F.first("other_doc").alias("other_doc"), F.first("other_line").alias("other_line")
     ), "pairs")
     both = pairs.select("set", "doc", "line").union(pairs.select("other", "other_doc", "other_line"))
-    per_doc = materialize(both.distinct().groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("lines")), "lines")
+    places = both.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line")
+    per_doc = materialize(places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("lines")), "lines")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -291,12 +302,21 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
             counts = pa.compute.list_value_length(wanted).to_numpy()
             place = (np.repeat(np.arange(len(counts)), counts) << 32) | wanted.flatten().to_numpy()
             use = np.flatnonzero(np.isin((lines.row.astype(np.int64) << 32) | lines.number, place))
+            wide = wide_bits(lines, use)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lines.set[use].astype(np.int64)),
+                [pa.array(lines.set[use].astype(np.int64)), pa.array(lines.size[use].astype(np.int32)), pa.array([x.tobytes() for x in wide], pa.binary()),
                  pa.array([lines.key[b : b + s].tobytes() for b, s in zip(lines.begin[use].tolist(), lines.size[use].tolist())], pa.binary())],
-                names=["id", "tokens"],
+                names=["id", "n", "wide", "tokens"],
             )
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=U64).reshape(-1, WIDE_BITS // 64) for c in ("mine", "theirs"))
+            total = b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok = apart <= total - 2 * -(-total * rules.percent // (100 + rules.percent))
+            yield b.select(["set", "other", "doc", "line"]).filter(pa.array(ok, pa.bool_()))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
@@ -307,10 +327,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
             yield b.select(["set", "doc", "line"]).filter(pa.array(ok, pa.bool_()))
 
     joined = small_join(docs, per_doc, F.col("doc") == F.col("_doc"), "inner", 64)
-    found = joined.select("text", "lines").mapInArrow(tokens, "id bigint, tokens binary")
-    sets = materialize(found.groupBy("id").agg(F.first("tokens").alias("tokens")), "tokens")
+    # a set is read from one place, so it comes once
+    sets = materialize(joined.select("text", "lines").mapInArrow(tokens, "id bigint, n int, wide binary, tokens binary"), "tokens")
+    wide_mine = sets.select(F.col("id").alias("set"), "n", F.col("wide").alias("mine"))
+    wide_theirs = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("wide").alias("theirs"))
+    near = pairs.join(wide_mine, "set").join(wide_theirs, "other").select("set", "other", "doc", "line", "n", "m", "mine", "theirs")
+    likely = materialize(near.mapInArrow(sift, "set bigint, other bigint, doc bigint, line bigint"), "likely")
     mine, theirs = sets.select(F.col("id").alias("set"), F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("theirs"))
-    ready = pairs.join(mine, "set").join(theirs, "other").select("set", "doc", "line", "mine", "theirs")
+    ready = likely.join(mine, "set").join(theirs, "other").select("set", "doc", "line", "mine", "theirs")
     return materialize(ready.mapInArrow(check, "set bigint, doc bigint, line bigint").distinct(), "similar")
 
 
