@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import blocks, bucket_of, runs, small_join, unpack
+from risklens.llm.records import blocks, bucket_of, runs, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             kept, later = first_of_equal(np.concatenate(held))
             if len(later):
                 yield _removed(later, length)
-            bucket, payload = blocks(kept, kept["anchor"])
+            bucket, payload = blocks(kept, mix(kept["anchor"]))
             yield _rows(BLOCK, bucket=bucket, payload=payload)
 
         for part in slices(batches, "text", SCAN_BYTES):
@@ -191,7 +191,6 @@ def _texts_of_open(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFr
     per_doc = materialize(open_runs.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("windows").alias("windows"), F.collect_list("anchor").alias("anchor")
     ), "open")
-    total = per_doc.agg(F.coalesce(F.sum(F.size("lo")), F.lit(0)) * 24 / F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -203,16 +202,16 @@ def _texts_of_open(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFr
             records["anchor"], records["start"], records["windows"] = anchor.view(U64), lo, windows
             records["doc"] = np.repeat(part.column("doc").to_numpy(), counts)
             begin = lo + np.repeat(texts.rows[:-1], counts)
-            order = np.argsort(bucket_of(records["anchor"], SUFFIX_BUCKETS), kind="stable")
+            order = np.argsort(bucket_of(mix(records["anchor"]), SUFFIX_BUCKETS), kind="stable")
             records, begin = records[order], begin[order]
-            bucket, payload = blocks(records, records["anchor"], SUFFIX_BUCKETS)
+            bucket, payload = blocks(records, mix(records["anchor"]), SUFFIX_BUCKETS)
             sizes = records["windows"].astype(np.int64) + length - 1
             raw = texts.data[ranges(begin, sizes)].tobytes()
             ends = np.append(0, np.cumsum(sizes))
             cut = ends[np.append(0, np.cumsum([len(p) // RUN.itemsize for p in payload]))].tolist()
             yield _rows(BLOCK, bucket=bucket, payload=payload, body=[raw[a:b] for a, b in zip(cut, cut[1:])])
 
-    joined = small_join(docs, per_doc, F.col("doc") == F.col("_doc"), "inner", int(total) + 16)
+    joined = docs.join(per_doc, F.col("doc") == F.col("_doc"))
     return joined.select("doc", "text", "lo", "windows", "anchor").mapInArrow(run, ROWS)
 
 
@@ -418,8 +417,7 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
         spans = part.filter(F.col("kind") == REMOVED).select("doc", "lo", "hi")
         removed = spans if removed is None else removed.union(spans)
     per_doc = materialize(removed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
-    width = per_doc.agg(F.coalesce(F.sum(F.size("lo")), F.lit(0)) * 16 / F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
-    joined = small_join(docs, per_doc, F.col("doc") == F.col("_doc"), "left", int(width) + 16)
+    joined = docs.join(per_doc, F.col("doc") == F.col("_doc"), "left")
     return joined.select("doc_id", "text", "lo", "hi").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     )
