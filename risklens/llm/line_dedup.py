@@ -4,7 +4,7 @@ The distinct words of a line, rarest first, are its tokens.  Two lines of Jaccar
 ``percent`` share a token among their first ``n - ceil(percent * n / 100) + 1``, so
 only those are sent.  Lines that meet at a token pass a length filter, a positional
 filter (what can still be common after this token) and a bitmap filter (parity
-bits of both sets differ in at most as many places as the sets), first on 64 bits
+bits of both sets differ in at most as many places as the sets), first on 256 bits
 and then on ``WIDE_BITS``, and are then verified on their tokens.  A line is removed if a similar line comes earlier.
 
 Rarity is counted over all words in a fixed number of hash ranges; any total order
@@ -30,7 +30,8 @@ FLUSH = 1 << 21
 WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
 NO_ID = np.iinfo(np.int64).max
 
-TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
+NARROW_WORDS = 4  # 64-bit words of parity bits that travel with each token
+TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
 REMOVED, BLOCK, PAIR, LIVE = 1, 2, 3, 4
 _TYPES = [("doc", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("other_doc", pa.int64()),
           ("other_line", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
@@ -105,9 +106,12 @@ class Lines:
         if len(self.begin):
             mixed = mix(self.key ^ U64(0x2545F4914F6CDD1D))
             self.set = mix(np.add.reduceat(mixed, self.begin) + self.size.astype(U64) * U64(0xD6E8FEB86659FD93)) >> U64(1)
-            self.bits = np.bitwise_xor.reduceat(U64(1) << (mixed & U64(63)), self.begin)
+            self.bits = np.empty((len(self.begin), NARROW_WORDS), dtype=U64)
+            bit, word = U64(1) << (mixed & U64(63)), (mixed >> U64(6)) & U64(NARROW_WORDS - 1)
+            for w in range(NARROW_WORDS):
+                self.bits[:, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U64(0)), self.begin)
         else:
-            self.set = self.bits = np.zeros(0, dtype=U64)
+            self.set, self.bits = np.zeros(0, dtype=U64), np.zeros((0, NARROW_WORDS), dtype=U64)
 
 
 def wide_bits(lines: Lines, use: np.ndarray) -> np.ndarray:
@@ -164,6 +168,7 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
     heads = runs(r["token"])
     end = np.repeat(np.append(heads[1:], len(r)), np.diff(np.append(heads, len(r))))
     n, pos = r["n"].astype(np.int64), r["pos"].astype(np.int64)
+    bits = [np.ascontiguousarray(r["bits"][:, w]) for w in range(NARROW_WORDS)]
     left, k = np.arange(len(r)), 0
     while len(left):
         k += 1
@@ -174,10 +179,15 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
         total = n[left] + n[right]
         need = -(-total * percent // (100 + percent))
         rest = 1 + np.minimum(n[left] - pos[left], n[right] - pos[right]) - 1
-        apart = np.bitwise_count(r["bits"][left] ^ r["bits"][right]).astype(np.int64)
-        ok = (rest >= need) & (apart <= total - 2 * need) & (r["set"][left] != r["set"][right])
+        a, b, most = left[rest >= need], right[rest >= need], (total - 2 * need)[rest >= need]
+        d = np.zeros(len(a), dtype=np.int64)
+        for w in range(NARROW_WORDS):  # bits that differ only add up, so a word too many ends it
+            d += np.bitwise_count(bits[w][a] ^ bits[w][b])
+            ok = d <= most
+            a, b, d, most = a[ok], b[ok], d[ok], most[ok]
+        ok = r["set"][a] != r["set"][b]
         if ok.any():
-            a, b, d = left[ok], right[ok], apart[ok]
+            a, b, d = a[ok], b[ok], d[ok]
             a_later = (r["doc"][a] > r["doc"][b]) | ((r["doc"][a] == r["doc"][b]) & (r["line"][a] > r["line"][b]))
             yield a[a_later], b[a_later], d[a_later]
             yield b[~a_later], a[~a_later], d[~a_later]
@@ -229,13 +239,13 @@ def _meet(rows: DataFrame, rules: LineRules) -> DataFrame:
         r, later = first_of_sets(unpack(parts, TOKEN))
         yield _rows(REMOVED, doc=later["doc"], line=later["line"].astype(np.int64))
         r = r[np.lexsort((r["n"], r["token"]))]
-        closest, partner = np.full(len(r), 255), np.zeros(len(r), dtype=np.int64)
+        closest, partner = np.full(len(r), 1 << 20), np.zeros(len(r), dtype=np.int64)
         live = np.zeros(len(r), dtype=bool)
         for x, y, d in filtered_pairs(r, rules.percent):
             live[x] = live[y] = True
             better = d < closest[x]
             closest[x[better]], partner[x[better]] = d[better], y[better]
-        x = np.flatnonzero(closest < 255)
+        x = np.flatnonzero(closest < 1 << 20)
         pairs = np.stack([r["set"][x], r["set"][partner[x]]], axis=1)
         order = np.lexsort((pairs[:, 1], pairs[:, 0]))
         x = x[order][runs(pairs[order, 0], pairs[order, 1])]
