@@ -26,7 +26,7 @@ from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
 RARITY_RANGES = 1 << 16
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
 NO_ID = np.iinfo(np.int64).max
 
