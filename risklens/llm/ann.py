@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,25 +118,40 @@ class Tree:
         near = box_distance(point, self.low, self.high)
         norm = math.sqrt(np.einsum("i,i->", vector, vector))
         best: list[tuple[float, int]] = []
-        for leaf in np.argsort(near, kind="stable").tolist():
+        order, at, step = np.argsort(near, kind="stable"), 0, 1
+        while at < len(order):
             kth = max(bound, -best[rules.k - 1][0] if len(best) >= rules.k else -2.0)
-            if near[leaf] > 0 and passed(near[leaf], kth, rules):
+            # the leaves that the present k-th best does not rule out, a few at a time
+            ahead = order[at : at + step]
+            open_ = int((~((near[ahead] > 0) & passed(near[ahead], kth, rules))).sum())
+            if not open_:
                 break
-            at = self.leaves[leaf]
-            score = np.einsum("ij,j->i", self.vectors[at], vector) / (self.norm[at] * norm)
-            ids = self.ids[at]
+            rows = np.concatenate([self.leaves[leaf] for leaf in ahead[:open_].tolist()])
+            score = np.einsum("ij,j->i", self.vectors[rows], vector) / (self.norm[rows] * norm)
+            ids = self.ids[rows]
             use = (score >= kth) & (ids != own)
-            best = sorted(best + list(zip((-score[use]).tolist(), ids[use].tolist())))[: rules.k]
+            if use.any():
+                best = sorted(best + list(zip((-score[use]).tolist(), ids[use].tolist())))[: rules.k]
+            at, step = at + open_, min(2 * step, 16)
         return [(-s, i) for s, i in best]
 
 
-def passed(near: float, kth: float, rules: AnnRules) -> bool:
-    """Whether a vector beyond squared projected distance ``near`` is unlikely to beat
+@lru_cache
+def chi_square_limit(certainty: float) -> float:
+    """Where the distribution function reaches ``certainty``."""
+    low, high = 0.0, 1000.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(np.array(middle)) < certainty else (low, middle)
+    return high
+
+
+def passed(near: np.ndarray, kth: float, rules: AnnRules) -> np.ndarray:
+    """Whether vectors beyond squared projected distances ``near`` are unlikely to beat
     the score ``kth`` (below -1: there is none yet)."""
     if kth < -1.5:
-        return False
-    distance = max(2 - 2 * kth, 1e-12)
-    return float(chi_square(np.array(near / distance))) >= rules.certainty
+        return np.zeros(len(near), dtype=bool)
+    return near >= chi_square_limit(rules.certainty) * max(2 - 2 * kth, 1e-12)
 
 
 def usable(vec: Column, dim: int) -> Column:
@@ -270,7 +286,8 @@ def nearest(df: DataFrame, every: int = 50, rules: AnnRules = AnnRules(), vec_id
                 point = project(np.frombuffer(vec, dtype="<f8")[None, :], matrix)[0]
                 with np.errstate(invalid="ignore"):
                     near = np.where(parts > 0, box_distance(point, low, high), np.inf)
-                go = [c for c in np.flatnonzero(np.isfinite(near)).tolist() if c != cell and not (near[c] > 0 and passed(near[c], bound, rules))]
+                go = np.flatnonzero(np.isfinite(near) & ~((near > 0) & passed(near, bound, rules)))
+                go = [c for c in go.tolist() if c != cell]
                 visits = [(c, p) for c in go for p in range(int(parts[c]))]
                 if visits:
                     n = len(visits)
