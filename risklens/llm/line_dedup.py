@@ -43,7 +43,7 @@ class LineRules:
     """Lines with fewer than ``min_tokens`` distinct words are left alone."""
 
     percent: int = 80
-    min_tokens: int = 5
+    min_tokens: int = 1
 
 
 def _rows(kind: int, **columns) -> pa.RecordBatch:

@@ -83,3 +83,14 @@ def test_odd_rows_and_stage(spark, odd_docs, no_docs, odd_texts):
     assert 0 in ids and 1 in ids and 8 not in ids
     clash = odd_docs.selectExpr("*", "1 as removed", "2 as line", "3 as doc", "4 as set")
     assert remove_lines(clash).count() == odd_docs.count()
+
+
+def test_short_lines(spark):
+    """Furniture of few distinct words, and a four-word line that is near a five-word one."""
+    menu, few = "Home | About", "spam ham eggs tea " * 125
+    texts = [f"{menu}\nthe first text has words of its own\nAll rights reserved.", f"{menu}\n{few}\nMore", f"all rights reserved.\n{few}\nMore",
+             "More\nAll  rights reserved.\nspam ham eggs tea milk", menu, "Home"]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.text) for r in lines_query(docs).collect()}
+    assert got == {0: (0, texts[0]), 1: (1, f"{few}\nMore"), 2: (2, "all rights reserved."), 3: (3, ""), 4: (1, ""), 5: (0, "Home")}
+    assert {r.doc_id for r in lines_stage(docs).collect()} == {0, 1, 2, 5}
