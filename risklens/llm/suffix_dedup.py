@@ -36,7 +36,7 @@ SCAN_BYTES = 256 << 10
 SUFFIX_BUCKETS = 512
 NO_ID = np.iinfo(np.int64).max  # a null id sorts after all others
 
-RUN = np.dtype([("anchor", "<u8"), ("body", "<u4"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u2")])
+RUN = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u2")])
 ROWS = "kind int, doc bigint, lo bigint, hi bigint, anchor bigint, windows int, bucket int, payload binary, body binary"
 _TYPES = [("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("windows", pa.int32()),
           ("bucket", pa.int32()), ("payload", pa.binary()), ("body", pa.binary())]
@@ -74,8 +74,9 @@ def anchors(kh: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_runs(texts: Texts, docs: np.ndarray, length: int, hasher: Hasher) -> np.ndarray:
-    """Runs of neighbouring windows with one anchor, as ``RUN`` records."""
+def window_runs(texts: Texts, docs: np.ndarray, length: int, hasher: Hasher, second: Hasher) -> np.ndarray:
+    """Runs of neighbouring windows with one anchor, as ``RUN`` records.  The anchor is
+    64 bits of the first hash, the body 64 bits of the second one."""
     sizes = np.diff(texts.rows)
     count = np.maximum(sizes - length + 1, 0)
     if not count.sum():
@@ -91,7 +92,7 @@ def window_runs(texts: Texts, docs: np.ndarray, length: int, hasher: Hasher) ->
     windows = np.diff(np.append(heads, len(begin)))
     out = np.empty(len(heads), dtype=RUN)
     out["anchor"] = kh[place[heads]]
-    out["body"] = (hasher.span(sums, begin[heads], begin[heads] + windows + length - 1) >> U64(32)).astype(np.uint32)
+    out["body"] = second.span(second.prefix(texts.data), begin[heads], begin[heads] + windows + length - 1)
     out["doc"] = docs[row[heads]]
     out["start"] = begin[heads] - texts.rows[row[heads]]
     out["windows"] = windows
@@ -142,7 +143,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Runs of all documents as blocks by anchor, and spans found repeated inside a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [], 0
+        hasher, second, held, size = Hasher(), Hasher(1), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             kept, later = first_of_equal(np.concatenate(held))
@@ -152,7 +153,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
             yield _rows(BLOCK, bucket=bucket, payload=payload)
 
         for part in slices(batches, "text", SCAN_BYTES):
-            new = window_runs(Texts(part.column("text")), part.column("doc").to_numpy(), length, hasher)
+            new = window_runs(Texts(part.column("text")), part.column("doc").to_numpy(), length, hasher, second)
             held.append(new)
             size += len(new)
             if size >= FLUSH:

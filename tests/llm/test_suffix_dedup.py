@@ -106,3 +106,12 @@ def test_anchors_are_leftmost_minima():
         kh = rng.integers(0, high, 900).astype(np.uint64) << np.uint64(8)
         got = anchors(kh, 77)
         assert got.tolist() == [i + int(np.argmin(kh[i : i + 77])) for i in range(len(kh) - 76)]
+
+
+@pytest.mark.parametrize("tails", [("00003bb9", "0000a3c5"), ("00004cef", "0001495b"), ("00014538", "0001cf48")])
+def test_runs_that_agree_in_32_bits(spark, tails):
+    """One anchor, one window count, and bodies whose first hash agrees in its top 32 bits."""
+    front = "this passage of one hundred bytes stands in front of every text of the pair and holds the common anchor of both runs "
+    texts = [front + t for t in tails]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r[0]: tuple(r)[1:] for r in repeats_query(docs).collect()} == brute(texts, 100)
