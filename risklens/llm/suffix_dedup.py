@@ -5,7 +5,11 @@
    neighbouring windows mostly share theirs, so the windows of a text fall into runs.
    Runs meet by anchor hash.  A run whose anchor occurs once repeats nothing; of
    equal runs all but the first are repeats.
-2. Runs with one anchor and different text are laid end to end per bucket of
+2. An anchor with more than ``HOT_RUNS`` runs of different text is split: a window's
+   place relative to its anchor is a matter of its bytes, so windows are dealt by the
+   class of that place and the hash of the bytes that all windows of the class share.
+   Pieces meet like runs do, first by ``PIECE`` places, then window by window.
+   Other runs with one anchor and different text are laid end to end per bucket of
    anchors, and the bucket's window suffixes are sorted.  A difference cover modulo
    ``COVER`` is sampled and ranked first; suffixes are then sorted block by block on
    their first ``COVER`` bytes, and those still tied are ordered by the ranks of the
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import blocks, bucket_of, runs, unpack
+from risklens.llm.records import blocks, bucket_of, runs, small_join, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
@@ -33,7 +37,11 @@ DEPTH = 16  # 8-byte words by which samples are ranked
 SORT_BLOCK = 1 << 16  # window suffixes sorted at a time
 FLUSH = 1 << 21
 SCAN_BYTES = 256 << 10
-SUFFIX_BUCKETS = 512
+SUFFIX_BUCKETS = 512  # at least; their number follows the open bytes
+BUCKET_BYTES = 512 << 10  # of open text in a suffix bucket, about
+TASK_BYTES = 32 << 20  # of open text in a task, about
+HOT_RUNS = 1024  # runs of one anchor that go to a suffix bucket whole
+PIECE = 8
 NO_ID = np.iinfo(np.int64).max  # a null id sorts after all others
 
 RUN = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u2")])
@@ -139,28 +147,34 @@ def _removed(later: np.ndarray, length: int) -> pa.RecordBatch:
     return _rows(REMOVED, doc=doc, lo=lo, hi=hi)
 
 
+def _packed(parts: Iterator[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs as blocks by anchor, and spans found repeated inside a task."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        kept, later = first_of_equal(np.concatenate(held))
+        if len(later):
+            yield _removed(later, length)
+        bucket, payload = blocks(kept, mix(kept["anchor"]))
+        yield _rows(BLOCK, bucket=bucket, payload=payload)
+
+    for new in parts:
+        held.append(new)
+        size += len(new)
+        if size >= FLUSH:
+            yield from flush()
+            held, size = [], 0
+    if size:
+        yield from flush()
+
+
 def _scan(docs: DataFrame, length: int) -> DataFrame:
     """Runs of all documents as blocks by anchor, and spans found repeated inside a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, second, held, size = Hasher(), Hasher(1), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            kept, later = first_of_equal(np.concatenate(held))
-            if len(later):
-                yield _removed(later, length)
-            bucket, payload = blocks(kept, mix(kept["anchor"]))
-            yield _rows(BLOCK, bucket=bucket, payload=payload)
-
-        for part in slices(batches, "text", SCAN_BYTES):
-            new = window_runs(Texts(part.column("text")), part.column("doc").to_numpy(), length, hasher, second)
-            held.append(new)
-            size += len(new)
-            if size >= FLUSH:
-                yield from flush()
-                held, size = [], 0
-        if size:
-            yield from flush()
+        hasher, second = Hasher(), Hasher(1)
+        parts = slices(batches, "text", SCAN_BYTES)
+        yield from _packed((window_runs(Texts(p.column("text")), p.column("doc").to_numpy(), length, hasher, second) for p in parts), length)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -187,33 +201,106 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
     return rows.filter(F.col("kind") == BLOCK).repartition("bucket").mapInArrow(run, ROWS)
 
 
-def _texts_of_open(docs: DataFrame, open_runs: DataFrame, length: int) -> DataFrame:
-    """The open runs with their bytes, in blocks by anchor."""
+def pieces(texts: Texts, runs_: np.ndarray, row: np.ndarray, length: int, width: int, hasher: Hasher, second: Hasher) -> np.ndarray:
+    """The windows of these runs as ``RUN`` records of windows whose places relative
+    to the anchor are of one class of ``width``.  ``anchor`` is a hash of the run's
+    anchor, the class and the bytes that all windows of the class share; equal windows
+    are in pieces of equal ``anchor``."""
+    if not len(runs_):
+        return runs_
+    sums = hasher.prefix(texts.data)
+    n = len(texts.data) - GRAM + 1
+    kh = mix((sums[GRAM:] - sums[:-GRAM]) * hasher.inverse[:n])
+    begin = runs_["start"] + texts.rows[row]
+    high = kh[begin[:, None] + np.arange(length - GRAM + 1)] & ~U64(255)
+    place = begin + high.argmin(axis=1)
+    windows = runs_["windows"].astype(np.int64)
+    owner = np.repeat(np.arange(len(runs_)), windows)
+    at = ranges(begin, windows)
+    kind = (place[owner] - at) // width
+    heads = runs(owner, kind)
+    count = np.diff(np.append(heads, len(at)))
+    owner, at, kind = owner[heads], at[heads], kind[heads]
+    low = place[owner] - kind * width
+    shared = hasher.span(sums, low, low + length - width + 1)
+    out = runs_[owner]
+    out["anchor"] = mix(shared ^ mix(runs_["anchor"][owner] + kind.astype(U64) * U64(0x9E3779B97F4A7C15)))
+    out["body"] = second.span(second.prefix(texts.data), at, at + count + length - 1)
+    out["start"] = at - texts.rows[row[owner]]
+    out["windows"] = count
+    return out
+
+
+def _with_runs(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
+    """Documents that have open runs, with lists of them."""
     per_doc = materialize(open_runs.groupBy(F.col("doc").alias("_doc")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("windows").alias("windows"), F.collect_list("anchor").alias("anchor")
     ), "open")
+    return docs.join(per_doc, F.col("doc") == F.col("_doc")).select("doc", "text", "lo", "windows", "anchor")
+
+
+def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The listed runs as records, and each one's row."""
+    lists = [part.column(c) for c in ("lo", "windows", "anchor")]
+    counts = pa.compute.list_value_length(lists[0]).to_numpy()
+    lo, windows, anchor = (x.flatten().to_numpy() for x in lists)
+    row = np.repeat(np.arange(len(counts)), counts)
+    records = np.zeros(len(lo), dtype=RUN)
+    records["anchor"], records["start"], records["windows"] = anchor.view(U64), lo, windows
+    records["doc"] = part.column("doc").to_numpy()[row]
+    return records, row
+
+
+def _split(docs: DataFrame, hot: DataFrame, length: int, width: int) -> DataFrame:
+    """The hot runs in pieces, as blocks, and spans found repeated inside a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, second = Hasher(), Hasher(1)
+        parts = slices(batches, "text", SCAN_BYTES)
+        yield from _packed((pieces(Texts(p.column("text")), *_listed(p), length, width, hasher, second) for p in parts), length)
+
+    return _with_runs(docs, hot).mapInArrow(run, ROWS)
+
+
+def _settle(docs: DataFrame, open_runs: DataFrame, length: int) -> list[DataFrame]:
+    """Tables with the repeated spans among open runs."""
+    out: list[DataFrame] = []
+    cold: DataFrame | None = None
+    for width in (PIECE, 1):
+        hot = materialize(open_runs.groupBy("anchor").count().filter(F.col("count") > HOT_RUNS).select("anchor"), "hot")
+        if hot.isEmpty():
+            break
+        few = small_join(open_runs, hot, "anchor", "left_anti", 8)
+        cold = few if cold is None else cold.union(few)
+        split = materialize(_split(docs, small_join(open_runs, hot, "anchor", "left_semi", 8), length, width), "pieces")
+        met = materialize(_meet(split, length), "met")
+        out += [split, met]
+        open_runs = met.filter(F.col("kind") == OPEN)
+    # what single windows leave open is one hash for different bytes, so it is not hot
+    cold = open_runs if cold is None else cold.union(open_runs)
+    size = cold.agg(F.sum(F.col("windows").cast("bigint") + (length - 1))).first()[0] or 0
+    buckets = max(SUFFIX_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
+    return [*out, materialize(_resolve(_texts_of_open(docs, cold, length, buckets), length, size), "resolved")]
+
+
+def _texts_of_open(docs: DataFrame, open_runs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """The open runs with their bytes, in blocks by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = Texts(part.column("text"))
-            lists = [part.column(c) for c in ("lo", "windows", "anchor")]
-            counts = pa.compute.list_value_length(lists[0]).to_numpy()
-            lo, windows, anchor = (x.flatten().to_numpy() for x in lists)
-            records = np.zeros(len(lo), dtype=RUN)
-            records["anchor"], records["start"], records["windows"] = anchor.view(U64), lo, windows
-            records["doc"] = np.repeat(part.column("doc").to_numpy(), counts)
-            begin = lo + np.repeat(texts.rows[:-1], counts)
-            order = np.argsort(bucket_of(mix(records["anchor"]), SUFFIX_BUCKETS), kind="stable")
+            records, row = _listed(part)
+            begin = records["start"] + texts.rows[row]
+            order = np.argsort(bucket_of(mix(records["anchor"]), buckets), kind="stable")
             records, begin = records[order], begin[order]
-            bucket, payload = blocks(records, mix(records["anchor"]), SUFFIX_BUCKETS)
+            bucket, payload = blocks(records, mix(records["anchor"]), buckets)
             sizes = records["windows"].astype(np.int64) + length - 1
             raw = texts.data[ranges(begin, sizes)].tobytes()
             ends = np.append(0, np.cumsum(sizes))
             cut = ends[np.append(0, np.cumsum([len(p) // RUN.itemsize for p in payload]))].tolist()
             yield _rows(BLOCK, bucket=bucket, payload=payload, body=[raw[a:b] for a, b in zip(cut, cut[1:])])
 
-    joined = docs.join(per_doc, F.col("doc") == F.col("_doc"))
-    return joined.select("doc", "text", "lo", "windows", "anchor").mapInArrow(run, ROWS)
+    return _with_runs(docs, open_runs).mapInArrow(run, ROWS)
 
 
 def difference_cover(v: int) -> list[int]:
@@ -347,8 +434,8 @@ def repeated_windows(records: np.ndarray, data: np.ndarray, length: int) -> tupl
     return np.concatenate(out_doc), np.concatenate(out_start)
 
 
-def _resolve(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated spans among the open runs, bucket after bucket."""
+def _resolve(rows: DataFrame, length: int, size: int) -> DataFrame:
+    """Repeated spans among the open runs, whose texts have ``size`` bytes, bucket after bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[bytes], list[bytes]]] = {}
@@ -364,7 +451,9 @@ def _resolve(rows: DataFrame, length: int) -> DataFrame:
                 doc, lo, hi = merge_spans(doc, start, start + length)
                 yield _rows(REMOVED, doc=doc, lo=lo, hi=hi)
 
-    return rows.repartition("bucket").mapInArrow(run, ROWS)
+    tasks = -(-size // TASK_BYTES)
+    many = tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(tasks, "bucket") if many else rows.repartition("bucket")).mapInArrow(run, ROWS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +489,8 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
     table gives an empty table.
 
     Equal runs are reduced to their first inside each task before anything is
-    shuffled, so copies of a text or a passage do not gather; memory is bounded by a
-    partition of packed runs or a suffix bucket.  ``length`` is between 32 and 128.
+    shuffled, so copies of a text or a passage do not gather; hot anchors are split, so
+    memory is bounded by a partition of packed runs or a suffix bucket of bounded text.  ``length`` is between 32 and 128.
     """
     if not 32 <= length <= 8 * DEPTH:
         raise ValueError("length must be between 32 and 128")
@@ -412,9 +501,8 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
     keyed = docs.select("doc", "text")
     scanned = materialize(_scan(keyed, length), "runs")
     met = materialize(_meet(scanned, length), "met")
-    resolved = materialize(_resolve(_texts_of_open(keyed, met.filter(F.col("kind") == OPEN), length), length), "resolved")
     removed = None
-    for part in (scanned, met, resolved):
+    for part in (scanned, met, *_settle(keyed, met.filter(F.col("kind") == OPEN), length)):
         spans = part.filter(F.col("kind") == REMOVED).select("doc", "lo", "hi")
         removed = spans if removed is None else removed.union(spans)
     per_doc = materialize(removed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")

@@ -115,3 +115,19 @@ def test_runs_that_agree_in_32_bits(spark, tails):
     texts = [front + t for t in tails]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert {r[0]: tuple(r)[1:] for r in repeats_query(docs).collect()} == brute(texts, 100)
+
+
+@pytest.mark.parametrize("hot", [1, 20])
+def test_hot_anchors_are_split(spark, words, hot, monkeypatch):
+    """A passage of most texts: its edges differ everywhere, and no suffix bucket gets them all."""
+    rng = random.Random(hot)
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    ends = ["", "one same end of many texts ", "y" * 60]
+    texts = [f"{rng.randrange(10**12)} {rng.choice(ends)}{passage}{rng.choice(ends)} {rng.randrange(10**12)}" for _ in range(90)] + corpus(words, rng)
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    whole = suffix_dedup._texts_of_open
+    monkeypatch.setattr(suffix_dedup, "_texts_of_open", lambda d, runs, *a: sizes.append(runs.groupBy("anchor").count().agg({"count": "max"}).first()[0]) or whole(d, runs, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    assert {r[0]: tuple(r)[1:] for r in repeats_query(docs).collect()} == brute(texts, 100)
+    assert len(sizes) == 1 and (sizes[0] or 0) <= hot
