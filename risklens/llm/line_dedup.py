@@ -21,21 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import blocks, runs, small_join, unpack
+from risklens.llm.records import blocks, row_keys, runs, small_join, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
 RARITY_RANGES = 1 << 16
 FLUSH = 1 << 19
 WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
-NO_ID = np.iinfo(np.int64).max
 
 NARROW_WORDS = 4  # 64-bit words of parity bits that travel with each token
-TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
+TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
 REMOVED, BLOCK, PAIR, LIVE = 1, 2, 3, 4
-_TYPES = [("doc", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("other_doc", pa.int64()),
-          ("other_line", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
-ROWS = "kind int, doc bigint, line bigint, set bigint, other bigint, other_doc bigint, other_line bigint, bucket int, payload binary"
+_TYPES = [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("other_doc", pa.int64()),
+          ("other_tie", pa.int64()), ("other_line", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
+ROWS = "kind int, doc bigint, tie bigint, line bigint, set bigint, other bigint, other_doc bigint, other_tie bigint, other_line bigint, bucket int, payload binary"
 
 
 @dataclass(frozen=True)
@@ -127,7 +126,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def token_records(lines: Lines, docs: np.ndarray, rules: LineRules) -> np.ndarray:
+def token_records(lines: Lines, docs: np.ndarray, ties: np.ndarray, rules: LineRules) -> np.ndarray:
     """One record per prefix token of every line that is long enough."""
     use = np.flatnonzero(lines.size >= rules.min_tokens)
     count = prefix_size(lines.size[use], rules.percent)
@@ -135,7 +134,7 @@ def token_records(lines: Lines, docs: np.ndarray, rules: LineRules) -> np.ndarra
     at = ranges(lines.begin[use], count)
     out = np.empty(len(at), dtype=TOKEN)
     out["token"], out["set"], out["bits"] = lines.key[at], lines.set[owner], lines.bits[owner]
-    out["doc"], out["line"], out["n"] = docs[lines.row[owner]], lines.number[owner], lines.size[owner]
+    out["doc"], out["tie"], out["line"], out["n"] = docs[lines.row[owner]], ties[lines.row[owner]], lines.number[owner], lines.size[owner]
     out["pos"] = np.minimum(at - lines.begin[owner], 65535)  # too small a place only weakens the filter
     return out
 
@@ -150,11 +149,11 @@ def first_of_sets(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     twin[1:] |= same
     twin[:-1] |= same
     single, rest = records[~twin], records[twin]
-    rest = rest[np.lexsort((rest["line"], rest["doc"], rest["set"], rest["n"], rest["token"]))]
+    rest = rest[np.lexsort((rest["line"], rest["tie"], rest["doc"], rest["set"], rest["n"], rest["token"]))]
     heads = runs(rest["token"], rest["set"])
     kept = rest[heads]
     owner = np.repeat(kept, np.diff(np.append(heads, len(rest))))
-    later = ((rest["doc"] != owner["doc"]) | (rest["line"] != owner["line"])) & (rest["pos"] == 0)
+    later = ((rest["doc"] != owner["doc"]) | (rest["tie"] != owner["tie"]) | (rest["line"] != owner["line"])) & (rest["pos"] == 0)
     return np.concatenate([single, kept]), rest[later]
 
 
@@ -188,7 +187,8 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
         ok = r["set"][a] != r["set"][b]
         if ok.any():
             a, b, d = a[ok], b[ok], d[ok]
-            a_later = (r["doc"][a] > r["doc"][b]) | ((r["doc"][a] == r["doc"][b]) & (r["line"][a] > r["line"][b]))
+            same, tied = r["doc"][a] == r["doc"][b], r["tie"][a] == r["tie"][b]
+            a_later = np.where(same & tied, r["line"][a] > r["line"][b], np.where(same, r["tie"][a] > r["tie"][b], r["doc"][a] > r["doc"][b]))
             yield a[a_later], b[a_later], d[a_later]
             yield b[~a_later], a[~a_later], d[~a_later]
 
@@ -196,7 +196,7 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
 def _pairs(r: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
     x, y = r[later], r[earlier]
     long = lambda v: v.astype(np.int64)
-    return _rows(PAIR, doc=x["doc"], line=long(x["line"]), set=long(x["set"]), other=long(y["set"]), other_doc=y["doc"], other_line=long(y["line"]))
+    return _rows(PAIR, doc=x["doc"], tie=x["tie"], line=long(x["line"]), set=long(x["set"]), other=long(y["set"]), other_doc=y["doc"], other_tie=y["tie"], other_line=long(y["line"]))
 
 
 def _scan(docs: DataFrame, ranks: np.ndarray, rules: LineRules) -> DataFrame:
@@ -207,12 +207,12 @@ def _scan(docs: DataFrame, ranks: np.ndarray, rules: LineRules) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             kept, later = first_of_sets(np.concatenate(held))
-            yield _rows(REMOVED, doc=later["doc"], line=later["line"].astype(np.int64))
+            yield _rows(REMOVED, doc=later["doc"], tie=later["tie"], line=later["line"].astype(np.int64))
             bucket, payload = blocks(kept, mix(kept["token"]))
             yield _rows(BLOCK, bucket=bucket, payload=payload)
 
         for part in slices(batches, "text"):
-            new = token_records(Lines(Texts(part.column("text")), hasher, ranks), part.column("doc").to_numpy(), rules)
+            new = token_records(Lines(Texts(part.column("text")), hasher, ranks), part.column("doc").to_numpy(), part.column("tie").to_numpy(), rules)
             held.append(new)
             size += len(new)
             if size >= FLUSH:
@@ -237,7 +237,7 @@ def _meet(rows: DataFrame, rules: LineRules) -> DataFrame:
         if not parts:
             return
         r, later = first_of_sets(unpack(parts, TOKEN))
-        yield _rows(REMOVED, doc=later["doc"], line=later["line"].astype(np.int64))
+        yield _rows(REMOVED, doc=later["doc"], tie=later["tie"], line=later["line"].astype(np.int64))
         r = r[np.lexsort((r["n"], r["token"]))]
         closest, partner = np.full(len(r), 1 << 20), np.zeros(len(r), dtype=np.int64)
         live = np.zeros(len(r), dtype=bool)
@@ -254,7 +254,7 @@ def _meet(rows: DataFrame, rules: LineRules) -> DataFrame:
         bucket, payload = blocks(found, mix(found["token"]))
         yield _rows(LIVE, bucket=bucket, payload=payload)
 
-    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc", "line"), F.lit(1 << 30)).cast("int"))
+    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc", "tie", "line"), F.lit(1 << 30)).cast("int"))
     return rows.repartition(spread).mapInArrow(run, ROWS)
 
 
@@ -298,11 +298,11 @@ def _remaining(live: DataFrame, matched: DataFrame, rules: LineRules) -> DataFra
 def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRules) -> DataFrame:
     """(set, doc, line) of the lines that are similar to their earlier candidate."""
     pairs = materialize(pairs.groupBy("set", "other").agg(
-        F.first("doc").alias("doc"), F.first("line").alias("line"), F.first("other_doc").alias("other_doc"), F.first("other_line").alias("other_line")
+        F.first("doc").alias("doc"), F.first("tie").alias("tie"), F.first("line").alias("line"), F.first("other_doc").alias("other_doc"), F.first("other_tie").alias("other_tie"), F.first("other_line").alias("other_line")
     ), "pairs")
-    both = pairs.select("set", "doc", "line").union(pairs.select("other", "other_doc", "other_line"))
-    places = both.groupBy("set").agg(F.min(F.struct("doc", "line")).alias("at")).select("at.doc", "at.line")
-    per_doc = materialize(places.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("lines")), "lines")
+    both = pairs.select("set", "doc", "tie", "line").union(pairs.select("other", "other_doc", "other_tie", "other_line"))
+    places = both.groupBy("set").agg(F.min(F.struct("doc", "tie", "line")).alias("at")).select("at.doc", "at.tie", "at.line")
+    per_doc = materialize(places.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_set("line").alias("lines")), "lines")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -325,7 +325,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
             total = b.column("n").to_numpy().astype(np.int64) + b.column("m").to_numpy()
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             ok = apart <= total - 2 * -(-total * rules.percent // (100 + rules.percent))
-            yield b.select(["set", "other", "doc", "line"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["set", "other", "doc", "tie", "line"]).filter(pa.array(ok, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -334,56 +334,53 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
                 x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= rules.percent * (len(x) + len(y) - common))
-            yield b.select(["set", "doc", "line"]).filter(pa.array(ok, pa.bool_()))
+            yield b.select(["set", "doc", "tie", "line"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = small_join(docs, per_doc, F.col("doc") == F.col("_doc"), "inner", 64)
+    joined = small_join(docs, per_doc, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "inner", 72)
     # a set is read from one place, so it comes once
     sets = materialize(joined.select("text", "lines").mapInArrow(tokens, "id bigint, n int, wide binary, tokens binary"), "tokens")
     wide_mine = sets.select(F.col("id").alias("set"), "n", F.col("wide").alias("mine"))
     wide_theirs = sets.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("wide").alias("theirs"))
-    near = pairs.join(wide_mine, "set").join(wide_theirs, "other").select("set", "other", "doc", "line", "n", "m", "mine", "theirs")
-    likely = materialize(near.mapInArrow(sift, "set bigint, other bigint, doc bigint, line bigint"), "likely")
+    near = pairs.join(wide_mine, "set").join(wide_theirs, "other").select("set", "other", "doc", "tie", "line", "n", "m", "mine", "theirs")
+    likely = materialize(near.mapInArrow(sift, "set bigint, other bigint, doc bigint, tie bigint, line bigint"), "likely")
     mine, theirs = sets.select(F.col("id").alias("set"), F.col("tokens").alias("mine")), sets.select(F.col("id").alias("other"), F.col("tokens").alias("theirs"))
-    ready = likely.join(mine, "set").join(theirs, "other").select("set", "doc", "line", "mine", "theirs")
-    return materialize(ready.mapInArrow(check, "set bigint, doc bigint, line bigint").distinct(), "similar")
+    ready = likely.join(mine, "set").join(theirs, "other").select("set", "doc", "tie", "line", "mine", "theirs")
+    return materialize(ready.mapInArrow(check, "set bigint, doc bigint, tie bigint, line bigint").distinct(), "similar")
 
 
-def repeated_lines(df: DataFrame, rules: LineRules = LineRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, lines): for each document with any, the numbers (from 0) of its lines
-    that are similar to an earlier line, at a smaller id or earlier in the document.
+def repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """(doc, tie, lines) of (doc, tie, text), keyed by ``row_keys``: for each document with any, the numbers (from 0) of its lines
+    that are similar to an earlier line, at a smaller key or earlier in the document.
 
     Lines are cut at line feeds; words are runs without ASCII white space, as they
     are written.  Whether a line is similar is judged on the input alone, so a removed
-    line still removes later ones.  Null ids come after all others (as the largest
-    long).  Rows with one id are one document: lines at one place of both are one
-    line.  Null, empty and blank texts have no lines.  Only the two named columns are
-    read.  An empty table gives an empty table.
+    line still removes later ones.  Null ids come after all others, each
+    row a document.  Rows with one id and one text are one document: lines at one place
+    of both are one line.  Null, empty and blank texts have no lines.  An empty table gives an empty table.
 
     Equal lines are reduced to their first inside each task, so a line that occurs in
     a third of all documents is one record per task.  Candidates are settled in two
     rounds: each line's closest candidate first, then all candidates of the lines
     that are still open, so a large family of similar lines does not give all its pairs.
     """
-    docs = df.select(
-        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(int(NO_ID))).alias("doc"), F.col(f"`{text}`").cast("string").alias("text")
-    )
     ranks = rarity_ranks(docs)
     met = materialize(_meet(_scan(docs, ranks, rules), rules), "met")
     near = _verify(docs, met.filter(F.col("kind") == PAIR), ranks, rules)
     rest = _remaining(met.filter(F.col("kind") == LIVE), near.select("set").distinct(), rules)
     late = _verify(docs, rest, ranks, rules)
-    removed = met.filter(F.col("kind") == REMOVED).select("doc", "line").union(near.select("doc", "line")).union(late.select("doc", "line"))
-    return materialize(removed.groupBy("doc").agg(F.collect_set("line").alias("lines")), "removed")
+    removed = met.filter(F.col("kind") == REMOVED).select("doc", "tie", "line").union(near.select("doc", "tie", "line")).union(late.select("doc", "tie", "line"))
+    return materialize(removed.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines")), "removed")
 
 
 def remove_lines(df: DataFrame, rules: LineRules = LineRules(), doc_id: str = "doc_id", text: str = "text", out: str = "removed") -> DataFrame:
     """``df`` with repeated lines cut out of ``text`` and their numbers in the array
     column ``out``; see :func:`repeated_lines`.  A column named ``out`` is replaced,
     all others stay."""
-    gone = repeated_lines(df, rules, doc_id, text)
     kept = [c for c in df.columns if c != out]
-    keyed = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(int(NO_ID))).alias("__doc"))
-    joined = small_join(keyed, gone.select(F.col("doc").alias("__gone"), F.array_sort("lines").alias("__lines")), F.col("__doc") == F.col("__gone"), "left", 160)
+    keyed = row_keys(df.select(*[F.col(f"`{c}`") for c in kept]), doc_id, text)
+    gone = repeated_lines(keyed.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col(f"`{text}`").cast("string").alias("text")), rules)
+    lines = gone.select(F.col("doc").alias("__gone"), F.col("tie").alias("__gone_tie"), F.array_sort("lines").alias("__lines"))
+    joined = small_join(keyed, lines, (F.col("__doc") == F.col("__gone")) & (F.col("__tie") == F.col("__gone_tie")), "left", 168)
     numbered = joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("__lines", F.array().cast("array<bigint>")).alias(out))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,7 +388,7 @@ def remove_lines(df: DataFrame, rules: LineRules = LineRules(), doc_id: str = "d
             place = b.schema.get_field_index(text)
             new = []
             for t, lines in zip(b.column(place).to_pylist(), b.column(out).to_pylist()):
-                if lines:
+                if lines and t is not None:
                     drop = set(lines)
                     t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop])
                 new.append(t)

@@ -19,6 +19,7 @@ from risklens.session import materialize
 U64 = np.uint64
 BUCKETS = 4096
 BROADCAST_BYTES = 24 << 20
+NO_ID = np.iinfo(np.int64).max  # a null id sorts after all others
 
 
 def bucket_of(key: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -73,6 +74,26 @@ def thinned(df: DataFrame, hashed, rows: int) -> DataFrame:
     return df.filter(F.pmod(hashed, F.lit(1 << 30)) <= int(share * (1 << 30)))
 
 
+def row_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``df`` with a key of two longs for every row, by which documents are ordered:
+    ``__doc``, the id (the largest long for null), and ``__tie``.
+
+    Of an id it is the text's hash, so rows of one id with different texts are
+    documents of their own, and copies of a row one document.  Rows without an id
+    are written once with their number in order of the text's hash; each is a
+    document of its own."""
+    own, content = F.col(f"`{doc_id}`").cast("bigint"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    nameless = df.filter(own.isNull())
+    named = df.select(*columns, F.coalesce(own, F.lit(int(NO_ID))).alias("__doc"), content.alias("__tie"))
+    if nameless.isEmpty():
+        return named
+    # the first number tells equal texts apart, so they need not share a partition
+    ordered = nameless.select(*columns, F.lit(int(NO_ID)).alias("__doc"), content.alias("__hash"), F.monotonically_increasing_id().alias("__n")).orderBy("__hash", "__n")
+    written = materialize(ordered.select(*columns, "__doc", F.monotonically_increasing_id().alias("__tie")), "nameless")
+    return named.filter(own.isNotNull()).union(written)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (u, v) edges of long ids: (node, label), label the
     smallest id of the component.  Ids without an edge are not listed.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import blocks, bucket_of, runs, small_join, unpack
+from risklens.llm.records import blocks, bucket_of, row_keys, runs, small_join, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
@@ -42,11 +42,10 @@ BUCKET_BYTES = 512 << 10  # of open text in a suffix bucket, about
 TASK_BYTES = 32 << 20  # of open text in a task, about
 HOT_RUNS = 1024  # runs of one anchor that go to a suffix bucket whole
 PIECE = 8
-NO_ID = np.iinfo(np.int64).max  # a null id sorts after all others
 
-RUN = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "<u2")])
-ROWS = "kind int, doc bigint, lo bigint, hi bigint, anchor bigint, windows int, bucket int, payload binary, body binary"
-_TYPES = [("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("windows", pa.int32()),
+RUN = np.dtype([("anchor", "<u8"), ("body", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("windows", "<u2")])
+ROWS = "kind int, doc bigint, tie bigint, lo bigint, hi bigint, anchor bigint, windows int, bucket int, payload binary, body binary"
+_TYPES = [("doc", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("windows", pa.int32()),
           ("bucket", pa.int32()), ("payload", pa.binary()), ("body", pa.binary())]
 REMOVED, BLOCK, OPEN = 1, 2, 3
 
@@ -82,7 +81,7 @@ def anchors(kh: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_runs(texts: Texts, docs: np.ndarray, length: int, hasher: Hasher, second: Hasher) -> np.ndarray:
+def window_runs(texts: Texts, docs: np.ndarray, ties: np.ndarray, length: int, hasher: Hasher, second: Hasher) -> np.ndarray:
     """Runs of neighbouring windows with one anchor, as ``RUN`` records.  The anchor is
     64 bits of the first hash, the body 64 bits of the second one."""
     sizes = np.diff(texts.rows)
@@ -101,27 +100,27 @@ def window_runs(texts: Texts, docs: np.ndarray, length: int, hasher: Hasher, sec
     out = np.empty(len(heads), dtype=RUN)
     out["anchor"] = kh[place[heads]]
     out["body"] = second.span(second.prefix(texts.data), begin[heads], begin[heads] + windows + length - 1)
-    out["doc"] = docs[row[heads]]
+    out["doc"], out["tie"] = docs[row[heads]], ties[row[heads]]
     out["start"] = begin[heads] - texts.rows[row[heads]]
     out["windows"] = windows
     return out
 
 
-def merge_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge_spans(doc: np.ndarray, tie: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping and touching spans of one document united."""
-    order = np.lexsort((hi, lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
+    order = np.lexsort((hi, lo, tie, doc))
+    doc, tie, lo, hi = doc[order], tie[order], lo[order], hi[order]
     if not len(doc):
-        return doc, lo, hi
+        return doc, tie, lo, hi
     # ends of earlier documents are pushed below all starts of later ones
-    change = runs(doc)
+    change = runs(doc, tie)
     base = np.repeat(np.arange(len(change), dtype=np.int64), np.diff(np.append(change, len(doc)))) << 33
     reach = np.maximum.accumulate(hi + base)
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (lo + base)[1:] > reach[:-1]
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(doc)) - 1
-    return doc[heads], lo[heads], reach[tails] - base[tails]
+    return doc[heads], tie[heads], lo[heads], reach[tails] - base[tails]
 
 
 def first_of_equal(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +132,18 @@ def first_of_equal(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     twin[1:] |= equal
     twin[:-1] |= equal
     single, rest = records[~twin], records[twin]
-    rest = rest[np.lexsort((rest["start"], rest["doc"], rest["windows"], rest["body"], rest["anchor"]))]
+    rest = rest[np.lexsort((rest["start"], rest["tie"], rest["doc"], rest["windows"], rest["body"], rest["anchor"]))]
     heads = runs(rest["anchor"], rest["body"], rest["windows"])
     kept = rest[heads]
     owner = np.repeat(kept, np.diff(np.append(heads, len(rest))))
-    later = (rest["doc"] != owner["doc"]) | (rest["start"] != owner["start"])
+    later = (rest["doc"] != owner["doc"]) | (rest["tie"] != owner["tie"]) | (rest["start"] != owner["start"])
     return np.concatenate([single, kept]), rest[later]
 
 
 def _removed(later: np.ndarray, length: int) -> pa.RecordBatch:
     lo = later["start"].astype(np.int64)
-    doc, lo, hi = merge_spans(later["doc"], lo, lo + later["windows"] + length - 1)
-    return _rows(REMOVED, doc=doc, lo=lo, hi=hi)
+    doc, tie, lo, hi = merge_spans(later["doc"], later["tie"], lo, lo + later["windows"] + length - 1)
+    return _rows(REMOVED, doc=doc, tie=tie, lo=lo, hi=hi)
 
 
 def _packed(parts: Iterator[np.ndarray], length: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +173,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, second = Hasher(), Hasher(1)
         parts = slices(batches, "text", SCAN_BYTES)
-        yield from _packed((window_runs(Texts(p.column("text")), p.column("doc").to_numpy(), length, hasher, second) for p in parts), length)
+        yield from _packed((window_runs(Texts(p.column("text")), p.column("doc").to_numpy(), p.column("tie").to_numpy(), length, hasher, second) for p in parts), length)
 
     return docs.mapInArrow(run, ROWS)
 
@@ -196,7 +195,7 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
         shared[1:] |= equal
         shared[:-1] |= equal
         kept = kept[shared]
-        yield _rows(OPEN, doc=kept["doc"], lo=kept["start"].astype(np.int64), anchor=kept["anchor"].view(np.int64), windows=kept["windows"].astype(np.int32))
+        yield _rows(OPEN, doc=kept["doc"], tie=kept["tie"], lo=kept["start"].astype(np.int64), anchor=kept["anchor"].view(np.int64), windows=kept["windows"].astype(np.int32))
 
     return rows.filter(F.col("kind") == BLOCK).repartition("bucket").mapInArrow(run, ROWS)
 
@@ -233,10 +232,10 @@ def pieces(texts: Texts, runs_: np.ndarray, row: np.ndarray, length: int, width:
 
 def _with_runs(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
     """Documents that have open runs, with lists of them."""
-    per_doc = materialize(open_runs.groupBy(F.col("doc").alias("_doc")).agg(
+    per_doc = materialize(open_runs.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(
         F.collect_list("lo").alias("lo"), F.collect_list("windows").alias("windows"), F.collect_list("anchor").alias("anchor")
     ), "open")
-    return docs.join(per_doc, F.col("doc") == F.col("_doc")).select("doc", "text", "lo", "windows", "anchor")
+    return docs.join(per_doc, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select("doc", "tie", "text", "lo", "windows", "anchor")
 
 
 def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +246,7 @@ def _listed(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(counts)), counts)
     records = np.zeros(len(lo), dtype=RUN)
     records["anchor"], records["start"], records["windows"] = anchor.view(U64), lo, windows
-    records["doc"] = part.column("doc").to_numpy()[row]
+    records["doc"], records["tie"] = part.column("doc").to_numpy()[row], part.column("tie").to_numpy()[row]
     return records, row
 
 
@@ -400,13 +399,13 @@ class SuffixSorter:
         return same
 
 
-def repeated_windows(records: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the windows of these runs whose bytes also start earlier.
+def repeated_windows(records: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, tie, start) of the windows of these runs whose bytes also start earlier.
     ``data`` holds the runs' bytes end to end."""
     windows = records["windows"].astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(windows + length - 1)[:-1]])
     at = ranges(begin, windows)
-    doc = np.repeat(records["doc"], windows)
+    doc, tie = np.repeat(records["doc"], windows), np.repeat(records["tie"], windows)
     start = ranges(records["start"].astype(np.int64), windows)
     sorter = SuffixSorter(data)
     lead = sorter.word[at]
@@ -415,7 +414,7 @@ def repeated_windows(records: np.ndarray, data: np.ndarray, length: int) -> tupl
     bucket = np.searchsorted(cuts, lead, side="right")
     by_bucket = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[by_bucket], np.arange(len(cuts) + 1), side="right")
-    out_doc, out_start, low = [], [], 0
+    out_doc, out_tie, out_start, low = [], [], [], 0
     for high in ends.tolist():
         mine = by_bucket[low:high]
         low = high
@@ -425,13 +424,14 @@ def repeated_windows(records: np.ndarray, data: np.ndarray, length: int) -> tupl
         same = sorter.equal_before(at[mine], length)
         heads = np.flatnonzero(~same)
         label = np.cumsum(~same) - 1
-        d, s = doc[mine], start[mine]
-        first = np.lexsort((s, d, label))
+        d, t, s = doc[mine], tie[mine], start[mine]
+        first = np.lexsort((s, t, d, label))
         least = first[heads]
-        later = (d != d[least][label]) | (s != s[least][label])
+        later = (d != d[least][label]) | (t != t[least][label]) | (s != s[least][label])
         out_doc.append(d[later])
+        out_tie.append(t[later])
         out_start.append(s[later])
-    return np.concatenate(out_doc), np.concatenate(out_start)
+    return np.concatenate(out_doc), np.concatenate(out_tie), np.concatenate(out_start)
 
 
 def _resolve(rows: DataFrame, length: int, size: int) -> DataFrame:
@@ -446,10 +446,10 @@ def _resolve(rows: DataFrame, length: int, size: int) -> DataFrame:
                 parts[1].append(body)
         while held:
             _, (payload, body) = held.popitem()
-            doc, start = repeated_windows(unpack(payload, RUN), np.frombuffer(b"".join(body), dtype=np.uint8), length)
+            doc, tie, start = repeated_windows(unpack(payload, RUN), np.frombuffer(b"".join(body), dtype=np.uint8), length)
             if len(doc):
-                doc, lo, hi = merge_spans(doc, start, start + length)
-                yield _rows(REMOVED, doc=doc, lo=lo, hi=hi)
+                doc, tie, lo, hi = merge_spans(doc, tie, start, start + length)
+                yield _rows(REMOVED, doc=doc, tie=tie, lo=lo, hi=hi)
 
     tasks = -(-size // TASK_BYTES)
     many = tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -467,7 +467,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(text)
                 spans.append([])
                 continue
-            _, a, b = merge_spans(np.zeros(len(lo), dtype=np.int64), np.array(lo), np.array(hi))
+            one = np.zeros(len(lo), dtype=np.int64)
+            _, _, a, b = merge_spans(one, one, np.array(lo), np.array(hi))
             spans.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
             outside = zip([0, *b.tolist()], [*a.tolist(), len(text)])
             kept.append(b"".join([text[x:y] for x, y in outside]))
@@ -484,8 +485,8 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
     Removed is each byte covered by a string of ``length`` bytes that also starts
     earlier: at a smaller id, or earlier in the same document.  Overlaps count, and
     the input alone decides.  A null or empty text has no bytes.  Null ids come after
-    all others and count as one document.  Rows with one id are one document: a string at the same
-    place of both is no repeat.  Only the two named columns are read.  An empty
+    all others, each row a document.  Rows with one id and one text are one document: a
+    string at the same place of both is no repeat.  Only the two named columns are read.  An empty
     table gives an empty table.
 
     Equal runs are reduced to their first inside each task before anything is
@@ -494,19 +495,17 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
     """
     if not 32 <= length <= 8 * DEPTH:
         raise ValueError("length must be between 32 and 128")
-    docs = df.select(
-        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
-        F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(int(NO_ID))).alias("doc"),
-    )
-    keyed = docs.select("doc", "text")
+    both = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = row_keys(both, "doc_id", "text").withColumnsRenamed({"__doc": "doc", "__tie": "tie"})
+    keyed = docs.select("doc", "tie", "text")
     scanned = materialize(_scan(keyed, length), "runs")
     met = materialize(_meet(scanned, length), "met")
     removed = None
     for part in (scanned, met, *_settle(keyed, met.filter(F.col("kind") == OPEN), length)):
-        spans = part.filter(F.col("kind") == REMOVED).select("doc", "lo", "hi")
+        spans = part.filter(F.col("kind") == REMOVED).select("doc", "tie", "lo", "hi")
         removed = spans if removed is None else removed.union(spans)
-    per_doc = materialize(removed.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
-    joined = docs.join(per_doc, F.col("doc") == F.col("_doc"), "left")
+    per_doc = materialize(removed.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
+    joined = docs.join(per_doc, (F.col("doc") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left")
     return joined.select("doc_id", "text", "lo", "hi").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
     )

@@ -94,3 +94,13 @@ def test_short_lines(spark):
     got = {r.doc_id: (r.n_removed, r.text) for r in lines_query(docs).collect()}
     assert got == {0: (0, texts[0]), 1: (1, f"{few}\nMore"), 2: (2, "all rights reserved."), 3: (3, ""), 4: (1, ""), 5: (0, "Home")}
     assert {r.doc_id for r in lines_stage(docs).collect()} == {0, 1, 2, 5}
+
+
+def test_rows_without_an_id_or_with_one_id_are_documents(spark):
+    one, two, same = "first line of its own", "second one of another kind", "a line that all of them hold"
+    rows = [(1, f"{same}\n{one}"), (2, f"{same}\nsome words"), (2, f"{two}\nyet more of it"), (None, f"{same}\nthird thing"), (None, "fourth\nfifth"),
+            (None, None), (None, "sixth is twice here"), (None, "sixth is twice here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted((r.doc_id or 9, r.removed, r.text or "") for r in remove_lines(docs).collect())
+    assert got == sorted([(1, [], rows[0][1]), (2, [0], "some words"), (2, [], rows[2][1]), (9, [0], "third thing"), (9, [], "fourth\nfifth"),
+                          (9, [], ""), (9, [], "sixth is twice here"), (9, [0], "")])

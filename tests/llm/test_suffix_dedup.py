@@ -131,3 +131,14 @@ def test_hot_anchors_are_split(spark, words, hot, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
     assert {r[0]: tuple(r)[1:] for r in repeats_query(docs).collect()} == brute(texts, 100)
     assert len(sizes) == 1 and (sizes[0] or 0) <= hot
+
+
+def test_rows_without_an_id_or_with_one_id_are_documents(spark, words):
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(rng.choice(words) for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, c + a), (None, b + d), (None, c), (None, None), (None, d), (None, d)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = [(r.doc_id, r.n_bytes, r.n_bytes - r.n_removed) for r in repeats_query(docs).collect()]
+    sizes = [len(x.encode()) for x in (a, b, c, d)]
+    assert sorted(n for _, n, _ in got) == sorted(len((t or "").encode()) for _, t in rows)
+    assert all(k >= 0 for _, _, k in got) and sum(k for _, _, k in got) == sum(sizes)
