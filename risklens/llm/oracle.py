@@ -87,9 +87,35 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM d LEFT JOIN same USING (doc_id) LEFT JOIN comp ON comp.x = rep"""
 
 
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+ lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+_RUNS = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, CAST(doc_id AS VARCHAR) AS s,
+ list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT r, doc_id, w, len(w) AS n, {_CRC} AS h FROM d),
+g AS (SELECT r, doc_id, w, n, h, CASE WHEN n > 0 THEN (h // 10) % n END AS a, (h // 10) % 8 AS e FROM h),
+p AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+ THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] END) ELSE w END AS w FROM g),
+m AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM p),
+q AS (SELECT x.r, x.i, x.i - y.i AS q FROM m x JOIN m y ON x.r = y.r AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+k AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM q),
+l AS (SELECT r, q, min(i) - q AS s, max(i) + 1 AS e FROM k GROUP BY r, q, island),
+f AS (SELECT r, s, e - s AS l, min(q) AS q FROM l WHERE e - s >= 6 AND e - s >= 4 * q GROUP BY r, s, e),
+o AS (SELECT r, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS listed FROM f GROUP BY r),
+b AS (SELECT a.r, a.s, a.l, a.q FROM f a WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.r = a.r AND
+ (z.l * a.q > a.l * z.q OR z.l * a.q = a.l * z.q AND (z.s < a.s OR z.s = a.s AND z.q < a.q)))),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM f),
+c AS (SELECT m.r, string_agg(word, ' ' ORDER BY m.i) AS t FROM m LEFT JOIN gone ON gone.r = m.r AND gone.i = m.i WHERE gone.i IS NULL GROUP BY m.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period, 1000 * b.l // b.q AS exponent_milli,
+ sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM p LEFT JOIN o USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)"""
+
+
 ORACLE: dict[str, str] = {
     "op2_quality": _quality(),
     "op3_chat": _CHAT,
     "op5_suffix_dedup": _REPEATS,
     "op7_ngram_join": _JOIN,
+    "op13_periodic_runs": _RUNS,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import ann, chat, hilbert, licences, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup
+from risklens.llm import ann, chat, hilbert, licences, line_dedup, mixing, ngram_join, packing, periodic, quality, suffix_dedup
 from risklens.session import tune
 
 
@@ -35,4 +35,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": _over("embeddings", ann.ann_query),
     "op9_sharding": _over("documents", hilbert.shard_query),
     "op10_licences": _over("documents", licences.licence_query),
+    "op13_periodic_runs": _over("documents", periodic.runs_query),
 }

@@ -1,12 +1,14 @@
 """Whole Arrow batches of texts as flat numpy arrays: words, hashes, segments.
 
-All hashes are polynomials over the bytes modulo 2**64, taken from one prefix sum
-per slice, so any substring's hash costs two array reads.  They depend on the
-bytes alone and never on the process, the batch or the position.
+Hashes are polynomials over the bytes modulo 2**64, taken from one prefix sum per
+slice, so any substring's hash costs two array reads; long words are digested
+instead.  They depend on the bytes alone and never on the process, the batch or the
+position.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 4 << 20
+LONG_WORD = 48  # polynomials modulo 2**64 have structured collisions between long strings
 
 _BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WHITE = np.zeros(256, dtype=bool)
@@ -42,7 +45,7 @@ class Hasher:
     """Substring hashes of byte slices; ``seed`` picks one of two bases."""
 
     def __init__(self, seed: int = 0):
-        self.base = _BASE[seed]
+        self.seed, self.base = seed, _BASE[seed]
         self.table = mix(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F + 2 * seed))
         self.power = self.inverse = np.ones(0, dtype=U64)
 
@@ -60,6 +63,15 @@ class Hasher:
         """Hash of each ``data[start:end]``."""
         return mix((prefix[end] - prefix[start]) * self.inverse[start])
 
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each word ``data[start:end]``; words above ``LONG_WORD`` bytes are
+        digested byte by byte."""
+        out = self.span(self.prefix(data), start, end)
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([self.seed]))
+            out[i] = int.from_bytes(digest.digest(), "little")
+        return out
+
 
 class Texts:
     """The texts of one slice: bytes laid end to end, and where each row begins."""
@@ -77,9 +89,10 @@ class Texts:
         self.data = _LOWER[data] if lower else data
         self.rows = (offsets - offsets[0]).astype(np.int64)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of all words: runs without ASCII white space, inside a row."""
-        solid = ~_WHITE[self.data]
+    def words(self, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of all words: runs without the bytes that ``gaps`` marks (ASCII
+        white space), inside a row."""
+        solid = ~gaps[self.data]
         before = np.zeros(len(solid), dtype=bool)
         before[1:] = solid[:-1]
         heads = self.rows[:-1][self.rows[:-1] < len(solid)]
