@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import ann, chat, hilbert, licences, line_dedup, mixing, ngram_join, packing, periodic, quality, suffix_dedup
+from risklens.llm import ann, chat, compression, hilbert, licences, line_dedup, mixing, ngram_join, packing, periodic, quality, suffix_dedup
 from risklens.session import tune
 
 
@@ -24,6 +24,11 @@ def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over("documents", lambda docs: mixing.mix_query(docs, labels))(spark, sf_dir)
 
 
+def _compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return _over("documents", lambda docs: compression.score_query(docs, labels))(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": _over("documents", packing.pack_query),
     "op2_quality": _over("documents", quality.quality_query),
@@ -35,5 +40,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": _over("embeddings", ann.ann_query),
     "op9_sharding": _over("documents", hilbert.shard_query),
     "op10_licences": _over("documents", licences.licence_query),
+    "op11_compression": _compression,
     "op13_periodic_runs": _over("documents", periodic.runs_query),
 }
