@@ -87,6 +87,24 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM d LEFT JOIN same USING (doc_id) LEFT JOIN comp ON comp.x = rep"""
 
 
+_PHRASES = rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+ SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1),
+s AS (SELECT lang, a, unnest(list_distinct(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' ')))))) AS phrase FROM c WHERE k > 2),
+o AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, phrase, max(a) AS longer FROM s GROUP BY ALL) USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+u AS (SELECT lang, phrase, a, w, k, unnest(range(1, k)) AS cut FROM o),
+v AS (SELECT u.lang, u.phrase, a, cut, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS score FROM u
+ JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(u.w[1:cut], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[cut + 1:u.k], ' ')),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b QUALIFY rank <= 2000)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM t JOIN n USING (lang)"""
+
+
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
 
@@ -117,5 +135,6 @@ ORACLE: dict[str, str] = {
     "op3_chat": _CHAT,
     "op5_suffix_dedup": _REPEATS,
     "op7_ngram_join": _JOIN,
+    "op12_collocations": _PHRASES,
     "op13_periodic_runs": _RUNS,
 }

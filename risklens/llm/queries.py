@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risklens.llm import ann, chat, compression, hilbert, licences, line_dedup, mixing, ngram_join, packing, periodic, quality, suffix_dedup
+from risklens.llm import ann, chat, compression, hilbert, licences, line_dedup, mixing, ngram_join, packing, periodic, phrases, quality, suffix_dedup
 from risklens.session import tune
 
 
@@ -41,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": _over("documents", hilbert.shard_query),
     "op10_licences": _over("documents", licences.licence_query),
     "op11_compression": _compression,
+    "op12_collocations": _over("documents", phrases.phrases_query),
     "op13_periodic_runs": _over("documents", periodic.runs_query),
 }
