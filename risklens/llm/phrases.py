@@ -17,6 +17,7 @@ phrases themselves, by their words.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,6 +58,12 @@ class Filter:
     def __init__(self, bits: int):
         self.bits, self.bytes = bits, np.zeros(1 << (bits - 3), dtype=np.uint8)
 
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.bits, zlib.compress(self.bytes.tobytes(), 1)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits, self.bytes = state[0], np.frombuffer(zlib.decompress(state[1]), dtype=np.uint8)
+
     def has(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> U64(64 - self.bits)
         return (self.bytes[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) != 0
@@ -110,9 +117,10 @@ class Grams:
         return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist())])
 
 
-def border_counts(docs: DataFrame, now: Filter, before: Filter | None, rules: PhraseRules) -> DataFrame:
-    """(key, n): occurrences, in all of ``docs``, of the phrases whose parts of one word
-    less are in ``now``, without those that ``before`` has already counted."""
+def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int, rules: PhraseRules) -> DataFrame:
+    """(key, n): the phrases whose parts of one word less are in ``now``, without those
+    that ``before`` has already counted, that occur at least ``bar`` times in all of ``docs``;
+    a written table."""
     sent = docs.sparkSession.sparkContext.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +148,10 @@ def border_counts(docs: DataFrame, now: Filter, before: Filter | None, rules: Ph
             keys, n = np.unique(np.concatenate(chosen), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    written = materialize(counts.filter(F.col("n") >= bar), "phrases")
+    sent.destroy()
+    return written
 
 
 def propose(docs: DataFrame, rules: PhraseRules) -> Filter:
@@ -149,8 +160,7 @@ def propose(docs: DataFrame, rules: PhraseRules) -> Filter:
     sample, bar = docs.filter(own), max(1, int(rules.min_count / rules.sample_one_in * rules.lowered))
     done, now = None, Filter(rules.filter_bits)
     for _ in range(rules.max_words - 1):
-        level = border_counts(sample, now, done, rules).filter(F.col("n") >= bar)
-        done, now = now, now.joined(level)
+        done, now = now, now.joined(border_counts(sample, now, done, bar, rules))
     return now
 
 
@@ -159,7 +169,7 @@ def frequent_keys(docs: DataFrame, rules: PhraseRules) -> tuple[DataFrame, int]:
     collide), as a written table, and the number of passes over all documents."""
     before, now, passes, found = None, propose(docs, rules), 0, None
     while True:
-        counted = materialize(border_counts(docs, now, before, rules).filter(F.col("n") >= rules.min_count), "phrases")
+        counted = border_counts(docs, now, before, rules.min_count, rules)
         found = counted if found is None else found.unionByName(counted)
         passes += 1
         # frequent, of less than the greatest number of words, and not proposed
@@ -172,6 +182,7 @@ def frequent_keys(docs: DataFrame, rules: PhraseRules) -> tuple[DataFrame, int]:
 
         failed = counted.select("key").filter(F.col("key").bitwiseAND(F.lit(3)) < rules.max_words - 1).mapInArrow(failures, "key bigint")
         wider = now.joined(failed)
+        sent.destroy()
         if np.array_equal(wider.bytes, now.bytes):
             return found, passes
         before, now = now, wider
@@ -216,7 +227,9 @@ def phrase_counts(df: DataFrame, rules: PhraseRules = PhraseRules(), doc_id: str
             )
 
     exact = docs.mapInArrow(run, "lang string, phrase string, n_words int, f bigint").groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
-    return materialize(exact.filter((F.col("f") >= rules.min_count) | (F.col("phrase").isNull() & (F.col("f") > 0))), "phrases")
+    written = materialize(exact.filter((F.col("f") >= rules.min_count) | (F.col("phrase").isNull() & (F.col("f") > 0))), "phrases")
+    sent.destroy()
+    return written
 
 
 def collocations(counts: DataFrame, rules: PhraseRules = PhraseRules()) -> DataFrame:
