@@ -26,10 +26,10 @@ def import_candidates(imports: DataFrame, compat: bool = False) -> DataFrame:
     gives ``m``, then ``m.x``.  With ``compat`` a bare-dot module keeps the extra
     dot (``from . import x`` gives ``..x``).
     """
-    code = F.regexp_replace(F.regexp_replace("code", r"#[^\n]*", ""), r"\\\n", " ")
+    code = F.regexp_replace(F.regexp_replace("code", r"#[^\n]*", ""), r"\\\r?\n", " ")
     listed = F.split(F.regexp_replace(code, r"^import[ \t]+", ""), ",")
     plain = F.filter(F.transform(listed, strip), lambda s: ~F.rlike(s, F.lit(r"\sas\s")) & (s != ""))
-    module = F.regexp_extract(code, r"^from[ \t]+([.\p{L}\p{N}_]+)[ \t]+import\b", 1)
+    module = F.regexp_extract(code, r"^from[ \t]*([.\p{L}\p{N}_]+)[ \t]+import\b", 1)
     tail = F.regexp_replace(F.regexp_extract(code, r"(?s)\bimport\b(.*)$", 1), r"[()]", "")
     names = F.transform(F.split(tail, ","), lambda s: F.regexp_extract(s, r"([.\p{L}\p{N}_]+)", 1))
     names = F.filter(names, lambda s: s != "")
@@ -37,7 +37,7 @@ def import_candidates(imports: DataFrame, compat: bool = False) -> DataFrame:
     loaded = F.concat(F.array(module), F.transform(names, lambda s: F.concat(module, glue, s)))
     modules = F.when(F.col("type") == "import_statement", F.slice(plain, 1, 1)).otherwise(loaded)
     rows = imports.select(
-        "project_name", "file_path", F.col("line").cast("bigint").alias("stmt_seq"), F.posexplode(modules).alias("pos", "module")
+        "project_name", "file_path", F.col("line").cast("bigint").alias("stmt_seq"), "nth", F.posexplode(modules).alias("pos", "module")
     )
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -83,7 +83,7 @@ def _existing(candidates: DataFrame, paths: Column, files: DataFrame) -> DataFra
     column, so that this aggregate and the one over edges share its shuffle.
     """
     asked = candidates.select(
-        F.struct("project_name", "file_path", "stmt_seq").alias("stmt"), "pos",
+        F.struct("project_name", "file_path", "stmt_seq", "nth").alias("stmt"), "pos",
         F.posexplode(paths).alias("_rank", "_path"),
     ).withColumn("_project", F.col("stmt.project_name"))
     known = files.select(F.col("project_name").alias("_project"), F.col("file_path").alias("_path"))
@@ -94,26 +94,28 @@ def _existing(candidates: DataFrame, paths: Column, files: DataFrame) -> DataFra
 def resolve_absolute(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """``a.b`` to ``a/b.py`` or ``a/b/__init__.py`` from the root."""
     absolute = candidates.filter(~F.startswith("module", F.lit(".")))
-    return _existing(absolute, _absolute_paths(), files).select("stmt.*", "pos", "dst")
+    return _existing(absolute, _absolute_paths(), files).select("stmt.*", "pos", "dst").drop("nth")
 
 
 def resolve_relative(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Dotted-prefix modules against the folder of the importing file."""
     relative = candidates.filter(F.startswith("module", F.lit(".")))
-    return _existing(relative, _relative_paths(), files).select("stmt.*", "pos", "dst")
+    return _existing(relative, _relative_paths(), files).select("stmt.*", "pos", "dst").drop("nth")
 
 
 def build_edges(files_all: DataFrame, files_indexed: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Edges (project_name, src, dst, stmt_seq, pos) of the indexed files.
 
     Targets may be any existing file.  In one statement a target is kept once,
-    at its first place; statements repeat targets.  Both resolvers share one
-    join with the corpus.
+    at its first place; statements repeat targets.  The places of a line's second
+    statement follow from 65,536 on, and so on.  Both resolvers share one join with
+    the corpus.
     """
     sources = files_all if files_indexed is None else files_indexed
     asked = deny_modules(import_candidates(extract_imports(sources), compat))
     paths = F.when(F.startswith("module", F.lit(".")), _relative_paths()).otherwise(_absolute_paths())
     once = _existing(asked, paths, files_all).groupBy("stmt", "dst").agg(F.min("pos").alias("pos"))
     return once.select(
-        "stmt.project_name", F.col("stmt.file_path").alias("src"), "dst", F.col("stmt.stmt_seq").alias("stmt_seq"), "pos"
+        "stmt.project_name", F.col("stmt.file_path").alias("src"), "dst", F.col("stmt.stmt_seq").alias("stmt_seq"),
+        (F.col("stmt.nth") * 65536 + F.col("pos")).alias("pos"),
     )

@@ -1,12 +1,13 @@
 """Functions, classes, imports and symbols of source files.
 
-Everything happens inside the file's row: strings are masked, header lines are
-found, and one anchored regular expression per file captures each unit's block
-(header, then lines that are blank or indented deeper).  Nothing is shuffled and
-only finished unit rows leave the array.
-
-Known limits of the line view: triple quotes inside comments or other strings,
-several statements on one line, and indents that mix tabs and blanks.
+Everything happens inside the file's row.  One pass cuts a text into comments, strings
+and the rest, the leftmost first, and masks the strings; header lines are found, and
+one anchored regular expression per file captures each unit's block (header, then
+logical lines that are blank or indented deeper).  Nothing is shuffled and only
+finished unit rows leave the array.
+
+Known limits: indents that mix tabs and blanks, quotes of a kind nested in an f-string of
+the same kind, and brackets more than five deep whose lines return to the margin.
 """
 
 from __future__ import annotations
@@ -14,49 +15,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risklens.functions.text import none_if_empty, strip
+from risklens.functions.text import strip
 
-# Stands for any character of a triple-quoted string in the masked text.
+# Stands for any character of a string but its opening quotes, in the masked text.
 MASK = "\u0001"
+# Stands for the sign that opens a comment; the comment's text stays.
+COMMENT = "\u0002"
+_ALL = 1 << 30
+# A comment, a long string or a short one, whichever begins first.  Possessive, so a
+# text of any length is one loop.
+_TOKEN = (
+    r"(?s)#[^\n]*+"
+    r'|"""(?:[^"\\]++|\\.|"(?!""))*+(?:""")?' r"|'''(?:[^'\\]++|\\.|'(?!''))*+(?:''')?"
+    r'|"(?:[^"\\\n]++|\\.)*+"?' r"|'(?:[^'\\\n]++|\\.)*+'?"
+)
+_LONG_QUOTES = r"""^(?:\"\"\"|''')"""
 _NAME = r"[\p{L}\p{N}_]+"
-_HEADER = r"(?:(?:async[ \t]+)?def|class)[ \t]+" + _NAME + r"[ \t]*[(:\[]"
-# A header at any indent, and the block it opens: following lines that are
+_HEADER = r"(?:(?:async[ \t]+)?def|class)[ \t]+" + _NAME + r"[ \t]*(?=[(:\[])"
+
+
+def _brackets(depth: int) -> str:
+    inner = "|" + _brackets(depth - 1) if depth > 1 else ""
+    return rf"[(\[{{](?:[^()\[\]{{}}{COMMENT}]++|{COMMENT}[^\n]*+{inner})*+[)\]}}]"
+
+
+# A logical line's rest: brackets, strings and backslashes carry it over line ends.
+_LINE = rf"(?:[^\n\\(\[{{{COMMENT}]++|{COMMENT}[^\n]*+|\\\r?\n?|{_brackets(5)}|[(\[{{]|\n(?=\n*{MASK}))*+"
+# A header at any indent, and the block it opens: following logical lines that are
 # blank, deeper than the header, comments, or continue a bracket or a string.
 _BLOCK = (
-    r"(?md)^(?=([ \t]*)(" + _HEADER + r"[^\n]*"
-    r"(?:\n(?:[ \t\r]*(?=\n|\z)|\1[ \t]+[^ \t\n][^\n]*|[ \t]*[" + MASK + r")\]}#][^\n]*))*+))"
+    r"(?md)^(?=([ \t]*)(" + _HEADER + _LINE
+    + r"(?:\n(?:[ \t\r]*(?=\n|\z)|\1[ \t]+(?=[^ \t\n])" + _LINE + r"|[ \t]*(?=[" + MASK + COMMENT + r")\]}])" + _LINE + r"))*+))"
 )
-_TRAILING = r"(?:\n[ \t\r]*(?:#[^\n]*)?)++\z"
-# Body's first statement, or a later one at the body's indent, that is a string.
+_TRAILING = r"(?:\n[ \t\r]*(?:" + COMMENT + r"[^\n]*)?)++\z"
+_REST = r"[ \t]*(?:" + COMMENT + r"[^\n]*)?\n"
+# Body's first statement, or a later one at the body's indent, that is a string; the
+# text before it is the first group.
 _DOCSTRING = (
-    r"(?s)\A(?:async[ \t]+)?def\b(?>.*?:[ \t]*(?:#[^\n]*)?\n)(?:[ \t]*(?:#[^\n]*)?\n)*+([ \t]+)(?=\S)"
-    r"(?:.*?\n\1)??([rRbBuUfF]{0,2}(?:\"\"\".*?\"\"\"|'''.*?'''|\"[^\"\n]*\"|'[^'\n]*'))[ \t\r]*(?:#[^\n]*)?(?:\n|\z)"
+    r"(?s)\A((?:async[ \t]+)?def\b(?>.*?:" + _REST + r")(?:" + _REST + r")*+([ \t]+)(?=\S)(?:.*?\n\2)??[rRbBuUfF]{0,2})"
+    r"((?:\"\"\"|'''|\"|')" + MASK + r"*+(?:\n++" + MASK + r"++)*+)[ \t\r]*(?:;|" + COMMENT + r"|\n|\z)"
 )
-_IMPORT = r"(?:import[ \t]+[\p{L}\p{N}_]|from[ \t]+(?!__future__\b)[.\p{L}\p{N}_]+[ \t]+import\b)"
+_GAP = r"(?:[ \t]|\\\r?\n)"
+_IMPORT = (
+    r"(?<![\p{L}\p{N}_.])(?:import" + _GAP + r"+[\p{L}\p{N}_]"
+    r"|from(?:" + _GAP + r"+(?!__future__\b)|(?=\.))[.\p{L}\p{N}_]+" + _GAP + r"+import\b)"
+)
+# Comments first, so that a word in one opens no statement.
 _STATEMENT = (
-    r"(?md)^(?=[ \t]*(import[ \t]+[\p{L}\p{N}_](?:[^\n\\]|\\\n)*+"
-    r"|from[ \t]+(?!__future__\b)[.\p{L}\p{N}_]+[ \t]+import\b[ \t]*(?:\([^)]*\)|(?:[^\n\\]|\\\n)*+)))"
+    COMMENT + r"[^\n]*+|\bfrom[ \t]+__future__\b[^\n;]*+|(" + _IMPORT + "(?:" + _GAP + r"*\((?:[^)" + COMMENT + r"]++|" + COMMENT + r"[^\n]*+)*+\)|(?:[^\n\\;" + COMMENT + r"]++|\\\r?\n?)*+))"
 )
+# A logical line's statements stand in a block: indented, or after a compound statement's colon.
+_NESTED = r"^[ \t]|^(?:if|elif|else|try|except|finally|for|while|with|def|class|async)\b"
 
 
 def mask_strings(content: Column) -> Column:
-    """Replace the inside and the closing quotes of triple-quoted strings by
+    """Mark comments, and replace the inside and the closing quotes of strings by
     mask characters; length and line numbers stay."""
-    text = content
-    for quote in ('"""', "'''"):
-        parts = F.split(text, quote)
-        hidden = F.transform(
-            parts,
-            lambda s, i: F.when(
-                i % 2 == 1,
-                F.concat(
-                    F.lit(quote), F.regexp_replace(s, r"[^\n]", MASK),
-                    F.when(i + 1 < F.size(parts), F.lit(MASK * 3)).otherwise(F.lit("")),
-                ),
-            ).otherwise(s),
+
+    def masked(token: Column) -> Column:
+        quotes = F.when(F.rlike(token, F.lit(_LONG_QUOTES)), 3).otherwise(1)
+        return F.when(F.startswith(token, F.lit("#")), F.concat(F.lit(COMMENT), F.substring(token, 2, _ALL))).otherwise(
+            F.concat(F.substring(token, F.lit(1), quotes), F.regexp_replace(F.substring(token, quotes + 1, F.lit(_ALL)), r"[^\n]", MASK))
         )
-        text = F.array_join(hidden, "")
-    return text
+
+    between, tokens = F.split(content, _TOKEN, -1), F.regexp_extract_all(content, F.lit(_TOKEN), 0)
+    return F.array_join(F.zip_with(between, tokens, lambda a, t: F.concat(a, F.coalesce(masked(t), F.lit("")))), "")
 
 
 def to_lines(files: DataFrame) -> DataFrame:
@@ -127,31 +150,49 @@ def extract_classes(files: DataFrame) -> DataFrame:
 
 def docstring(code: Column) -> Column:
     """First string statement of the body, quotes and blanks removed; null if none."""
-    raw = none_if_empty(F.regexp_extract(code, _DOCSTRING, 2))
+    masked = mask_strings(code)
+    before, length = (F.length(F.regexp_extract(masked, _DOCSTRING, g)) for g in (1, 3))
+    raw = F.when(length > 0, F.substring(code, before + 1, length))
     return strip(F.btrim(F.btrim(raw, F.lit('"')), F.lit("'")))
 
 
 def extract_imports(files: DataFrame, top_level: bool = False) -> DataFrame:
-    """Import statements: code, line, type; on request only unindented ones.
+    """Import statements: code, line, nth of the line (from 0), type; on request only those
+    outside of blocks.  Statements may follow a semicolon or a block's colon.
     ``from __future__`` is no import of a module and is left out."""
     masked = files.select("project_name", "file_path", mask_strings(F.col("content")).alias("_masked"))
-    parts = masked.select(
-        "project_name", "file_path",
-        _numbered(F.split("_masked", "\n"), _IMPORT).alias("_heads"),
-        F.regexp_extract_all("_masked", F.lit(_STATEMENT), 1).alias("_codes"),
-    )
-    zipped = F.zip_with("_heads", "_codes", lambda h, c: F.struct(
-        h["line"].cast("int").alias("line"), h["text"].alias("head"),
-        strip(F.regexp_replace(c, r"[ \t]*[#;][^\n]*\z", "")).alias("code"),
-    ))
-    rows = parts.select("project_name", "file_path", F.explode(zipped).alias("s"))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    # one entry for each line, so that an entry's place is its number; those that
+    # begin a logical line hold it
+    whole = F.regexp_extract_all("_masked", F.lit(_LINE + r"(?:\n|\z)"), 0)
+    entries = F.flatten(F.transform(whole, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(breaks(x), F.lit(1))), lambda o: F.when(o == 1, x))))
+    first = F.transform(entries, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    open_lines = F.filter(first, lambda e: F.contains(e["text"], F.lit("import")))
+
+    def statements(e: Column) -> Column:
+        codes = F.regexp_extract_all(e["text"], F.lit(_STATEMENT), 1)
+        tokens, between = F.regexp_extract_all(e["text"], F.lit(_STATEMENT), 0), F.split(e["text"], _STATEMENT, -1)
+        placed = F.filter(F.transform(codes, lambda c, j: F.struct(c.alias("code"), j.alias("j"))), lambda p: p["code"] != "")
+        ahead = lambda j: breaks(F.concat(F.array_join(F.slice(tokens, F.lit(1), j), ""), F.array_join(F.slice(between, F.lit(1), j + 1), "")))
+        return F.transform(placed, lambda p: F.struct(
+            (e["line"] + ahead(p["j"])).cast("int").alias("line"), F.rlike(e["text"], F.lit(_NESTED)).alias("nested"),
+            strip(F.replace(p["code"], F.lit(COMMENT), F.lit("#"))).alias("code"),
+        ))
+
+    found = masked.select("project_name", "file_path", F.flatten(F.transform(open_lines, statements)).alias("_found"))
+    # place of a statement among those that begin on its line
+    numbered = F.transform("_found", lambda s, i: F.struct(s["line"], s["code"], s["nested"], F.when(
+        (i > 0) & (F.get("_found", i - 1)["line"] == s["line"]),
+        F.size(F.filter(F.slice("_found", F.lit(1), i), lambda o: o["line"] == s["line"])),
+    ).otherwise(0).alias("nth")))
+    rows = found.select("project_name", "file_path", F.explode(numbered).alias("s"))
     out = rows.select(
-        "project_name", "file_path", "s.line", "s.code",
+        "project_name", "file_path", "s.line", "s.nth", "s.code",
         F.when(F.startswith("s.code", F.lit("import")), "import_statement")
         .otherwise("import_from_statement").alias("type"),
-        F.rlike("s.head", F.lit(r"^[ \t]")).alias("nested"),
+        "s.nested",
     )
-    return out.filter(~F.col("nested")).drop("nested") if top_level else out
+    return out.filter(~F.col("nested")).drop("nested") if top_level else out.drop("nested")
 
 
 def symbols(files: DataFrame) -> DataFrame:
