@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from risklens.operators.graph import dependencies
-
-_SCHEMA = "project_name string, root string, path array<bigint>, depth bigint, node string, text string"
+from risklens.session import materialize
 
 
 def _branch(last: Column) -> Column:
@@ -25,9 +20,8 @@ def dep_tree(edges: DataFrame, roots: DataFrame, files: DataFrame, max_depth: in
     An unknown root gives one row saying so.
 
     Up to depth 2 that rule needs only a file's own imports, so it is a join and
-    two aggregates.  Deeper walks are sequential by nature (which place comes
-    first depends on everything opened before) and run per root over the part of
-    the graph the root can reach.
+    two aggregates.  Deeper, where a node opens depends on everything opened before
+    it; rounds of joins and grouped minima settle that for all roots at once.
     """
     known = files.select("project_name", F.col("file_path").alias("root"))
     asked = roots.select("project_name", "root").distinct()
@@ -81,47 +75,40 @@ def dep_tree(edges: DataFrame, roots: DataFrame, files: DataFrame, max_depth: in
 
 
 def _walked(edges: DataFrame, present: DataFrame, max_depth: int) -> DataFrame:
-    """Rows below the root for any depth, one root at a time."""
-    reach = dependencies(edges, present, max_depth - 1, order=False).select("project_name", "root", F.col("dst").alias("src"))
-    nodes = present.select("project_name", "root", F.col("root").alias("src")).unionByName(reach)
-    local = nodes.join(edges, ["project_name", "src"]).select(
-        "project_name", "root", "src", "dst", "stmt_seq", "pos"
+    """Rows below the root for any depth.
+
+    A node is opened at the least, in pre-order, of its places below opened nodes.  Each
+    round puts every node at the least place that the round before offers; the places
+    of the first k nodes of a walk no longer change once those of the first k - 1 stand,
+    because whatever else is offered begins with a later place.  The rounds end
+    when one changes nothing.  A place is the list of import places on the way to it, so
+    comparing lists compares pre-order.
+    """
+    key = ["project_name", "root", "node"]
+    ends = edges.groupBy("project_name", "src").agg(F.max(F.struct("stmt_seq", "pos")).alias("_end"))
+    steps = materialize(edges.join(ends, ["project_name", "src"]).select(
+        "project_name", F.col("src").alias("node"), "dst", F.array("stmt_seq", "pos").alias("place"),
+        ((F.col("stmt_seq") == F.col("_end.stmt_seq")) & (F.col("pos") == F.col("_end.pos"))).alias("last"),
+    ), "steps")
+    # repeated imports of a file offer later places only
+    first = steps.groupBy("project_name", "node", "dst").agg(F.min(F.struct("place", "last")).alias("at")).select("project_name", "node", "dst", "at.*")
+    tops = present.select(
+        "project_name", "root", F.col("root").alias("node"), F.array().cast("array<bigint>").alias("path"), F.lit("").alias("indent"),
+    )
+    depth = F.size("path") / 2
+    opened, mark = tops, None
+    while True:
+        offers = opened.filter(depth + 1 < max_depth).join(first, ["project_name", "node"]).filter(F.col("dst") != F.col("root")).select(
+            "project_name", "root", F.col("dst").alias("node"),
+            F.struct(F.concat("path", "place").alias("path"), F.concat("indent", F.when(F.col("last"), "    ").otherwise("│   ")).alias("indent")).alias("at"),
+        )
+        placed = offers.groupBy(*key).agg(F.min("at").alias("at")).select(*key, "at.*")
+        opened = materialize(tops.unionByName(placed), "opened")
+        now = opened.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*key, "path")), F.sum(F.hash(*key, "path").cast("bigint"))).first()
+        if now == mark:
+            break
+        mark = now
+    return opened.join(steps, ["project_name", "node"]).select(
+        "project_name", "root", F.concat("path", "place").alias("path"), (depth + 1).cast("bigint").alias("depth"), F.col("dst").alias("node"),
+        F.concat("indent", _branch(F.col("last")), "dst").alias("text"),
     )
-
-    def walk(table: pa.Table) -> pa.Table:
-        cols = table.to_pydict()
-        root = cols["root"][0]
-        children: dict[str, list[tuple]] = {}
-        for stmt, pos, src, dst in sorted(zip(cols["stmt_seq"], cols["pos"], cols["src"], cols["dst"])):
-            children.setdefault(src, []).append((dst, stmt, pos))
-        paths, depths, nodes, texts = [], [], [], []
-        opened = {root}
-        stack: list[tuple[Iterator, list[int], int, str]] = [(iter(_marked(children.get(root, []))), [], 1, "")]
-        while stack:
-            places, path, depth, indent = stack[-1]
-            item = next(places, None)
-            if item is None:
-                stack.pop()
-                continue
-            (dst, stmt, pos), last = item
-            here = [*path, stmt, pos]
-            paths.append(here)
-            depths.append(depth)
-            nodes.append(dst)
-            texts.append(f"{indent}{'└── ' if last else '├── '}{dst}")
-            if depth < max_depth and dst not in opened:
-                opened.add(dst)
-                deeper = indent + ("    " if last else "│   ")
-                stack.append((iter(_marked(children.get(dst, []))), here, depth + 1, deeper))
-        n = len(nodes)
-        return pa.table({
-            "project_name": [cols["project_name"][0]] * n, "root": [root] * n,
-            "path": pa.array(paths, pa.list_(pa.int64())), "depth": pa.array(depths, pa.int64()),
-            "node": pa.array(nodes, pa.string()), "text": pa.array(texts, pa.string()),
-        })
-
-    return local.groupBy("project_name", "root").applyInArrow(walk, _SCHEMA)
-
-
-def _marked(items: list) -> list[tuple]:
-    return [(item, i == len(items) - 1) for i, item in enumerate(items)]

@@ -344,6 +344,19 @@ _BODY.update({
         UNION ALL SELECT a.src, concat(a.stmt_seq,'.',a.pos,'.',b.stmt_seq,'.',b.pos), 2, b.dst,
           concat(CASE WHEN a.last THEN '    ' ELSE '│   ' END, CASE WHEN b.last THEN '└── ' ELSE '├── ' END, b.dst)
           FROM o a JOIN o b ON b.src=a.dst WHERE a.fst AND a.src<>a.dst""",
+    # a walk with its stack as a list: each step lists the first entry and opens it
+    "dep_tree_deep": """, c AS (SELECT src, list({'place': [stmt_seq,pos], 'dst': dst, 'last': last} ORDER BY stmt_seq, pos) AS kids FROM (
+         SELECT *, row_number() OVER (PARTITION BY src ORDER BY stmt_seq DESC, pos DESC)=1 AS last FROM edges) GROUP BY src),
+        w(root, stack, opened) AS (SELECT file_path, [{'path': CAST([] AS BIGINT[]), 'node': file_path, 'depth': 0, 'text': file_path, 'indent': ''}],
+          CAST([] AS VARCHAR[]) FROM files
+         UNION ALL SELECT root, CASE WHEN opens THEN list_concat(list_transform(kids, lambda k: {'path': list_concat(t.path, k.place), 'node': k.dst,
+           'depth': t.depth+1, 'text': concat(t.indent, CASE WHEN k.last THEN '└── ' ELSE '├── ' END, k.dst),
+           'indent': concat(t.indent, CASE WHEN k.last THEN '    ' ELSE '│   ' END)}), stack[2:]) ELSE stack[2:] END,
+          CASE WHEN opens THEN list_append(opened, t.node) ELSE opened END
+          FROM (SELECT root, stack, opened, kids, stack[1] AS t, kids IS NOT NULL AND stack[1].depth<3 AND NOT list_contains(opened, stack[1].node) AS opens
+           FROM w LEFT JOIN c ON c.src=stack[1].node WHERE len(stack)>0))
+        SELECT root, coalesce(array_to_string(stack[1].path,'.'),'') AS place, stack[1].depth AS depth, stack[1].node AS node, stack[1].text AS text
+        FROM w WHERE len(stack)>0""",
     "fence_strip": r"""SELECT event_id, t AS plain, CASE WHEN reply LIKE '```json%' THEN trim(replace(substr(reply,8),'```',''),chr(10)||' ')
         ELSE trim(reply,chr(10)||' ') END AS cut FROM plain""",
     "verdict_parse": "SELECT event_id, vulnerable, risk_score, type, description, error FROM verdicts",
@@ -528,7 +541,7 @@ def _statement(body: str) -> str:
     if not body.startswith(","):
         return _sql(body)
     parts = [f"{name} AS ({CTES[name]})" for name in _needed(body, set())]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 ORACLE: dict[str, str] = {name: _statement(body) for name, body in _BODY.items()}

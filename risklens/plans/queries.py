@@ -507,7 +507,7 @@ def dep_tree(spark, d):
 
 @query
 def dep_tree_deep(spark, d):
-    """Three levels: opened at the first visit, which needs a walk per root."""
+    """Three levels: opened at the first visit of a walk."""
     rows = tree.dep_tree(corpus_edges(spark, d), _roots(spark, d), V.files(spark, d), 3)
     return rows.select("root", F.array_join("path", ".").alias("place"), "depth", "node", "text")
 

@@ -28,7 +28,7 @@ def b():
 
 
 def plain(source):
-    return ast.walk(ast.parse(source.replace(FUTURE, "")))
+    return ast.walk(ast.parse(source.replace(FUTURE, "    later\n")))
 
 
 def valid(source):
@@ -56,7 +56,7 @@ def check(corpus, sources):
         assert [r.line for r in mine] == [n.lineno for n in nodes], source
         for r, n in zip(mine, nodes):
             assert ast.dump(ast.parse(r.code).body[0]) == ast.dump(n), source
-        outer = [n.lineno for n in ast.parse(source.replace(FUTURE, "")).body if isinstance(n, (ast.Import, ast.ImportFrom))]
+        outer = [n.lineno for n in ast.parse(source.replace(FUTURE, "    later\n")).body if isinstance(n, (ast.Import, ast.ImportFrom))]
         assert sorted(r.line for r in top if r.file_path == path) == outer, source
         for n in plain(source):
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and ast.get_docstring(n) and n.body[0].lineno > n.lineno:
