@@ -74,33 +74,48 @@ def _relative_paths() -> Column:
     )
 
 
-def _existing(candidates: DataFrame, paths: Column, files: DataFrame) -> DataFrame:
+def _asked(candidates: DataFrame, paths: Column) -> DataFrame:
+    """One row per path a candidate may mean, in order ``_rank``.  The statement is one
+    struct column, so that aggregates by statement and place share its shuffle."""
+    return candidates.select(
+        F.struct("project_name", "file_path", "stmt_seq", "nth").alias("stmt"), "pos",
+        F.posexplode(paths).alias("_rank", "_path"),
+    ).withColumn("_project", F.col("stmt.project_name"))
+
+
+def _existing(asked: DataFrame, files: DataFrame) -> DataFrame:
     """Join candidate paths with the corpus and keep the first that exists:
     (stmt, pos, dst), partitioned by ``stmt``, the importing statement.
 
     The paths of the corpus are unique, so a popular module is hot on one side
-    only, where the adaptive skew join splits it.  The statement is one struct
-    column, so that this aggregate and the one over edges share its shuffle.
-    """
-    asked = candidates.select(
-        F.struct("project_name", "file_path", "stmt_seq", "nth").alias("stmt"), "pos",
-        F.posexplode(paths).alias("_rank", "_path"),
-    ).withColumn("_project", F.col("stmt.project_name"))
+    only, where the adaptive skew join splits it."""
     known = files.select(F.col("project_name").alias("_project"), F.col("file_path").alias("_path"))
     hits = asked.join(known, ["_project", "_path"]).select("stmt", "pos", "_rank", "_path").repartition("stmt")
     return hits.groupBy("stmt", "pos").agg(F.min_by("_path", "_rank").alias("dst"))
 
 
+def asked_paths(files: DataFrame, compat: bool = False) -> DataFrame:
+    """Every path that an import statement of the files may mean."""
+    asked = deny_modules(import_candidates(extract_imports(files), compat))
+    paths = F.when(F.startswith("module", F.lit(".")), _relative_paths()).otherwise(_absolute_paths())
+    return _asked(asked, paths)
+
+
+def resolve_asked(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """(stmt, pos, dst): in one statement a target is kept once, at its first place."""
+    return _existing(asked, files).groupBy("stmt", "dst").agg(F.min("pos").alias("pos"))
+
+
 def resolve_absolute(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """``a.b`` to ``a/b.py`` or ``a/b/__init__.py`` from the root."""
     absolute = candidates.filter(~F.startswith("module", F.lit(".")))
-    return _existing(absolute, _absolute_paths(), files).select("stmt.*", "pos", "dst").drop("nth")
+    return _existing(_asked(absolute, _absolute_paths()), files).select("stmt.*", "pos", "dst").drop("nth")
 
 
 def resolve_relative(candidates: DataFrame, files: DataFrame) -> DataFrame:
     """Dotted-prefix modules against the folder of the importing file."""
     relative = candidates.filter(F.startswith("module", F.lit(".")))
-    return _existing(relative, _relative_paths(), files).select("stmt.*", "pos", "dst").drop("nth")
+    return _existing(_asked(relative, _relative_paths()), files).select("stmt.*", "pos", "dst").drop("nth")
 
 
 def build_edges(files_all: DataFrame, files_indexed: DataFrame | None = None, compat: bool = False) -> DataFrame:
@@ -112,10 +127,7 @@ def build_edges(files_all: DataFrame, files_indexed: DataFrame | None = None, co
     the corpus.
     """
     sources = files_all if files_indexed is None else files_indexed
-    asked = deny_modules(import_candidates(extract_imports(sources), compat))
-    paths = F.when(F.startswith("module", F.lit(".")), _relative_paths()).otherwise(_absolute_paths())
-    once = _existing(asked, paths, files_all).groupBy("stmt", "dst").agg(F.min("pos").alias("pos"))
-    return once.select(
+    return resolve_asked(asked_paths(sources, compat), files_all).select(
         "stmt.project_name", F.col("stmt.file_path").alias("src"), "dst", F.col("stmt.stmt_seq").alias("stmt_seq"),
         (F.col("stmt.nth") * 65536 + F.col("pos")).alias("pos"),
     )

@@ -527,6 +527,10 @@ _BODY.update({
          max(seq) FILTER (lane IN ('A','B')) AS lane_seq,
          coalesce(max(error), arg_max(message,seq) FILTER (lane='error')) AS last_error, max(seq) FILTER (lane='error') AS error_seq,
          max(t) IS NOT NULL AS done, bool_or(success) AS success, max(pr_url) AS pr_url FROM v GROUP BY 1""",
+    "stream_graph": "SELECT src, dst, stmt_seq, pos FROM edges",
+    "stream_documents": """SELECT file_path, md5(content) AS content_md5, symbols, coalesce(imports, '') AS imports FROM files
+        JOIN (SELECT file_path, string_agg(name, ',' ORDER BY start_line) AS symbols FROM units GROUP BY 1) USING (file_path)
+        LEFT JOIN (SELECT src AS file_path, string_agg(dst, ',' ORDER BY stmt_seq, pos) AS imports FROM edges GROUP BY 1) USING (file_path)""",
     "scan_repository": """SELECT 'main' AS project_name, id, row_number() OVER (ORDER BY risk_score DESC, id) AS rank, file, function, type,
         CASE WHEN risk_score>=8 THEN 'critical' WHEN risk_score>=6 THEN 'high' WHEN risk_score>=4 THEN 'medium' ELSE 'low' END AS severity,
         risk_score, start_line FROM (SELECT *, row_number() OVER (ORDER BY CAST(regexp_extract(file,'mod_(\\d+)\\.py$',1) AS BIGINT), pos, ord) AS id

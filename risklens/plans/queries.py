@@ -15,7 +15,7 @@ from risklens.operators.ordering import group_position
 from risklens.plans import views as V
 from risklens.session import materialize, new_path, tune
 from risklens.sources import corpus, documents, sessions
-from risklens.streaming import index as index_stream, progress
+from risklens.streaming import graph_index, index as index_stream, progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1010,6 +1010,38 @@ def stream_upsert(spark, d):
     return _document_rows(index_stream.read_index(spark, table))
 
 
+def _graph_deliveries(spark, d) -> str:
+    """The corpus in three deliveries: two thirds of the files, every fifth of them in an
+    old version without imports; the rest; and versions that came too late."""
+    files, n = V.files(spark, d), F.regexp_extract("file_path", r"mod_(\d+)\.py$", 1).cast("bigint")
+    at = lambda df, day: df.withColumn("analyzed_at", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp"))
+    old = F.when(n % 5 == 0, F.lit("import nothing\ndef old(): pass\n")).otherwise(F.col("content"))
+    deliveries = [
+        at(files.filter(n % 3 != 0).withColumn("content", old), 2), at(files.filter((n % 3 == 0) | (n % 5 == 0)), 3),
+        at(files.filter(n % 7 == 0).withColumn("content", F.lit("def late(): pass\n")), 1),
+    ]
+    source, folder, checkpoint = (new_path(spark, x) for x in ("versions", "graph-index", "graph-checkpoint"))
+    for delivery in deliveries:
+        delivery.select("project_name", "file_path", "content", "analyzed_at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("project_name string, file_path string, content string, analyzed_at timestamp").parquet(source)
+        graph_index.start_graph_stream(stream, folder, checkpoint).awaitTermination()
+    return folder
+
+
+@query
+def stream_graph(spark, d):
+    """Edges kept up to date over deliveries equal those of the whole corpus."""
+    edges = graph_index.read_edges(spark, _graph_deliveries(spark, d))
+    return edges.select("src", "dst", "stmt_seq", "pos")
+
+
+@query
+def stream_documents(spark, d):
+    """Documents with symbols and imports after the same deliveries."""
+    rows = graph_index.read_indexed(spark, _graph_deliveries(spark, d))
+    return rows.select("file_path", F.md5("content").alias("content_md5"), F.array_join("functions", ",").alias("symbols"), F.array_join("imports", ",").alias("imports"))
+
+
 # ---------------------------------------------------------------- whole scan
 
 
