@@ -61,7 +61,7 @@ def rarity_ranks(docs: DataFrame) -> np.ndarray:
             texts = Texts(part.column("text"))
             starts, ends = texts.words()
             if len(starts):
-                h = hasher.span(hasher.prefix(texts.data), starts, ends)
+                h = hasher.words(texts.data, starts, ends)
                 total += np.bincount((h >> U64(48)).astype(np.int64), minlength=RARITY_RANGES)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], names=["range", "n"])
@@ -89,7 +89,7 @@ class Lines:
         first = np.searchsorted(rows, np.arange(len(texts.rows) - 1))
         number = np.arange(len(rows)) - first[rows] if len(rows) else rows
         if len(starts):
-            h = hasher.span(hasher.prefix(texts.data), starts, ends)
+            h = hasher.words(texts.data, starts, ends)
             key = (ranks[(h >> U64(48)).astype(np.int64)] << U64(48)) | (h & U64((1 << 48) - 1))
         else:
             key = np.zeros(0, dtype=U64)

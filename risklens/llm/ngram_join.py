@@ -54,7 +54,7 @@ def shingle_sets(texts: Texts, words: int, hasher: Hasher) -> list[np.ndarray]:
     text has fewer than ``words``."""
     starts, ends = texts.words()
     first = texts.split(starts)
-    h = hasher.span(hasher.prefix(texts.data), starts, ends) if len(starts) else np.zeros(0, dtype=U64)
+    h = hasher.words(texts.data, starts, ends) if len(starts) else np.zeros(0, dtype=U64)
     n = max(len(h) - words + 1, 0)
     rolled = np.full(n, words, dtype=U64)
     for k in range(words):
@@ -260,7 +260,8 @@ def _verify(members: DataFrame, rules: JoinRules) -> DataFrame:
 
 
 def _members(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
-    """Sets of the families' nodes, read again from one document of each."""
+    """Sets of the families' nodes, read again from one document of each.  Nodes of rows
+    without an id are found by their sets, which are computed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -273,9 +274,22 @@ def _members(docs: DataFrame, family: DataFrame, rules: JoinRules) -> DataFrame:
                 names=["family", "blocks", "node", "shingles"],
             )
 
-    family = family.withColumnRenamed("rep", "_rep")
-    joined = small_join(docs, family, F.col("doc_id").eqNullSafe(F.col("_rep")), "inner", 40)
-    return joined.select("text", "family", "blocks", "node").mapInArrow(run, "family bigint, blocks int, node bigint, shingles binary")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for part in slices(batches, "text"):
+            sets = shingle_sets(Texts(part.column("text"), lower=True), rules.words, hasher)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node_of(sets).astype(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]
+            )
+
+    named = family.filter("rep is not null").withColumnRenamed("rep", "_rep")
+    joined = small_join(docs, named, F.col("doc_id") == F.col("_rep"), "inner", 40)
+    found = joined.select("text", "family", "blocks", "node").mapInArrow(run, "family bigint, blocks int, node bigint, shingles binary")
+    nameless = family.filter("rep is null").select("family", "blocks", "node")
+    if nameless.isEmpty():
+        return found
+    sets = docs.filter("doc_id is null").select("text").mapInArrow(again, "node bigint, shingles binary")
+    return found.unionByName(small_join(sets, nameless, "node", "inner", 40).select("family", "blocks", "node", "shingles").dropDuplicates(["node"]))
 
 
 def jaccard_components(df: DataFrame, rules: JoinRules = JoinRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

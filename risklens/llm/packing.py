@@ -85,7 +85,7 @@ class WordTokenizer:
             heads[1:] = ends[:-1]
             lead = first[:-1][first[:-1] < first[1:]]
             heads[lead] = texts.rows[:-1][first[:-1] < first[1:]]
-            a, b = (h.span(h.prefix(data), heads, ends) for h in self.hashers)
+            a, b = (h.words(data, heads, ends) for h in self.hashers)
             uniq, at, back = np.unique(a, return_index=True, return_inverse=True)
             clash = set(np.searchsorted(first, np.flatnonzero(b != b[at][back]), side="right").tolist())
             keys = list(zip(uniq.tolist(), b[at].tolist()))
