@@ -133,7 +133,7 @@ def unpack_bundle(df: DataFrame, col: str) -> DataFrame:
     is_bundle = F.contains(text, F.lit("===")) & (
         F.contains(text, F.lit("Target:")) | F.contains(text, F.lit("Context:"))
     )
-    pieces = F.slice(F.split(text, _SECTION), 2, F.size(F.split(text, _SECTION)))
+    pieces = F.slice(F.split(text, _SECTION), F.lit(2), F.lit(1 << 30))
     kinds = F.regexp_extract_all(text, F.lit(_SECTION), 1)
     paths = F.regexp_extract_all(text, F.lit(_SECTION), 2)
     rows = F.transform(
@@ -144,13 +144,10 @@ def unpack_bundle(df: DataFrame, col: str) -> DataFrame:
         ),
     )
     cut = df.withColumn("_full", F.filter(rows, lambda r: r["content"] != ""))
-    cut = cut.withColumn("_later", F.reverse(F.transform("_full", lambda r: r["name"])))
-    # inside one text: a section stays only when no later one has its name
-    numbered = F.transform("_full", lambda r, i: F.struct(r.alias("r"), i.alias("i")))
-    last = F.filter(
-        numbered, lambda x: F.array_position("_later", x["r"]["name"]) + x["i"] == F.size("_later")
-    )
-    kept = F.transform(last, lambda x: x["r"])
+    # inside one text: in order of name and place, the last of each name stays
+    cut = cut.withColumn("_named", F.array_sort(F.transform("_full", lambda r, i: F.struct(r["name"].alias("name"), i.alias("i")))))
+    last = F.filter("_named", lambda x, j: ~F.get("_named", j + 1)["name"].eqNullSafe(x["name"]))
+    kept = F.transform(F.array_sort(F.transform(last, lambda x: x["i"])), lambda i: F.get("_full", i))
     whole = F.array(F.struct(
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("path"),
         F.lit("Raw").alias("kind"), text.alias("content"),

@@ -383,6 +383,12 @@ _BODY.update({
         ON h.file=f.file_path AND h.pos=f.pos""",
     "rule_scan": """SELECT project_name, file_path, rule, type, risk_score FROM docs JOIN rules ON regexp_matches(content,p1) AND regexp_matches(content,p2)""",
     "rule_scan_units": "SELECT file, function, rule, risk_score, start_line FROM unit_hits",
+    "rule_places": r"""SELECT file_path, rule, nth, 1+length(ahead)-length(replace(ahead,chr(10),'')) AS line,
+        1+length(string_split(ahead,chr(10))[-1]) AS "column", found[nth] AS match FROM (
+        SELECT *, array_to_string(list_transform(range(1, nth+1), lambda i: concat(parts[i], CASE WHEN i<nth THEN found[i] ELSE '' END)),'') AS ahead FROM (
+         SELECT file_path, rule, parts, found, unnest(range(1, len(found)+1)) AS nth FROM (
+          SELECT file_path, rule, string_split_regex(content,p1) AS parts, regexp_extract_all(content,p1) AS found FROM files
+          JOIN rules ON regexp_matches(content,p1) AND regexp_matches(content,p2))))""",
     "rule_summary": """SELECT rule, type, count(*) AS hits, count(DISTINCT project_name) AS projects FROM (
         SELECT project_name, content FROM docs UNION ALL SELECT project_name, content FROM files) x
         JOIN rules ON regexp_matches(content,p1) AND regexp_matches(content,p2) GROUP BY 1,2""",

@@ -606,6 +606,13 @@ def rule_scan_units(spark, d):
     return _rule_findings(spark, d).select("file", "function", "rule", *_long("risk_score", "start_line"))
 
 
+@query
+def rule_places(spark, d):
+    """Every place in the corpus where a rule's pattern occurs."""
+    rows = rules.rule_places(V.files(spark, d).select("file_path", "content"), "content")
+    return rows.select("file_path", "rule", *_long("nth", "line", "column"), "match")
+
+
 @query
 def rule_summary(spark, d):
     both = rules.scan_rules(V.docs(spark, d), "content").select("project_name", "rule", "type").unionByName(
