@@ -88,9 +88,10 @@ def history_digest(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Dat
     )
 
 
-def baseline_gate(attempts: DataFrame) -> DataFrame:
-    """Per finding: whether the check succeeded on the original (attempt 0)."""
-    return classify_outcome(attempts).groupBy("finding_id").agg(
+def baseline_gate(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """Per finding: whether the check succeeded on the original (attempt 0).  Attempts
+    beyond the protocol's are not looked at."""
+    return classify_outcome(attempts.filter(F.col("attempt") <= max_attempts)).groupBy("finding_id").agg(
         F.coalesce(F.bool_or(F.when(F.col("attempt") == 0, F.col("ok"))), F.lit(False)).alias("baseline_ok")
     )
 
@@ -102,7 +103,7 @@ def first_fixed(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFr
     tells a check that failed to run from one that ran and found nothing."""
     tried = F.col("attempt").between(1, max_attempts)
     at = F.when(tried & ~F.col("ok"), F.col("attempt"))
-    per = classify_outcome(attempts).groupBy("finding_id").agg(
+    per = classify_outcome(attempts.filter(F.col("attempt") <= max_attempts)).groupBy("finding_id").agg(
         F.coalesce(F.bool_or(F.when(F.col("attempt") == 0, F.col("ok"))), F.lit(False)).alias("baseline_ok"),
         F.min(at).alias("_at"), F.min_by("stdout", at).alias("_out"), F.min_by("exit_code", at).alias("_code"),
         F.max(F.when(F.col("attempt") == 0, F.col("stdout"))).alias("_base"),

@@ -465,7 +465,7 @@ _BODY.update({
         CASE WHEN row_number() OVER w=1 THEN 'current' ELSE 'queued' END AS state FROM findings WHERE verified
         WINDOW w AS (PARTITION BY project_name ORDER BY risk_score DESC, seq)""",
     "remaining_work": """SELECT project_name, count(*) AS remaining, min(seq) AS first_seq FROM findings ANTI JOIN done USING (project_name, seq) GROUP BY 1""",
-    "remediated_links": """SELECT f.project_name, f.seq, f.type, l.url FROM findings f JOIN done USING (project_name, seq) LEFT JOIN (
+    "remediated_links": """SELECT f.project_name, f.seq, f.type, l.url FROM (SELECT * FROM findings WHERE verified AND risk_score>=6) f LEFT JOIN (
         SELECT concat('proj',number%20) AS project_name, number//40 AS seq, arg_max(url,number) AS url FROM issues GROUP BY 1,2) l
         ON l.project_name=f.project_name AND l.seq=f.seq""",
     "action_log_summary": """SELECT user_id AS session, count(*) FILTER (open AND event_type='purchase') AS fixed,

@@ -880,8 +880,9 @@ def attempt_history_digest(spark, d):
 
 
 def _fix_log(spark, d) -> DataFrame:
-    """The log with the first run as the baseline, attempt 0."""
-    return V.attempts(spark, d).withColumn("attempt", F.col("attempt") - 1)
+    """The log with the first run as the baseline, attempt 0; the protocol's attempts only,
+    so that the numbering keeps as few of a finding below its shuffle."""
+    return V.attempts(spark, d).filter(F.col("attempt") <= att.MAX_ATTEMPTS + 1).withColumn("attempt", F.col("attempt") - 1)
 
 
 @query
