@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from risklens.llm.records import runs
 from risklens.llm.textvec import U64, Hasher, Texts, mix, slices
 from risklens.session import materialize
 
@@ -35,6 +37,9 @@ _BLANK[[0x20, 0x09]] = True
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _BLANK | _BREAK
+SLICE_BYTES = 1 << 20
+HELD_KEYS = 1 << 21  # a task counts and sends its phrases when it holds so many occurrences
+HELD_PHRASES = 1 << 20  # and, with their words, so many phrases
 BUCKET_BITS = 15  # bits that one value of bitmap_construct_agg holds
 
 
@@ -90,7 +95,7 @@ class Grams:
 
     def __init__(self, part: pa.RecordBatch, hasher: Hasher):
         texts = Texts(part.column("text"), lower=True)
-        self.data = texts.data
+        self.raw = texts.data.tobytes()
         self.starts, self.ends = texts.words(_GAPS)
         self.row = np.repeat(np.arange(part.num_rows), np.diff(texts.split(self.starts)))
         breaks = np.cumsum(_BREAK[texts.data])
@@ -114,7 +119,48 @@ class Grams:
             yield k, at, (h & ~U64(3)) | U64(k - 1)
 
     def phrase(self, i: int, k: int) -> bytes:
-        return b" ".join([self.data[a:b].tobytes() for a, b in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist())])
+        return b" ".join([self.raw[a:b] for a, b in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist())])
+
+
+class Held:
+    """A task's phrases so far, by hash: their counts, and their words once."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.name = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.phrases: list[bytes] = []
+        self.langs: list[str] = []
+        self.totals: Counter[str] = Counter()
+
+    def add(self, grams: Grams, at: np.ndarray, hashes: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        heads = runs(hashes[order])
+        keys, first, n = hashes[order[heads]], at[order[heads]], np.diff(np.append(heads, len(order)))
+        place = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), dtype=bool)
+        inside = place < len(self.keys)
+        old[inside] = self.keys[place[inside]] == keys[inside]
+        self.n[place[old]] += n[old]
+        new, begun = ~old, len(self.phrases)
+        for i, k in zip(first[new].tolist(), (keys[new] & U64(3)).tolist()):
+            self.phrases.append(grams.phrase(i, k + 1))
+            self.langs.append(grams.langs[grams.row[i]])
+        merged = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(merged, kind="stable")
+        self.keys, self.n = merged[order], np.concatenate([self.n, n[new]])[order]
+        self.name = np.concatenate([self.name, np.arange(begun, len(self.phrases))])[order]
+
+    def words(self, grams: Grams, rows: int) -> None:
+        for lang, n in zip(grams.langs, np.bincount(grams.row, minlength=rows).tolist()):
+            self.totals[lang] += n
+
+    def batch(self) -> pa.RecordBatch:
+        n, sizes = np.zeros(len(self.phrases), dtype=np.int64), np.zeros(len(self.phrases), dtype=np.int64)
+        n[self.name], sizes[self.name] = self.n, (self.keys & U64(3)).astype(np.int64) + 1
+        langs, phrases = self.langs + list(self.totals), self.phrases + [None] * len(self.totals)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes.tolist() + [0] * len(self.totals), pa.int32()),
+             pa.array(n.tolist() + list(self.totals.values()), pa.int64())], names=["lang", "phrase", "n_words", "f"],
+        )
 
 
 def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int, rules: PhraseRules) -> DataFrame:
@@ -130,8 +176,13 @@ def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int,
             # both parts begin where a phrase of one word less begins: at this word and the next
             return inside[place[at]] & inside[place[at + 1]]
 
-        for part in slices(batches, "text"):
-            grams, chosen = Grams(part, hasher), []
+        def counted(chosen: list[np.ndarray]) -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(chosen) if chosen else np.zeros(0, dtype=U64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+        chosen: list[np.ndarray] = []
+        for part in slices(batches, "text", SLICE_BYTES):
+            grams = Grams(part, hasher)
             place = inside = seen = np.zeros(0, dtype=np.int64)
             for k, at, keys in grams.of(rules.max_words):
                 if k == 1:
@@ -145,8 +196,10 @@ def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int,
                 place[at] = np.arange(len(at))
                 inside = now.has(keys)
                 seen = before.has(keys) if before is not None else inside
-            keys, n = np.unique(np.concatenate(chosen), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            if sum(map(len, chosen)) > HELD_KEYS:
+                yield counted(chosen)
+                chosen = []
+        yield counted(chosen)
 
     counts = docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     written = materialize(counts.filter(F.col("n") >= bar), "phrases")
@@ -207,24 +260,16 @@ def phrase_counts(df: DataFrame, rules: PhraseRules = PhraseRules(), doc_id: str
     sent = docs.sparkSession.sparkContext.broadcast(Filter(rules.filter_bits).joined(keys.select("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hasher = sent.value, Hasher()
-        for part in slices(batches, "text"):
+        frequent, hasher, held = sent.value, Hasher(), Held()
+        for part in slices(batches, "text", SLICE_BYTES):
             grams = Grams(part, hasher)
-            langs, phrases, sizes, counts = [], [], [], []
-            for k, at, h in grams.of(rules.max_words):
-                pick = frequent.has(h)
-                _, first, n = np.unique(h[pick], return_index=True, return_counts=True)
-                where = at[pick][first].tolist()
-                langs += [grams.langs[r] for r in grams.row[where].tolist()]
-                phrases += [grams.phrase(i, k) for i in where]
-                sizes += [k] * len(where)
-                counts += n.tolist()
-            words = np.bincount(grams.row, minlength=part.num_rows).tolist()
-            langs, phrases = langs + grams.langs, phrases + [None] * len(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes + [0] * len(words), pa.int32()),
-                 pa.array(counts + words, pa.int64())], names=["lang", "phrase", "n_words", "f"],
-            )
+            found = [(at[pick], h[pick]) for _, at, h in grams.of(rules.max_words) for pick in [frequent.has(h)]]
+            held.add(grams, np.concatenate([at for at, _ in found]), np.concatenate([h for _, h in found]))
+            held.words(grams, part.num_rows)
+            if len(held.phrases) > HELD_PHRASES:
+                yield held.batch()
+                held = Held()
+        yield held.batch()
 
     exact = docs.mapInArrow(run, "lang string, phrase string, n_words int, f bigint").groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
     written = materialize(exact.filter((F.col("f") >= rules.min_count) | (F.col("phrase").isNull() & (F.col("f") > 0))), "phrases")
