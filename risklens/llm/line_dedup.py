@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import blocks, row_keys, runs, small_join, unpack
+from risklens.llm.records import aside, blocks, row_keys, runs, small_join, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
@@ -404,11 +404,13 @@ def lines_query(docs: DataFrame) -> DataFrame:
 
 
 def lines_stage(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated lines, same columns; one that loses all its
-    words that way goes."""
-    out = remove_lines(docs, out="_removed")
-    left = (F.size("_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    """Documents without their repeated lines, same columns, whatever the names of further
+    ones; a document that loses all its words that way goes."""
+    plain, names = aside(docs)
+    text = names["text"]
+    out = remove_lines(plain, doc_id=names["doc_id"], text=text, out="removed")
+    left = (F.size("removed") == 0) | F.col(text).rlike("[^\\x20\\x09-\\x0D]")
     return out.filter(left).select(*[
-        (F.when(F.size("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`"))
-        for c in docs.columns
-    ])
+        (F.when(F.size("removed") > 0, F.length(text)).otherwise(F.col(own)).cast("bigint").alias(own) if c == "n_chars" else F.col(own))
+        for c, own in names.items()
+    ]).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from risklens.llm.linear import Logistic, distinct, features, posteriors
-from risklens.llm.records import small_join
+from risklens.llm.records import aside, small_join
 from risklens.llm.textvec import Hasher, Texts, slices
 from risklens.session import materialize
 
@@ -60,10 +60,18 @@ def _word_features(part: pa.RecordBatch, hasher: Hasher) -> tuple[np.ndarray, np
 
 def train(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], per_domain: int) -> Logistic:
     """Classifier from at most ``per_domain`` labelled documents of each domain."""
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = labelled.filter(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    shares = {r[0]: r[1] for r in named.groupBy("domain").agg(F.count(F.lit(1))).collect()}  # one row per domain
+    total = sum(shares.values())
+    # of a large domain only a hash range of about four times per_domain ids is ordered
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    within = F.lit(False)
+    for name, count in shares.items():
+        within = within | ((F.col("domain") == name) & (spot <= int(min(1.0, 4 * per_domain / count) * (1 << 30))))
+    order = Window.partitionBy("domain").orderBy("spot", "doc_id")
+    few = named.filter(within).withColumn("spot", spot)
     # bounded: per_domain rows of each of a few domains
-    chosen = named.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_domain).select(F.col("doc_id").alias("_id"), "domain")
+    chosen = few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_domain).select(F.col("doc_id").alias("chosen_id"), "domain")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -71,21 +79,22 @@ def train(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], per_doma
             _, owner, feature = _word_features(part, hasher)
             cut = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
             yield pa.RecordBatch.from_arrays(
-                [part.column("domain"), pa.array([feature[a:b].astype("<i2").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["domain", "features"]
+                [part.column("doc_id"), part.column("domain"), pa.array([feature[a:b].astype("<i2").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())],
+                names=["doc_id", "domain", "features"],
             )
 
     texts, y = [], []
-    training = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "domain")
-    for row in training.mapInArrow(run, "domain string, features binary").toLocalIterator():
+    training = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("doc_id", "text", "domain")
+    found = training.mapInArrow(run, "doc_id bigint, domain string, features binary")
+    # an id that many rows carry trains once
+    for row in found.groupBy("doc_id").agg(F.min("domain").alias("domain"), F.min("features").alias("features")).orderBy("doc_id").collect():
         texts.append(np.frombuffer(row.features, dtype="<i2").astype(np.int64))
         y.append(list(domains).index(row.domain))
-    shares = {r[0]: r[1] for r in named.groupBy("domain").agg(F.count(F.lit(1))).collect()}  # one row per domain
-    total = sum(shares.values())
     return Logistic(texts, y, len(domains), priors=[shares.get(d, 0) / total for d in domains] if total else None)
 
 
 def domain_posteriors(docs: DataFrame, model: Logistic) -> DataFrame:
-    """doc_id, n_tokens (words) and ``p``, the probability of each domain."""
+    """doc_id, text_hash, n_tokens (words) and ``p``, the probability of each domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -93,10 +102,11 @@ def domain_posteriors(docs: DataFrame, model: Logistic) -> DataFrame:
             n, owner, feature = _word_features(part, hasher)
             p = posteriors(model.scores(feature, owner, part.num_rows))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"]
+                [part.column("doc_id"), part.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(list(p), pa.list_(pa.float64()))],
+                names=["doc_id", "text_hash", "n_tokens", "p"],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_tokens bigint, p array<double>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_tokens bigint, p array<double>")
 
 
 def _rate(directions: list[np.ndarray], max_rate: float) -> Column:
@@ -134,23 +144,25 @@ def fit_rates(soft: DataFrame, shares: Sequence[float], rules: MixRules) -> tupl
 
 
 def mixing_rates(df: DataFrame, labelled: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ``p`` (domain to probability), rate, copies.
+    """One row per document: doc_id, text_hash, n_tokens, ``p`` (domain to probability),
+    rate, copies.
 
-    ``labelled`` has (doc_id, domain).  Copies round the rate by the hash of the id, so
-    their expected number is the rate.  A null or empty text has no tokens and keeps the
-    probabilities of a text without known words; a null id hashes like any value.
-    Repeated rows are documents of their own with equal rates.  Domains without labelled documents
+    ``labelled`` has (doc_id, domain).  Copies round the rate by the hash of the id and
+    of the text, so their expected number is the rate, for rows without an id too.  A null
+    or empty text has no tokens and keeps the probabilities of a text without known words.
+    Repeated rows are documents of their own with equal rates and copies.  Domains without labelled documents
     get a probability near 0.  Targets that nonnegative rates up to ``max_rate`` cannot
     reach are met as closely as least squares allow.  An empty table gives an empty table.
     """
     docs = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     names = sorted(rules.targets)
     model = train(docs, labelled, names, rules.per_domain)
     soft = materialize(domain_posteriors(docs, model), "posteriors")
     fitted, _ = fit_rates(soft, [rules.targets[x] for x in names], rules)
-    chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "text_hash"), F.lit(1 << 20)) / float(1 << 20)
     return fitted.select(
-        "doc_id", "n_tokens", F.map_from_arrays(F.array(*[F.lit(x) for x in names]), "p").alias("p"), "rate",
+        "doc_id", "text_hash", "n_tokens", F.map_from_arrays(F.array(*[F.lit(x) for x in names]), "p").alias("p"), "rate",
         F.floor(F.col("rate") + chance).cast("int").alias("copies"),
     )
 
@@ -162,7 +174,12 @@ def mix_query(docs: DataFrame, labels: DataFrame, rules: MixRules = MixRules())
 
 
 def mix_stage(docs: DataFrame, labels: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
-    """Each document as often as its copies say; same columns."""
-    rates = materialize(mixing_rates(docs, domains_of(labels), rules).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")), "copies")
-    joined = small_join(docs, rates, F.col("doc_id").eqNullSafe(F.col("_id")), "inner", 16)
-    return joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{x}`") for x in docs.columns])
+    """Each document as often as its copies say; same columns, whatever the names of
+    further ones.  Rows of one id, or without one, have the copies of their own text."""
+    rates = mixing_rates(docs, domains_of(labels), rules).filter("copies > 0").select("doc_id", "text_hash", "copies")
+    rates = materialize(rates.dropDuplicates(["doc_id", "text_hash"]), "copies")
+    plain, names = aside(docs)
+    row = F.col(names["doc_id"]).cast("bigint").eqNullSafe(F.col("doc_id"))
+    text = F.xxhash64(F.col(names["text"]).cast("string")) == F.col("text_hash")
+    joined = small_join(plain, rates, row & text, "inner", 24)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names.values()).toDF(*docs.columns)

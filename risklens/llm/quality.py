@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risklens.llm.records import aside
+
 # Patterns both Spark and the SQL form use; only syntax that both engines share.
 SPACE = "[\\x20\\x09-\\x0D]+"
 # a line of prose ends in one of these, closing quotes and brackets included
@@ -190,10 +192,12 @@ def quality_query(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with their failing lines removed; same columns."""
-    q = F.col("_quality")
-    passed = line_quality(docs, out="_quality").filter(q["kept"])
+    """Documents that pass, with their failing lines removed; same columns, whatever the
+    names of further ones."""
+    plain, names = aside(docs)
+    q = F.col("quality")
+    passed = line_quality(plain, names["text"], out="quality").filter(q["kept"])
     return passed.select(*[
-        (q["clean"] if c == "text" else F.length(q["clean"]).cast("bigint") if c == "n_chars" else F.col(f"`{c}`")).alias(c)
-        for c in docs.columns
-    ])
+        (q["clean"] if c == "text" else F.length(q["clean"]).cast("bigint") if c == "n_chars" else F.col(own)).alias(own)
+        for c, own in names.items()
+    ]).toDF(*docs.columns)

@@ -74,6 +74,13 @@ def thinned(df: DataFrame, hashed, rows: int) -> DataFrame:
     return df.filter(F.pmod(hashed, F.lit(1 << 30)) <= int(share * (1 << 30)))
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names of its own (c0, c1, ...), which nothing added to it can clash
+    with, and the new name of each column; ``toDF(*df.columns)`` restores them."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def row_keys(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``df`` with a key of two longs for every row, by which documents are ordered:
     ``__doc``, the id (the largest long for null), and ``__tie``.
