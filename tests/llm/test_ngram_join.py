@@ -124,3 +124,30 @@ def test_stage_and_odd_rows(spark, odd_docs, no_docs, odd_texts):
     assert sum(r.doc_id is None for r in rows) == 1
     clash = odd_docs.selectExpr("*", "1 as node", "2 as _keep", "3 as component_id", "4 as _rep")
     assert join_query(clash).count() == odd_docs.count()
+
+
+def test_hamming_distance_never_exceeds_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 300, 1024, 1025, 5000):
+        pool = mix(rng.integers(0, 1 << 62, 2 * n).astype(np.uint64))
+        for swap in (0, 1, n // 10, n // 2):
+            a, b = np.unique(pool[:n]), np.unique(pool[swap : n + swap])
+            narrow, bodies = ngram_join.whole_sketches([a, b, a[:0]])
+            x, y = (np.frombuffer(s, dtype=np.uint64) for s in bodies[:2])
+            width = min(len(x), len(y))
+            far = int(np.bitwise_count(ngram_join.fold(x, width) ^ ngram_join.fold(y, width)).sum())
+            assert far <= len(np.setxor1d(a, b)) and (far == 0) == (swap == 0)
+            assert np.array_equal(narrow[0], ngram_join.fold(x, ngram_join.SKETCH)) and not narrow[2].any()
+
+
+def test_sketches_of_one_key_in_blocks(spark, words, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SKETCHES", 3)
+    monkeypatch.setattr(ngram_join, "FLUSH", 400)
+    rng = random.Random(5)
+    passage = [rng.choice(words) for _ in range(40)]
+    texts = families(words, rng, 12, 12)
+    texts += [" ".join(passage + [f"{rng.choice(words)}{i}" for _ in range(rng.randint(0, 60))]) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for k, percent in ((5, 80), (3, 90)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, JoinRules(k, percent)).collect()}
+        assert got == brute(texts, k, percent)
