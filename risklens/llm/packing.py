@@ -30,6 +30,9 @@ PIECES = (
 )
 
 
+SLICE = 1 << 20  # bytes of text that are hashed at a time: small arrays beside the remembered words
+
+
 @dataclass(frozen=True)
 class PackRules:
     """``sentence`` and ``forced`` are penalties in tokens for a cut at a sentence
@@ -39,7 +42,7 @@ class PackRules:
     sentence: int = 24
     forced: int = 512
     block_tokens: int = 1 << 20  # the program runs over blocks of whole documents
-    cached_words: int = 1 << 20  # words whose ids a task remembers; only speed depends on it
+    cached_words: int = 1 << 18  # words whose ids a task remembers; only speed depends on it
 
 
 class WordTokenizer:
@@ -176,7 +179,7 @@ def pack_documents(
         ids: list = []
         rows: list[bytes] = []
         size = 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             for doc, coded in zip(part.column("doc_id").to_pylist(), coder.rows(Texts(part.column("text")))):
                 ids.append(doc)
                 rows.append(coded + b"\0\0\0\0")

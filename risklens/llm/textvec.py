@@ -53,8 +53,8 @@ class Hasher:
         """Prefix sums over ``data``; entry i covers the first i bytes."""
         n = len(data) + 1
         if len(self.power) < n:
-            self.power = _powers(self.base, 2 * n)
-            self.inverse = _powers(pow(self.base, -1, 1 << 64), 2 * n)
+            self.power = _powers(self.base, n + n // 4)
+            self.inverse = _powers(pow(self.base, -1, 1 << 64), n + n // 4)
         out = np.zeros(n, dtype=U64)
         np.cumsum(self.table[data] * self.power[: n - 1], out=out[1:])
         return out
