@@ -277,7 +277,7 @@ def _remaining(live: DataFrame, matched: DataFrame, rules: LineRules) -> DataFra
             settled.append(b.column("settled").to_numpy(zero_copy_only=False))
         if not parts:
             return
-        r, settled = unpack(parts, TOKEN), np.concatenate(settled)
+        r, settled = np.frombuffer(b"".join(parts), dtype=TOKEN), np.concatenate(settled)
         order = np.lexsort((r["n"], r["token"]))
         r, settled = r[order], settled[order]
         for x, y, _ in filtered_pairs(r, rules.percent):

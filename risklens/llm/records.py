@@ -1,7 +1,9 @@
 """Packed numpy records through Spark shuffles, and sized joins.
 
 A shuffle row here is a block of many fixed-width records that belong to one
-bucket of the key's hash, so the cost per record is that of its bytes.  Whoever
+bucket of the key's hash, so the cost per record is that of its bytes.  A block
+holds the first bytes of all its records, then the second ones and so on: high bytes
+of counters are runs of zeros then, which the shuffle's compression takes out.  Whoever
 reads a partition gets all records of its buckets as one array.
 """
 
@@ -33,12 +35,18 @@ def blocks(records: np.ndarray, key: np.ndarray, buckets: int = BUCKETS) -> tupl
     sorted_bucket = bucket[order]
     at = np.flatnonzero(np.diff(sorted_bucket, prepend=-1))
     ends = np.append(at[1:], len(order))
-    packed, width = records[order].tobytes(), records.dtype.itemsize
-    return sorted_bucket[at].tolist(), [packed[a * width : b * width] for a, b in zip(at.tolist(), ends.tolist())]
+    plain = records[order].view(np.uint8).reshape(len(order), records.dtype.itemsize)
+    return sorted_bucket[at].tolist(), [plain[a:b].T.tobytes() for a, b in zip(at.tolist(), ends.tolist())]
 
 
 def unpack(parts: list[bytes], dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), dtype=dtype)
+    width = dtype.itemsize
+    out, at = np.empty((sum(map(len, parts)) // width, width), dtype=np.uint8), 0
+    for part in parts:
+        n = len(part) // width
+        out[at : at + n] = np.frombuffer(part, dtype=np.uint8).reshape(width, n).T
+        at += n
+    return out.reshape(-1).view(dtype)
 
 
 def runs(*columns: np.ndarray) -> np.ndarray:

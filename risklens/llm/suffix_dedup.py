@@ -179,12 +179,15 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _meet(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated spans (``REMOVED``), and runs that share an anchor but not their text (``OPEN``)."""
+    """Repeated spans (``REMOVED``), the given ones among them, and runs that share an
+    anchor but not their text (``OPEN``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         for b in batches:
-            parts += [x for x in b.column("payload").to_pylist() if x is not None]
+            is_block = pa.compute.equal(b.column("kind"), BLOCK)
+            parts += b.filter(is_block).column("payload").to_pylist()
+            yield b.filter(pa.compute.invert(is_block))
         if not parts:
             return
         kept, later = first_of_equal(unpack(parts, RUN))
@@ -197,7 +200,8 @@ def _meet(rows: DataFrame, length: int) -> DataFrame:
         kept = kept[shared]
         yield _rows(OPEN, doc=kept["doc"], tie=kept["tie"], lo=kept["start"].astype(np.int64), anchor=kept["anchor"].view(np.int64), windows=kept["windows"].astype(np.int32))
 
-    return rows.filter(F.col("kind") == BLOCK).repartition("bucket").mapInArrow(run, ROWS)
+    spread = F.coalesce("bucket", F.pmod(F.xxhash64("doc", "tie", "lo"), F.lit(1 << 30)).cast("int"))
+    return rows.repartition(spread).mapInArrow(run, ROWS)
 
 
 def pieces(texts: Texts, runs_: np.ndarray, row: np.ndarray, length: int, width: int, hasher: Hasher, second: Hasher) -> np.ndarray:
@@ -271,9 +275,8 @@ def _settle(docs: DataFrame, open_runs: DataFrame, length: int) -> list[DataFram
             break
         few = small_join(open_runs, hot, "anchor", "left_anti", 8)
         cold = few if cold is None else cold.union(few)
-        split = materialize(_split(docs, small_join(open_runs, hot, "anchor", "left_semi", 8), length, width), "pieces")
-        met = materialize(_meet(split, length), "met")
-        out += [split, met]
+        met = materialize(_meet(_split(docs, small_join(open_runs, hot, "anchor", "left_semi", 8), length, width), length), "met")
+        out.append(met)
         open_runs = met.filter(F.col("kind") == OPEN)
     # what single windows leave open is one hash for different bytes, so it is not hot
     cold = open_runs if cold is None else cold.union(open_runs)
@@ -498,10 +501,9 @@ def remove_repeats(df: DataFrame, length: int = 100, doc_id: str = "doc_id", tex
     both = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = row_keys(both, "doc_id", "text").withColumnsRenamed({"__doc": "doc", "__tie": "tie"})
     keyed = docs.select("doc", "tie", "text")
-    scanned = materialize(_scan(keyed, length), "runs")
-    met = materialize(_meet(scanned, length), "met")
+    met = materialize(_meet(_scan(keyed, length), length), "met")
     removed = None
-    for part in (scanned, met, *_settle(keyed, met.filter(F.col("kind") == OPEN), length)):
+    for part in (met, *_settle(keyed, met.filter(F.col("kind") == OPEN), length)):
         spans = part.filter(F.col("kind") == REMOVED).select("doc", "tie", "lo", "hi")
         removed = spans if removed is None else removed.union(spans)
     per_doc = materialize(removed.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "spans")
