@@ -5,7 +5,7 @@ The distinct words of a line, rarest first, are its tokens.  Two lines of Jaccar
 only those are sent.  Lines that meet at a token pass a length filter, a positional
 filter (what can still be common after this token) and a bitmap filter (parity
 bits of both sets differ in at most as many places as the sets), first on 256 bits
-and then on ``WIDE_BITS``, and are then verified on their tokens.  A line is removed if a similar line comes earlier.
+(64 if one of the lines is short) and then on ``WIDE_BITS``, and are then verified on their tokens.  A line is removed if a similar line comes earlier.
 
 Rarity is counted over all words in a fixed number of hash ranges; any total order
 of the tokens gives exact results.
@@ -30,6 +30,7 @@ FLUSH = 1 << 19
 WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
 
 NARROW_WORDS = 4  # 64-bit words of parity bits that travel with each token
+SHORT_LINE = 32  # sets up to this size have them folded into the first word
 TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
 REMOVED, BLOCK, PAIR, LIVE = 1, 2, 3, 4
 _TYPES = [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("other_doc", pa.int64()),
@@ -109,6 +110,9 @@ class Lines:
             bit, word = U64(1) << (mixed & U64(63)), (mixed >> U64(6)) & U64(NARROW_WORDS - 1)
             for w in range(NARROW_WORDS):
                 self.bits[:, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U64(0)), self.begin)
+            short = self.size <= SHORT_LINE
+            self.bits[short, 0] = np.bitwise_xor.reduce(self.bits[short], axis=1)
+            self.bits[short, 1:] = 0
         else:
             self.set, self.bits = np.zeros(0, dtype=U64), np.zeros((0, NARROW_WORDS), dtype=U64)
 
@@ -168,6 +172,7 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
     end = np.repeat(np.append(heads[1:], len(r)), np.diff(np.append(heads, len(r))))
     n, pos = r["n"].astype(np.int64), r["pos"].astype(np.int64)
     bits = [np.ascontiguousarray(r["bits"][:, w]) for w in range(NARROW_WORDS)]
+    folded = np.bitwise_xor.reduce(r["bits"], axis=1)  # parity bits too, fewer; of short lines the only ones
     left, k = np.arange(len(r)), 0
     while len(left):
         k += 1
@@ -179,12 +184,12 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
         need = -(-total * percent // (100 + percent))
         rest = 1 + np.minimum(n[left] - pos[left], n[right] - pos[right]) - 1
         a, b, most = left[rest >= need], right[rest >= need], (total - 2 * need)[rest >= need]
-        d = np.zeros(len(a), dtype=np.int64)
-        for w in range(NARROW_WORDS):  # bits that differ only add up, so a word too many ends it
-            d += np.bitwise_count(bits[w][a] ^ bits[w][b])
-            ok = d <= most
-            a, b, d, most = a[ok], b[ok], d[ok], most[ok]
-        ok = r["set"][a] != r["set"][b]
+        d = np.bitwise_count(folded[a] ^ folded[b]).astype(np.int64)
+        ok = d <= most
+        a, b, d, most = a[ok], b[ok], d[ok], most[ok]
+        long = np.flatnonzero(n[a] > SHORT_LINE)  # the second of a pair is no smaller
+        d[long] = sum(np.bitwise_count(w[a[long]] ^ w[b[long]]).astype(np.int64) for w in bits)
+        ok = (d <= most) & (r["set"][a] != r["set"][b])
         if ok.any():
             a, b, d = a[ok], b[ok], d[ok]
             same, tied = r["doc"][a] == r["doc"][b], r["tie"][a] == r["tie"][b]
