@@ -385,7 +385,8 @@ def remove_lines(df: DataFrame, rules: LineRules = LineRules(), doc_id: str = "d
     keyed = row_keys(df.select(*[F.col(f"`{c}`") for c in kept]), doc_id, text)
     gone = repeated_lines(keyed.select(F.col("__doc").alias("doc"), F.col("__tie").alias("tie"), F.col(f"`{text}`").cast("string").alias("text")), rules)
     lines = gone.select(F.col("doc").alias("__gone"), F.col("tie").alias("__gone_tie"), F.array_sort("lines").alias("__lines"))
-    joined = small_join(keyed, lines, (F.col("__doc") == F.col("__gone")) & (F.col("__tie") == F.col("__gone_tie")), "left", 168)
+    # one plan at every size: half of all documents may have a list, and texts need no sort to be hashed
+    joined = keyed.join(lines.hint("shuffle_hash"), (F.col("__doc") == F.col("__gone")) & (F.col("__tie") == F.col("__gone_tie")), "left")
     numbered = joined.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("__lines", F.array().cast("array<bigint>")).alias(out))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
