@@ -146,9 +146,16 @@ def session_drop(spark, d):
     return sessions.drop_session(scans, "owner_repo3").groupBy("session_id").agg(F.count(F.lit(1)).alias("scans"))
 
 
+def _for_lookup(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` written in the layout for lookups, and read back."""
+    path = new_path(df.sparkSession, "lookup")
+    documents.write_for_lookup(df, path, keys)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query
 def src_finding_lookup(spark, d):
-    rows = V.findings(spark, d)
+    rows = _for_lookup(V.findings(spark, d), ["project_name", "seq"])
     one = sessions.findings_for(rows, "proj3", 17).withColumn("lookup", F.lit("one"))
     none = sessions.findings_for(rows, "nowhere").withColumn("lookup", F.lit("none"))
     every = sessions.findings_for(rows, "proj3").withColumn("lookup", F.lit("all"))
@@ -157,7 +164,8 @@ def src_finding_lookup(spark, d):
 
 @query
 def src_doc_lookup(spark, d):
-    return documents.get_document(V.files(spark, d), "main", "pkg7/sub3/mod_17.py").select("file_path", "content")
+    files = _for_lookup(V.files(spark, d), ["project_name", "file_path"])
+    return documents.get_document(files, "main", "pkg7/sub3/mod_17.py").select("file_path", "content")
 
 
 def _feed(spark, d) -> str:

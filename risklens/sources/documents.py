@@ -1,4 +1,4 @@
-"""The table of file documents: keys, upsert, deletion, lookup."""
+"""The table of file documents: keys, upsert, deletion, lookup, and a layout for lookups."""
 
 from __future__ import annotations
 
@@ -46,6 +46,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_for_lookup(df: DataFrame, path: str, keys: list[str], group_bytes: int = 16 << 20) -> None:
+    """Write ``df`` so that few row groups are read for given ``keys``.
+
+    Files are ranges of the keys and sorted by them, so the bounds of a row group
+    exclude all but neighbours of the first key; a Bloom filter of each key decides
+    inside them.  A filter takes the size that its row group's values need."""
+    blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in keys}
+    (
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .write.mode("overwrite").options(**blooms)
+        .option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", group_bytes)
+        .parquet(path)
+    )
+
+
 def clear_project(df: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     """Documents of all other projects, and the number deleted as a one-row table."""
     gone = F.col("project_name") == project
@@ -53,5 +68,6 @@ def clear_project(df: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
 
 
 def get_document(files: DataFrame, project: str, path: str) -> DataFrame:
-    """The document of a path, at most one row."""
+    """The document of a path, at most one row.  Over a table of :func:`write_for_lookup`
+    both conditions reach the scan."""
     return files.filter((F.col("project_name") == project) & (F.col("file_path") == path)).limit(1)
