@@ -274,12 +274,13 @@ def _settle(docs: DataFrame, open_runs: DataFrame, length: int) -> list[DataFram
         if hot.isEmpty():
             break
         few = small_join(open_runs, hot, "anchor", "left_anti", 8)
-        cold = few if cold is None else cold.union(few)
+        cold = few if cold is None else cold.unionByName(few)
         met = materialize(_meet(_split(docs, small_join(open_runs, hot, "anchor", "left_semi", 8), length, width), length), "met")
         out.append(met)
         open_runs = met.filter(F.col("kind") == OPEN)
     # what single windows leave open is one hash for different bytes, so it is not hot
-    cold = open_runs if cold is None else cold.union(open_runs)
+    # by name: the join above puts the anchor first
+    cold = open_runs if cold is None else cold.unionByName(open_runs)
     size = cold.agg(F.sum(F.col("windows").cast("bigint") + (length - 1))).first()[0] or 0
     buckets = max(SUFFIX_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
     return [*out, materialize(_resolve(_texts_of_open(docs, cold, length, buckets), length, size), "resolved")]

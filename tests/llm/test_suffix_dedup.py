@@ -133,6 +133,25 @@ def test_hot_anchors_are_split(spark, words, hot, monkeypatch):
     assert len(sizes) == 1 and (sizes[0] or 0) <= hot
 
 
+def test_hot_anchors_whose_pieces_are_not_hot(spark, words, monkeypatch):
+    """Runs of a hot anchor part by their edges into pieces that settle in suffix buckets."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abc") for _ in range(110))
+    texts = []
+    for k in range(60):
+        left, right = ("".join(rng.choice("abc") for _ in range(12)) for _ in range(2))
+        cut = rng.randint(0, 60)
+        texts.append(left + passage[cut:] + right if k % 2 else left + passage[: 110 - cut] + right + left)
+    texts += corpus(words, rng)
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 20)
+    pieces_hot = []
+    split = suffix_dedup._split
+    monkeypatch.setattr(suffix_dedup, "_split", lambda d, hot, length, width: pieces_hot.append(width) or split(d, hot, length, width))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r[0]: tuple(r)[1:] for r in repeats_query(docs).collect()} == brute(texts, 100)
+    assert pieces_hot == [suffix_dedup.PIECE]
+
+
 def test_rows_without_an_id_or_with_one_id_are_documents(spark, words):
     rng = random.Random(12)
     a, b, c, d = (" ".join(rng.choice(words) for _ in range(40)) for _ in range(4))
