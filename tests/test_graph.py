@@ -213,3 +213,14 @@ def test_resolvers_agree_with_the_edges(corpus):
     asked = imports.deny_modules(import_candidates(extract_imports(files)))
     both = imports.resolve_absolute(asked, files).unionByName(imports.resolve_relative(asked, files))
     assert {(r.file_path, r.dst) for r in both.collect()} == _edges(files)
+
+
+def test_no_side_of_the_resolution_is_broadcast(corpus):
+    """Asked paths and known paths both grow with the corpus: neither may pass the driver."""
+    files = corpus({"a/x.py": "import b.y\nfrom . import z\nfrom ..b import y\n", "a/z.py": "", "b/y.py": "", "b/__init__.py": ""})
+    edges = imports.build_edges(files)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert {(r.src, r.dst, r.stmt_seq) for r in edges.collect()} == {
+        ("a/x.py", "b/y.py", 1), ("a/x.py", "a/z.py", 2), ("a/x.py", "b/__init__.py", 3), ("a/x.py", "b/y.py", 3),
+    }
