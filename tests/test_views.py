@@ -50,3 +50,21 @@ def test_graph_of_short_and_long_orders(spark, lines, long_order, monkeypatch):
     # orders that a task can hold are not numbered through written tables
     assert ("positions" in written) == (long_order < 1 << 16)
 
+
+def test_findings_sort_carries_no_texts(spark, lines, monkeypatch):
+    folder, rows = lines
+    carried = []
+    number = V.group_position
+    monkeypatch.setattr(V, "group_position", lambda df, *a, **k: carried.extend(df.dtypes) or number(df, *a, **k))
+    found = V.findings(spark, folder)
+    assert not {"project_name", "file", "function", "type", "evidence"} & {c for c, _ in carried}
+    assert found.columns == [*V.finding_rows(spark, folder).columns, "seq"]
+    projects = defaultdict(list)
+    for row in rows:
+        projects[None if row[2] is None else f"proj{row[2] % 20}"].append(row)
+    want = []
+    for project, mine in projects.items():
+        mine.sort(key=_key)
+        want += [(project, i, r[3] and r[3] * 10, r[1] and f"pkg{r[1] % 10}/mod_{r[1]}.py") for i, r in enumerate(mine, 1)]
+    got = [(r.project_name, r.seq, r.start_line, r.file) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
