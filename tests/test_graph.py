@@ -215,10 +215,11 @@ def test_resolvers_agree_with_the_edges(corpus):
     assert {(r.file_path, r.dst) for r in both.collect()} == _edges(files)
 
 
-def test_no_side_of_the_resolution_is_broadcast(corpus):
+def test_no_side_of_the_resolution_is_broadcast(spark, corpus, tmp_path):
     """Asked paths and known paths both grow with the corpus: neither may pass the driver."""
     files = corpus({"a/x.py": "import b.y\nfrom . import z\nfrom ..b import y\n", "a/z.py": "", "b/y.py": "", "b/__init__.py": ""})
-    edges = imports.build_edges(files)
+    files.write.parquet(f"{tmp_path}/files")  # a table of known, small size
+    edges = imports.build_edges(spark.read.parquet(f"{tmp_path}/files"))
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     assert {(r.src, r.dst, r.stmt_seq) for r in edges.collect()} == {
