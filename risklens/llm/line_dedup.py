@@ -21,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.records import aside, blocks, row_keys, runs, small_join, unpack
+from risklens.llm.records import BUCKETS, aside, blocks, bucket_of, row_keys, runs, small_join, unpack
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
 RARITY_RANGES = 1 << 16
 FLUSH = 1 << 19
+SLICE_BYTES = 1 << 20  # texts and
+AT_ONCE = 1 << 17  # records that a task works on at a time
 WIDE_BITS = 1024  # parity bits by which candidates are sifted before their tokens are fetched
 
 NARROW_WORDS = 4  # 64-bit words of parity bits that travel with each token
 SHORT_LINE = 32  # sets up to this size have them folded into the first word
 TOKEN = np.dtype([("token", "<u8"), ("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4"), ("pos", "<u2")])
+LINE = np.dtype([("set", "<u8"), ("bits", "<u8", (NARROW_WORDS,)), ("doc", "<i8"), ("tie", "<i8"), ("line", "<u4"), ("n", "<u4")])
 REMOVED, BLOCK, PAIR, LIVE = 1, 2, 3, 4
 _TYPES = [("doc", pa.int64()), ("tie", pa.int64()), ("line", pa.int64()), ("set", pa.int64()), ("other", pa.int64()), ("other_doc", pa.int64()),
           ("other_tie", pa.int64()), ("other_line", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())]
@@ -58,7 +61,7 @@ def rarity_ranks(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(), np.zeros(RARITY_RANGES, dtype=np.int64)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             texts = Texts(part.column("text"))
             starts, ends = texts.words()
             if len(starts):
@@ -76,6 +79,14 @@ def rarity_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
+def grouped(key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Order by group, then by key; groups are small numbers."""
+    order = np.argsort(key)
+    for shift in range(0, int(group.max(initial=0)).bit_length(), 16):
+        order = order[np.argsort((group[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 class Lines:
     """Token sets of all lines of a slice: flat arrays, rarest token first."""
 
@@ -95,7 +106,7 @@ class Lines:
         else:
             key = np.zeros(0, dtype=U64)
         line = np.searchsorted(heads, starts, side="right") - 1
-        order = np.lexsort((key, line))
+        order = grouped(key, line)
         key, line = key[order], line[order]
         keep = runs(line, key)
         self.key, line = key[keep], line[keep]
@@ -130,35 +141,67 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def token_records(lines: Lines, docs: np.ndarray, ties: np.ndarray, rules: LineRules) -> np.ndarray:
-    """One record per prefix token of every line that is long enough."""
+def line_records(lines: Lines, docs: np.ndarray, ties: np.ndarray, rules: LineRules) -> tuple[np.ndarray, np.ndarray]:
+    """One record per line that is long enough, and the prefix tokens of all of them."""
     use = np.flatnonzero(lines.size >= rules.min_tokens)
-    count = prefix_size(lines.size[use], rules.percent)
-    owner = np.repeat(use, count)
-    at = ranges(lines.begin[use], count)
-    out = np.empty(len(at), dtype=TOKEN)
-    out["token"], out["set"], out["bits"] = lines.key[at], lines.set[owner], lines.bits[owner]
-    out["doc"], out["tie"], out["line"], out["n"] = docs[lines.row[owner]], ties[lines.row[owner]], lines.number[owner], lines.size[owner]
-    out["pos"] = np.minimum(at - lines.begin[owner], 65535)  # too small a place only weakens the filter
-    return out
+    out = np.empty(len(use), dtype=LINE)
+    out["set"], out["bits"], out["n"] = lines.set[use], lines.bits[use], lines.size[use]
+    out["doc"], out["tie"], out["line"] = docs[lines.row[use]], ties[lines.row[use]], lines.number[use]
+    return out, lines.key[ranges(lines.begin[use], prefix_size(lines.size[use], rules.percent))]
+
+
+def token_blocks(lines: np.ndarray, tokens: np.ndarray, use: np.ndarray, rules: LineRules) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Packed blocks of a record per prefix token of the lines ``use``; a bucket has one."""
+    count = prefix_size(lines["n"].astype(np.int64), rules.percent)
+    first = np.cumsum(count) - count
+    owner, at = np.repeat(use, count[use]), ranges(first[use], count[use])
+    bucket = bucket_of(mix(tokens[at]))
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    for lo, hi in _stretches(np.diff(ends)):
+        part = order[ends[lo] : ends[hi]]
+        mine, spot = lines[owner[part]], at[part]
+        out = np.empty(len(part), dtype=TOKEN)
+        for name in LINE.names:
+            out[name] = mine[name]
+        out["token"] = tokens[spot]
+        out["pos"] = np.minimum(spot - first[owner[part]], 65535)  # too small a place only weakens the filter
+        yield blocks(out, mix(out["token"]))
+
+
+def _stretches(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours of about ``AT_ONCE`` records together."""
+    total, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        done = int(total[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + AT_ONCE, side="right")))
+        if total[hi - 1] > done:
+            yield lo, hi
+        lo = hi
+
+
+def first_places(r: np.ndarray, order: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each group of ``r[order]``, sorted by place inside it, the first; and those of
+    the others that are at another place."""
+    owner = np.repeat(order[heads], np.diff(np.append(heads, len(order))))
+    elsewhere = (r["doc"][order] != r["doc"][owner]) | (r["tie"][order] != r["tie"][owner]) | (r["line"][order] != r["line"][owner])
+    return order[heads], order[elsewhere]
 
 
 def first_of_sets(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal lines at a token the first one, by token and size; and the later
-    ones' records at the first token."""
-    order = np.argsort(records["token"], kind="stable")
-    records = records[order]
+    """Of equal lines at a token the first one; and the later ones' records at the
+    first token."""
+    order = np.argsort(mix(records["token"] ^ mix(records["set"])))
+    token, own = records["token"][order], records["set"][order]
+    same = (token[1:] == token[:-1]) & (own[1:] == own[:-1])
     twin = np.zeros(len(records), dtype=bool)
-    same = records["token"][1:] == records["token"][:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    single, rest = records[~twin], records[twin]
-    rest = rest[np.lexsort((rest["line"], rest["tie"], rest["doc"], rest["set"], rest["n"], rest["token"]))]
-    heads = runs(rest["token"], rest["set"])
-    kept = rest[heads]
-    owner = np.repeat(kept, np.diff(np.append(heads, len(rest))))
-    later = ((rest["doc"] != owner["doc"]) | (rest["tie"] != owner["tie"]) | (rest["line"] != owner["line"])) & (rest["pos"] == 0)
-    return np.concatenate([single, kept]), rest[later]
+    rest = records[order[twin]]
+    by_place = np.lexsort((rest["line"], rest["tie"], rest["doc"], rest["set"], rest["token"]))
+    kept, later = first_places(rest, by_place, runs(rest["token"][by_place], rest["set"][by_place]))
+    later = rest[later]
+    return np.concatenate([records[order[~twin]], rest[kept]]), later[later["pos"] == 0]
 
 
 def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,8 +241,8 @@ def filtered_pairs(r: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np
             yield b[~a_later], a[~a_later], d[~a_later]
 
 
-def _pairs(r: np.ndarray, later: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
-    x, y = r[later], r[earlier]
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Rows of pairs of a later and an earlier record."""
     long = lambda v: v.astype(np.int64)
     return _rows(PAIR, doc=x["doc"], tie=x["tie"], line=long(x["line"]), set=long(x["set"]), other=long(y["set"]), other_doc=y["doc"], other_tie=y["tie"], other_line=long(y["line"]))
 
@@ -211,15 +254,18 @@ def _scan(docs: DataFrame, ranks: np.ndarray, rules: LineRules) -> DataFrame:
         hasher, held, size = Hasher(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            kept, later = first_of_sets(np.concatenate(held))
+            lines, tokens = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((lines["line"], lines["tie"], lines["doc"], lines["set"]))
+            kept, later = first_places(lines, order, runs(lines["set"][order]))
+            later = lines[later]
             yield _rows(REMOVED, doc=later["doc"], tie=later["tie"], line=later["line"].astype(np.int64))
-            bucket, payload = blocks(kept, mix(kept["token"]))
-            yield _rows(BLOCK, bucket=bucket, payload=payload)
+            for bucket, payload in token_blocks(lines, tokens, np.sort(kept), rules):
+                yield _rows(BLOCK, bucket=bucket, payload=payload)
 
-        for part in slices(batches, "text"):
-            new = token_records(Lines(Texts(part.column("text")), hasher, ranks), part.column("doc").to_numpy(), part.column("tie").to_numpy(), rules)
-            held.append(new)
-            size += len(new)
+        for part in slices(batches, "text", SLICE_BYTES):
+            lines = Lines(Texts(part.column("text")), hasher, ranks)
+            held.append(line_records(lines, part.column("doc").to_numpy(), part.column("tie").to_numpy(), rules))
+            size += len(held[-1][1])
             if size >= FLUSH:
                 yield from flush()
                 held, size = [], 0
@@ -234,14 +280,27 @@ def _meet(rows: DataFrame, rules: LineRules) -> DataFrame:
     (``PAIR``); records with any candidate (``LIVE``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[bytes] = []
+        parts: dict[int, list[bytes]] = {}
         for b in batches:
             is_block = pa.compute.equal(b.column("kind"), BLOCK)
-            parts += b.filter(is_block).column("payload").to_pylist()
+            found = b.filter(is_block)
+            for bucket, payload in zip(found.column("bucket").to_pylist(), found.column("payload").to_pylist()):
+                parts.setdefault(bucket, []).append(payload)
             yield b.filter(pa.compute.invert(is_block))
-        if not parts:
-            return
-        r, later = first_of_sets(unpack(parts, TOKEN))
+        buckets = sorted(parts)
+        sizes = np.array([sum(map(len, parts[x])) for x in buckets], dtype=np.int64) // TOKEN.itemsize
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        # a token is in one bucket, so a few buckets at a time meet as all at once do
+        for lo, hi in _stretches(sizes):
+            yield from meet(unpack([p for x in buckets[lo:hi] for p in parts.pop(x)], TOKEN), pairs)
+        if pairs:
+            x, y = (np.concatenate(side) for side in zip(*pairs))
+            order = np.lexsort((y["set"], x["set"]))
+            heads = order[runs(x["set"][order], y["set"][order])]
+            yield _pairs(x[heads], y[heads])
+
+    def meet(records: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        r, later = first_of_sets(records)
         yield _rows(REMOVED, doc=later["doc"], tie=later["tie"], line=later["line"].astype(np.int64))
         r = r[np.lexsort((r["n"], r["token"]))]
         closest, partner = np.full(len(r), 1 << 20), np.zeros(len(r), dtype=np.int64)
@@ -251,10 +310,7 @@ def _meet(rows: DataFrame, rules: LineRules) -> DataFrame:
             better = d < closest[x]
             closest[x[better]], partner[x[better]] = d[better], y[better]
         x = np.flatnonzero(closest < 1 << 20)
-        pairs = np.stack([r["set"][x], r["set"][partner[x]]], axis=1)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        x = x[order][runs(pairs[order, 0], pairs[order, 1])]
-        yield _pairs(r, x, partner[x])
+        pairs.append((r[x], r[partner[x]]))
         found = r[live]
         bucket, payload = blocks(found, mix(found["token"]))
         yield _rows(LIVE, bucket=bucket, payload=payload)
@@ -288,7 +344,7 @@ def _remaining(live: DataFrame, matched: DataFrame, rules: LineRules) -> DataFra
         for x, y, _ in filtered_pairs(r, rules.percent):
             open_ = ~settled[x]
             if open_.any():
-                yield _pairs(r, x[open_], y[open_])
+                yield _pairs(r[x[open_]], r[y[open_]])
 
     rows = live.select("payload").mapInArrow(unfold, "token bigint, set bigint, record binary")
     flagged = rows.join(matched.withColumn("settled", F.lit(True)), "set", "left")
@@ -311,7 +367,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, ranks: np.ndarray, rules: LineRul
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             lines = Lines(Texts(part.column("text")), hasher, ranks)
             wanted = part.column("lines")
             counts = pa.compute.list_value_length(wanted).to_numpy()

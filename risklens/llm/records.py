@@ -31,7 +31,7 @@ def bucket_of(key: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
 def blocks(records: np.ndarray, key: np.ndarray, buckets: int = BUCKETS) -> tuple[list[int], list[bytes]]:
     """Bucket numbers and packed blocks of ``records``, one block per bucket met."""
     bucket = bucket_of(key, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     sorted_bucket = bucket[order]
     at = np.flatnonzero(np.diff(sorted_bucket, prepend=-1))
     ends = np.append(at[1:], len(order))

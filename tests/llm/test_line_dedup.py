@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from risklens.llm import line_dedup
 from risklens.llm.line_dedup import LineRules, lines_query, lines_stage, remove_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,3 +105,41 @@ def test_rows_without_an_id_or_with_one_id_are_documents(spark):
     got = sorted((r.doc_id or 9, r.removed, r.text or "") for r in remove_lines(docs).collect())
     assert got == sorted([(1, [], rows[0][1]), (2, [0], "some words"), (2, [], rows[2][1]), (9, [0], "third thing"), (9, [], "fourth\nfifth"),
                           (9, [], ""), (9, [], "sixth is twice here"), (9, [0], "")])
+
+
+def test_a_scanning_task_works_on_little_at_a_time(words):
+    """Texts of 6 MB: lines are held with their prefix tokens, and packed a few buckets at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Task:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(4)
+    many = [f"{w}{i}" for w in words for i in range(50)]
+    texts = ["\n".join(" ".join(rng.choices(many, k=12)) for _ in range(60)) for _ in range(1000)]
+    ids = pa.array(range(1000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=["doc", "tie", "text"])
+    run = line_dedup._scan(Task(), np.arange(line_dedup.RARITY_RANGES, dtype=np.uint64), line_dedup.LineRules())
+    tracemalloc.start()
+    try:
+        blocks = sum(len(p) for b in run(iter([batch])) for p in b.column("payload").to_pylist() if p is not None)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert blocks // line_dedup.TOKEN.itemsize == sum(12 - -(-12 * 80 // 100) + 1 for _ in range(60000))
+    assert peak < 130 << 20
+
+
+def test_results_do_not_depend_on_how_much_meets_at_once(spark, words, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.sample(words, 12) for _ in range(40)]
+    lines = lambda: [" ".join(w if rng.random() > 0.06 else rng.choice(words) for w in rng.choice(base)) for _ in range(rng.randint(1, 6))]
+    docs = spark.createDataFrame([(i, "\n".join(lines())) for i in range(200)], "doc_id bigint, text string").repartition(3)
+    want = sorted(map(tuple, line_dedup.lines_query(docs).collect()))
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 3)
+    monkeypatch.setattr(line_dedup, "FLUSH", 50)
+    assert sorted(map(tuple, line_dedup.lines_query(docs).collect())) == want
+    assert sum(r[2] for r in want) > 100
