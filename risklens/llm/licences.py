@@ -2,9 +2,12 @@
 
 A paragraph (line) is cut into overlapping windows of words.  A sparse logistic
 regression on word uni- and bigrams names a licence family or the unknown class for
-each window; the unknown class's margin is calibrated on held-out paragraphs of the
-corpus.  A prediction is confirmed by comparing the window with the family's
-template sentences.
+each window.  It is trained on half of the corpus's paragraphs: their words are
+examples of the unknown class, and each is also the surroundings of a template
+sentence.  Each step of the descent is one pass over the examples' features, summed
+in fixed point, so the model does not depend on how rows are dealt to tasks.  The
+unknown class's margin is calibrated on the other half.  A prediction is confirmed by
+comparing the window with the family's template sentences.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risklens.llm.linear import Logistic, distinct, features, posteriors
-from risklens.llm.records import thinned
+from risklens.llm.linear import FEATURES, distinct, features, posteriors
 from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
+from risklens.session import materialize
 
 # How each licence family is usually stated.
 TEMPLATES = {
@@ -74,18 +77,21 @@ FAMILIES = sorted(TEMPLATES)
 UNKNOWN = len(FAMILIES)
 
 
+TRAIN, HELD = 0, 1
+STEPS = 1 << 14  # errors are summed as whole numbers, of so many to the smallest weight
+MARGIN_STEPS = 1 << 20
+
+
 @dataclass(frozen=True)
 class LicenceRules:
-    """``sample``: unlabelled paragraphs, the first by hash, that stand for the unknown
-    class in training and calibration (half each)."""
+    """Half of the paragraphs, by hash of their words, trains the classifier in at most
+    ``rounds`` steps, the other half calibrates it."""
 
-    sample: int = 4000
     window: int = 24
     stride: int = 12
-    copies: int = 40  # varied examples per template
+    rounds: int = 10
     false_rate: float = 0.001  # of calibration paragraphs that may pass as a licence
     similarity_pct: int = 60  # of a template's word pairs that confirm it
-    seed: int = 5
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -100,54 +106,149 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * U64(0x9FB21C651E98DF25) + h[1:] + U64(1))
 
 
-def _text_features(h: np.ndarray) -> np.ndarray:
-    return np.unique(features(h, True, np.arange(max(len(h) - 1, 0))))
+class Paragraphs:
+    """Words of a slice, and its paragraphs with any."""
+
+    def __init__(self, texts: Texts, hasher: Hasher):
+        self.starts, self.ends = texts.words()
+        self.h = hasher.span(hasher.prefix(texts.data), self.starts, self.ends) if len(self.starts) else np.zeros(0, dtype=U64)
+        self.row = np.searchsorted(texts.rows, self.starts, side="right") - 1
+        breaks = np.cumsum(np.concatenate([[0], texts.data == 10]))
+        self.number = breaks[self.starts] - breaks[texts.rows[self.row]]
+        self.line = np.cumsum(np.diff(self.row, prepend=-1).astype(bool) | np.diff(self.number, prepend=-1).astype(bool))
+        self.heads = np.flatnonzero(np.diff(self.line, prepend=-1))
+        self.sizes = np.diff(np.append(self.heads, len(self.line)))
+
+    def stating(self, raw: bytes) -> np.ndarray:
+        """Which paragraphs hold a template's first words, or a licence by name, and cannot
+        stand for the unknown class."""
+        out = np.zeros(len(self.heads), dtype=bool)
+        first = self.starts[self.heads]
+        for anchor in _ANCHORS:
+            at = raw.find(anchor)
+            while at >= 0:
+                j = int(np.searchsorted(first, at, side="right")) - 1
+                end = int(self.ends[self.heads[j] + self.sizes[j] - 1])
+                text = " ".join(raw[first[j] : end].decode("utf-8", "replace").split())
+                out[j] = any(p in text for p in _OPENINGS)
+                at = raw.find(anchor, end if out[j] else at + 1)
+        return out
+
+
+def _openings() -> tuple[list[str], list[bytes]]:
+    found = {" ".join(t.lower().split()[:4]) for ts in TEMPLATES.values() for t in ts}
+    plain = sorted(x for x in found if not re.search("licen[sc]e", x))
+    return ["license", "licence", *plain], [b"license", b"licence", *sorted({max(x.split(), key=len).encode() for x in plain})]
+
+
+_OPENINGS, _ANCHORS = _openings()
+
+
+def _window_features(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (window, feature) of windows of the words ``h``."""
+    n = np.arange(len(at))
+    one, two = features(h, False), (_pairs(h) >> U64(50)).astype(np.int64)
+    owner = np.concatenate([np.repeat(n, size), np.repeat(n, size - 1)])
+    return distinct(owner, np.concatenate([one[ranges(at, size)], two[ranges(at, size - 1)]]))
+
+
+def _hosted(p: Paragraphs, use: np.ndarray, dice: np.ndarray, rules: LicenceRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A template stated inside each paragraph of ``use``: words, windows, sizes, families.
+
+    ``dice`` chooses the template, its place, and for half of them words of a longer
+    template that are left out."""
+    words = _hashes([t for f in FAMILIES for t in TEMPLATES[f]])
+    family = np.repeat(np.arange(len(FAMILIES)), [len(TEMPLATES[f]) for f in FAMILIES])
+    of = ((dice >> U64(8)) % U64(len(words))).astype(np.int64)
+    length = np.array([len(w) for w in words])[of]
+    begin = np.cumsum([0] + [len(w) for w in words])[of] + len(p.h)
+    room = np.maximum(rules.window - length, 0)
+    cut = ((dice >> U64(20)) % (room + 1).astype(U64)).astype(np.int64)
+    before, after = np.minimum(cut, p.sizes[use]), np.minimum(room, p.sizes[use])
+    after -= before
+    lengths = np.stack([before, length, after], axis=1)
+    at = np.stack([p.heads[use], begin, p.heads[use] + before], axis=1)
+    owner = np.repeat(np.arange(len(use)), lengths.sum(axis=1))
+    stated = np.repeat(np.tile([False, True, False], len(use)), lengths.ravel())
+    spot = ranges(at.ravel(), lengths.ravel())
+    out = stated & (((dice >> U64(6)) & U64(1)).astype(bool) & (length > 8))[owner] & (mix(dice[owner] + (spot - begin[owner]).astype(U64)) % U64(10) == 0)
+    h, owner = np.concatenate([p.h, *words])[spot[~out]], owner[~out]
+    size = np.bincount(owner, minlength=len(use))
+    return h, np.cumsum(size) - size, size, family[of]
+
+
+def examples(docs: DataFrame, half: int, rules: LicenceRules) -> DataFrame:
+    """Distinct features of the windows of all paragraphs of a half that state nothing,
+    packed by slice: of those that train with the class, also with a template inside; of
+    the others with the number of windows of each paragraph."""
+
+    def packed(h: np.ndarray, at: np.ndarray, size: np.ndarray, label: np.ndarray) -> tuple:
+        owner, feature = _window_features(h, at, size)
+        return np.bincount(owner, minlength=len(at)).astype("<u2").tobytes(), feature.astype("<u2").tobytes(), label.astype("<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for part in slices(batches, "text", 1 << 20):
+            texts = Texts(part.column("text"), lower=True)
+            p = Paragraphs(texts, hasher)
+            if not len(p.heads):
+                continue
+            own = mix(np.add.reduceat(mix(p.h), p.heads))
+            open_ = ~p.stating(texts.data.tobytes())
+            use = np.flatnonzero(open_ & (own & U64(1) == U64(half)))
+            if not len(use):
+                continue
+            count = -(-p.sizes[use] // rules.window)
+            last = np.repeat(np.maximum(p.sizes[use] - rules.window, 0), count)
+            at = np.repeat(p.heads[use], count) + np.minimum(ranges(np.zeros(len(use), dtype=np.int64), count) * rules.window, last)
+            size = np.minimum(np.repeat(p.sizes[use], count), rules.window)
+            rows = [packed(p.h, at, size, np.full(len(at), UNKNOWN) if half == TRAIN else count)]
+            if half == TRAIN:
+                rows.append(packed(*_hosted(p, use, own[use], rules)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["sizes", "features", "labels"])
+
+    return docs.select("text").mapInArrow(run, "sizes binary, features binary, labels binary")
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(features, windows' sizes, labels) of each packed row."""
+    for f, n, y in zip(b.column("features").to_pylist(), b.column("sizes").to_pylist(), b.column("labels").to_pylist()):
+        yield np.frombuffer(f, "<u2").astype(np.int64), np.frombuffer(n, "<u2").astype(np.int64), np.frombuffer(y, "<u4").astype(np.int64)
+
+
+def _totals(table: DataFrame, add, width: int) -> np.ndarray:
+    """Sums (features and one more x ``width``) of the whole numbers that ``add`` puts into a
+    task's array; a bounded number comes to the driver."""
+    names = [f"g{c}" for c in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((width, FEATURES + 1), dtype=np.int64)
+        for b in batches:
+            for flat, sizes, y in _read(b):
+                add(sums, flat, sizes, y)
+        met = np.flatnonzero(sums.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *[pa.array(x[met]) for x in sums]], names=["feature", *names])
+
+    rows = table.mapInArrow(run, "feature int, " + ", ".join(f"{n} bigint" for n in names)).groupBy("feature").agg(*[F.sum(n).alias(n) for n in names])
+    out = np.zeros((width, FEATURES + 1))
+    for row in rows.collect():  # one job, however many partitions
+        out[:, row[0]] = row[1:]
+    return out
 
 
 class LicenceModel:
-    """Classifier, margin of the unknown class and templates' word pairs."""
-
-    def __init__(self, paragraphs: list[str], rules: LicenceRules):
-        rng = np.random.default_rng(rules.seed)
-        words = [p.split() for p in paragraphs]
-        words = [w for w in words if w and not self._states(" ".join(w))]
-        half = words[: len(words) // 2]
-        examples, labels = [], []
-        for c, family in enumerate(FAMILIES):
-            for template in TEMPLATES[family]:
-                base = template.split()
-                for k in range(rules.copies):
-                    mine = list(base)
-                    if k % 4 == 1 and len(mine) > 8:
-                        mine = [w for w in mine if rng.random() > 0.1]
-                    if k % 2 and half:  # stated inside other text
-                        other = half[int(rng.integers(len(half)))]
-                        room = max(rules.window - len(mine), 0)
-                        cut = int(rng.integers(room + 1)) if room else 0
-                        mine = other[:cut] + mine + other[cut:room]
-                    examples.append(" ".join(mine))
-                    labels.append(c)
-        for w in half:
-            at = int(rng.integers(max(len(w) - rules.window, 0) + 1))
-            examples.append(" ".join(w[at : at + rules.window]))
-            labels.append(UNKNOWN)
-        self.model = Logistic([_text_features(h) for h in _hashes(examples)], labels, UNKNOWN + 1, l2=1e-4)
-        held = [" ".join(w[: rules.window]) for w in words[len(words) // 2 :]]
-        self.margin = 0.5
-        if held:
-            p = posteriors(self._scores([_text_features(h) for h in _hashes(held)]))
-            self.margin = max(0.5, float(np.quantile(1 - p[:, UNKNOWN], 1 - rules.false_rate)))
-        self.templates = [[np.unique(_pairs(h)) for h in _hashes(TEMPLATES[f])] for f in FAMILIES]
+    """Classifier (weights and biases of each family and the unknown class), margin of the
+    unknown class and templates' word pairs."""
 
-    @staticmethod
-    def _states(text: str) -> bool:
-        """Whether a sampled paragraph holds a template's first words and cannot stand for the unknown class."""
-        low = text.lower()
-        return any(" ".join(t.lower().split()[:4]) in low for ts in TEMPLATES.values() for t in ts) or bool(re.search("licen[sc]e", low))
+    def __init__(self, weight: np.ndarray, bias: np.ndarray, margin: float = 0.5):
+        self.weight, self.bias, self.margin = weight, bias, margin
+        self.templates = [[np.unique(_pairs(h)) for h in _hashes(TEMPLATES[f])] for f in FAMILIES]
 
-    def _scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return self.model.scores(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64), owner, len(rows))
+    def scores(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (classes x windows) of windows' features, window after window."""
+        if not len(sizes):
+            return np.zeros((len(self.weight), 0))
+        return np.stack([np.add.reduceat(w.take(flat), np.cumsum(sizes) - sizes) + b for w, b in zip(self.weight, self.bias)])
 
     def similarity(self, family: int, h: np.ndarray) -> int:
         """Percent of the word pairs of the family's best template that occur."""
@@ -155,15 +256,104 @@ class LicenceModel:
         return max(100 * int(np.isin(t, mine).sum()) // max(len(t), 1) for t in self.templates[family])
 
 
+def _plain() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The templates by themselves as examples."""
+    words = _hashes([t for f in FAMILIES for t in TEMPLATES[f]])
+    size = np.array([len(w) for w in words])
+    owner, feature = _window_features(np.concatenate(words), np.cumsum(size) - size, size)
+    return feature, np.bincount(owner), np.repeat(np.arange(len(FAMILIES)), [len(TEMPLATES[f]) for f in FAMILIES])
+
+
+def _counted(sums: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
+    """Windows of each class that hold each feature, and in the last place all."""
+    both = np.repeat(y, sizes) * (FEATURES + 1) + flat
+    sums += np.bincount(both, minlength=sums.size).reshape(sums.shape)
+    sums[:, FEATURES] += np.bincount(y, minlength=len(sums))
+
+
+def fit(train: DataFrame, rules: LicenceRules) -> LicenceModel:
+    """One-against-rest logistic regression on all training windows, by accelerated
+    descent.  Half of a class's weight is its own; the rest's is shared equally by the
+    unknown class and the families.  Features are scaled by their log-frequency ratio."""
+    n, plain = UNKNOWN + 1, _plain()
+    count, alone = _totals(train, _counted, n), np.zeros((n, FEATURES + 1), dtype=np.int64)
+    _counted(alone, *plain)
+    # a family's templates by themselves weigh as much as those inside other text
+    shares = [np.where(x[:, -1] > 0, 1.0, 0.0) for x in (count, alone)]
+    shares = [x / np.maximum(shares[0] + shares[1], 1) for x in shares]
+    rate_of = sum(x[:, :-1] * (s / np.maximum(x[:, -1], 1))[:, None] for x, s in zip((count, alone), shares))
+    lot = np.zeros((n, n))  # of the classes of examples in each problem
+    for c in range(n):
+        others = [y for y in range(n) if y != c]
+        for y in others:
+            lot[c, y] = 0.5 / len(others) if c == UNKNOWN else 0.25 if y == UNKNOWN else 0.25 / (len(others) - 1)
+        lot[c, c] = 0.5
+    rest = np.array([sum(lot[c, y] * 2 * rate_of[y] for y in range(n) if y != c) for c in range(n)])
+    ratio = np.log((rate_of + 1e-3) / (rest + 1e-3))
+    each = [lot * (s / np.maximum(x[:, -1], 1))[None, :] for x, s in zip((count, alone), shares)]
+    unit = np.array([STEPS / min(w[w > 0].min() for w in (each[0][c], each[1][c]) if w.any()) for c in range(n)])
+    # the curvature is at most a quarter of the mean squared length; windows have up to 47 features
+    norm = np.array([(ratio[c] ** 2 * (lot[c] @ rate_of)).sum() for c in range(n)]) + 1
+    rate = 4.0 / norm
+    model = LicenceModel(np.zeros((n, FEATURES)), np.zeros(n))
+
+    def gradient(model: LicenceModel, weights: np.ndarray):
+        def add(sums: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> None:
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            score = model.scores(flat, sizes)
+            for c in range(n):
+                error = np.rint((1 / (1 + np.exp(-np.clip(score[c], -30, 30))) - (y == c)) * (weights[c, y] * unit[c]))
+                sums[c, :FEATURES] += np.bincount(flat, weights=error.take(owner), minlength=FEATURES).astype(np.int64)
+                sums[c, FEATURES] += int(error.sum())
+
+        return add
+
+    w, b = np.zeros((n, FEATURES)), np.zeros(n)
+    step_w, step_b = np.zeros((n, FEATURES)), np.zeros(n)
+    for k in range(rules.rounds):
+        if k == 0:  # every score is 0: the counts say it all
+            g = sum(((0.5 - np.eye(n)) * e) @ x for e, x in zip(each, (count, alone)))
+        else:
+            g = np.zeros((n, FEATURES + 1), dtype=np.int64)
+            gradient(model, each[1])(g, *plain)
+            g = (g + (_totals(train, gradient(model, each[0]), n) if count[:, -1].any() else 0)) / unit[:, None]
+        step_w = 0.8 * step_w - rate[:, None] * 4 * g[:, :-1] * ratio
+        step_b = 0.8 * step_b - rate * 4 * g[:, -1]
+        w, b = w + step_w, b + step_b
+        model = LicenceModel(w * ratio, b.copy())
+    return model
+
+
+def calibrated(held: DataFrame, model: LicenceModel, rules: LicenceRules) -> LicenceModel:
+    """The model with the margin that ``false_rate`` of all held-out paragraphs pass; a
+    paragraph counts as its most certain window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(MARGIN_STEPS + 1, dtype=np.int64)
+        for b in batches:
+            for flat, sizes, count in _read(b):
+                stated = 1 - posteriors(model.scores(flat, sizes).T)[:, UNKNOWN]
+                best = np.maximum.reduceat(stated, np.cumsum(count) - count)
+                np.add.at(sums, np.ceil(np.maximum(best, 0.5) * MARGIN_STEPS).astype(np.int64), 1)
+        met = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(sums[met])], names=["step", "n"])
+
+    rows = held.mapInArrow(run, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).collect()
+    found = sorted((r.step, r.n) for r in rows)  # bounded: one number for each step
+    allowed, margin = rules.false_rate * sum(n for _, n in found), 0.5
+    for step, n in reversed(found):
+        allowed -= n
+        if allowed < 0:
+            margin = step / MARGIN_STEPS
+            break
+    return LicenceModel(model.weight, model.bias, max(0.5, margin))
+
+
 def train_model(docs: DataFrame, rules: LicenceRules = LicenceRules()) -> LicenceModel:
-    """Model from the templates and a bounded sample of the corpus's paragraphs: the
-    first non-blank line of the documents whose ids hash lowest in a range of hashes
-    that holds enough of them."""
-    line = F.regexp_extract("text", "([^\\n]*[^\\s][^\\n]*)", 1)
-    some = thinned(docs, F.xxhash64("doc_id", F.lit(3)), rules.sample)
-    first = some.filter("text is not null").select(F.xxhash64("doc_id", F.lit(3)).alias("h"), F.substring(line, 1, 2000).alias("line"))
-    rows = first.filter(F.length("line") > 0).orderBy("h", "line").limit(rules.sample)
-    return LicenceModel([r.line for r in rows.toLocalIterator()], rules)
+    """Model from the templates and all paragraphs of the corpus."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    model = fit(materialize(examples(texts, TRAIN, rules), "examples"), rules)
+    return calibrated(examples(texts, HELD, rules), model, rules)
 
 
 def find_licences(df: DataFrame, model: LicenceModel, rules: LicenceRules = LicenceRules(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +367,7 @@ def find_licences(df: DataFrame, model: LicenceModel, rules: LicenceRules = Lice
     two named columns are read.  An empty table gives an empty table.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    weight, bias = model.model.weight, model.model.bias
+    weight, bias = model.weight, model.bias
 
     def windows(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Line, first word and size of every window."""
@@ -192,14 +382,10 @@ def find_licences(df: DataFrame, model: LicenceModel, rules: LicenceRules = Lice
         hasher = Hasher()
         for part in slices(batches, "text", 1 << 20):
             texts = Texts(part.column("text"), lower=True)
-            starts, ends = texts.words()
-            if not len(starts):
+            p = Paragraphs(texts, hasher)
+            if not len(p.h):
                 continue
-            h = hasher.span(hasher.prefix(texts.data), starts, ends)
-            row = np.searchsorted(texts.rows, starts, side="right") - 1
-            breaks = np.cumsum(np.concatenate([[0], texts.data == 10]))
-            number = breaks[starts] - breaks[texts.rows[row]]
-            line = np.cumsum(np.diff(row, prepend=-1).astype(bool) | np.diff(number, prepend=-1).astype(bool))
+            h, row, number, line, starts = p.h, p.row, p.number, p.line, p.starts
             _, at, size = windows(h, line)
             # sums of feature weights per window; repeats inside a window count once only
             # for windows that come near a licence
@@ -214,11 +400,8 @@ def find_licences(df: DataFrame, model: LicenceModel, rules: LicenceRules = Lice
             if not len(near):
                 continue
             at, size = at[near], size[near]
-            owner = np.repeat(np.arange(len(near)), size)
-            word = ranges(at, size)
-            pair = ranges(at, size - 1)
-            keys = distinct(np.concatenate([owner, np.repeat(np.arange(len(near)), size - 1)]), np.concatenate([one[word], two[pair]]))
-            p = posteriors(model.model.scores(keys[1], keys[0], len(near)))
+            keys = _window_features(h, at, size)
+            p = posteriors(model.scores(keys[1], np.bincount(keys[0], minlength=len(near))).T)
             stated = 1 - p[:, UNKNOWN]
             hits = np.flatnonzero(stated > model.margin)
             best: dict[tuple[int, int], tuple] = {}

@@ -69,5 +69,6 @@ def posteriors(scores: np.ndarray) -> np.ndarray:
 
 def distinct(owner: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (owner, feature) once."""
-    both = np.unique(owner * FEATURES + feature)
+    both = np.sort(owner * FEATURES + feature)
+    both = both[np.diff(both, prepend=-1) != 0]
     return both // FEATURES, both % FEATURES

@@ -49,3 +49,21 @@ def test_odd_rows(spark, corpus, odd_docs, no_docs):
         (-1, 2, "MIT"), (1, 0, "MIT"), (1, 0, "MIT"), (3, 0, "MIT"), (3, 1, "MIT"), (4, 0, "MIT")
     ]
     assert next(r.first_word for r in found if r.doc_id == 4) > 4900
+
+
+def test_every_paragraph_trains_and_tasks_do_not_matter(spark, words):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    rows = [(i, f"{prose(12)}\n{prose(60)}\n{prose(30)} version two of the terms") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first_lines = spark.createDataFrame([(i, t.split("\n")[0]) for i, t in rows], "doc_id bigint, text string")
+    stated = [t for ts in TEMPLATES.values() for t in ts]
+    probe = spark.createDataFrame([(i, f"{prose(8)} {t}") for i, t in enumerate(stated)], "doc_id bigint, text string")
+
+    def found(table):
+        return sorted((r.doc_id, r.family, r.probability) for r in find_licences(probe, train_model(table)).collect())
+
+    want = found(docs)
+    assert len(want) > 0.8 * len(stated)
+    assert found(docs.repartition(7)) == want  # sums in fixed point: equal to the last bit
+    assert found(first_lines) != want  # further lines of a document train too
