@@ -1,16 +1,17 @@
 """Documents joined by the Jaccard similarity of their word n-gram sets.
 
 A set of size at most M whose partner differs in at most D elements is split by
-element hash into m = D + k parts.  Each part keeps a parity sketch: one bit is
-flipped per element, so two parts' sketches differ in at most as many bits as the
-sets differ in elements there, and at least k parts are equal.  Parts are ordered
-by their number of bits, and the D + 1 fullest are the document's keys: if two
-documents share k of m parts, those keys have one in common, and sparse parts that
-many documents share are left out.  M and D belong to a size band; a document joins
+element hash into m = D + k parts.  Two sets differ in at most D of them, so at least
+k parts hold the same elements.  Parts are ordered by the bits of a small parity sketch,
+and the D + 1 fullest are the document's keys: if two documents share k of m parts,
+those keys have one in common, and sparse parts that many documents share are left
+out.  A key hashes all 64 bits of its part's elements, so that unrelated sets do not
+share a key by chance, of which there would be more with the square of their number.  M and D belong to a size band; a document joins
 the band of its size and the next one.
 
 Sets that share a key are compared by a parity sketch of the whole set (1,024 bits,
-one bit per element above that; wider sketches fold into narrower ones by XOR).  The
+two bits or more per element above 512; wider sketches fold into narrower ones by XOR).
+With fewer bits, unrelated sets come as near as a band allows.  The
 Hamming distance of two sketches is at most the symmetric difference, so a pair further
 apart than the band's D is no link.  A task sends a set for a key only if it is further
 than D / 4 from the smallest one there, and what meets afterwards is compared with the
@@ -39,7 +40,7 @@ KEY = np.dtype([("key", "<u8"), ("node", "<u8")])
 FLUSH = 1 << 21  # key records that a task compares among themselves before it sends them
 BLOCK_SHINGLES = 1 << 21  # a larger family is verified in blocks of about so many elements
 BLOCK_SKETCHES = 1 << 13  # sketches of one key that are compared in one block
-SKETCH = 16  # 64-bit words of the sketch of a set of up to 1,024 elements
+SKETCH = 16  # 64-bit words of the narrow sketch, which serves for up to 1,024 elements within a task
 BAND = U64(0xFFF)  # low bits of a key: its size band
 
 
@@ -103,7 +104,7 @@ def fold(sketch: np.ndarray, width: int) -> np.ndarray:
 
 def whole_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
     """Parity sketches of whole sets: all of ``SKETCH`` words, and each as wide as its
-    set needs (at least a bit per element)."""
+    set needs (at least two bits per element)."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     narrow = np.zeros((len(sets), SKETCH), dtype=U64)
     if not sizes.sum():
@@ -114,8 +115,8 @@ def whole_sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
     np.bitwise_xor.at(narrow, (np.repeat(np.arange(len(sets)), sizes), (word & U64(SKETCH - 1)).astype(np.int64)), bit)
     bodies = [row.tobytes() for row in narrow]
     ends = np.cumsum(sizes)
-    for i in np.flatnonzero(sizes > 64 * SKETCH).tolist():
-        width = 1 << (int(sizes[i]) // 64).bit_length()
+    for i in np.flatnonzero(sizes > 32 * SKETCH).tolist():
+        width = 1 << (int(sizes[i]) // 32).bit_length()
         own = slice(int(ends[i] - sizes[i]), int(ends[i]))
         wide = np.zeros(width, dtype=U64)
         np.bitwise_xor.at(wide, (word[own] & U64(width - 1)).astype(np.int64), bit[own])
@@ -138,12 +139,12 @@ def parity_keys(sets: list[np.ndarray], percent: int, bands: np.ndarray, ahead:
     flat, owner = flat[keep], owner[keep]
     # sets are sorted, and a part is a range of hashes, so parts lie in order
     part = ((flat >> U64(32)) * parts[owner].astype(U64)) >> U64(32)
-    spot = mix(flat) & U64(1023)
+    content = mix(flat)
     heads = runs(owner, part)
     if not len(heads):
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-    word = np.bitwise_xor.reduceat(U64(1) << (spot & U64(63)), heads)  # 64 parity bits, for the order
-    fine = np.bitwise_xor.reduceat(mix(spot + U64(1)), heads)  # 1024 parity bits, folded
+    word = np.bitwise_xor.reduceat(U64(1) << (content & U64(63)), heads)  # 64 parity bits, for the order
+    fine = np.bitwise_xor.reduceat(mix(content + U64(1)), heads)  # all bits of the elements
     have, index = owner[heads], part[heads].astype(np.int64)
     bits = np.bitwise_count(word).astype(np.int64)
     # the fullest parts first, then by number; empty parts come last

@@ -140,6 +140,26 @@ def test_hamming_distance_never_exceeds_the_difference():
             assert np.array_equal(narrow[0], ngram_join.fold(x, ngram_join.SKETCH)) and not narrow[2].any()
 
 
+def test_unrelated_sets_share_no_key():
+    rng = np.random.default_rng(4)
+    bands = size_bands(80)
+    sets = [np.unique(mix(rng.integers(0, 1 << 62, 300).astype(np.uint64))) for _ in range(600)]
+    for ahead in (0, 1):
+        key, owner = parity_keys(sets, 80, bands, ahead)
+        # parts of one element are among the keys; ten bits of it are not enough
+        assert len(np.unique(key)) == len(key) and len(np.unique(owner)) == len(sets)
+
+
+def test_unrelated_sets_are_not_near_by_sketch():
+    rng = np.random.default_rng(6)
+    bands = size_bands(80)
+    for n in (520, 700, 890, 1000, 1024, 1100, 4000):
+        sets = [np.unique(mix(rng.integers(0, 1 << 62, n).astype(np.uint64))) for _ in range(120)]
+        bodies = [np.frombuffer(b, dtype=np.uint64) for b in ngram_join.whole_sketches(sets)[1]]
+        reach = int(ngram_join.band_reach(80, bands, np.searchsorted(bands, n, side="right")))  # the next band's
+        assert ngram_join.walk_sketches(bodies, [reach + 2 * (reach // 4)] * len(sets)) == [], n
+
+
 def test_sketches_of_one_key_in_blocks(spark, words, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SKETCHES", 3)
     monkeypatch.setattr(ngram_join, "FLUSH", 400)
