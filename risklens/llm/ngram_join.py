@@ -37,7 +37,7 @@ from risklens.llm.textvec import U64, Hasher, Texts, mix, slices
 from risklens.session import materialize
 
 KEY = np.dtype([("key", "<u8"), ("node", "<u8")])
-FLUSH = 1 << 21  # key records that a task compares among themselves before it sends them
+FLUSH = 1 << 20  # key records that a task compares among themselves before it sends them
 BLOCK_SHINGLES = 1 << 21  # a larger family is verified in blocks of about so many elements
 BLOCK_SKETCHES = 1 << 13  # sketches of one key that are compared in one block
 SKETCH = 16  # 64-bit words of the narrow sketch, which serves for up to 1,024 elements within a task
