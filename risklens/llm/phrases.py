@@ -10,15 +10,19 @@ its shortest part outside the proposal would have been a failure of the border.
 
 Proposals are kept as a bitmap over phrase hashes, of fixed size whatever the corpus.
 A bit set by another phrase only makes more phrases be counted, so neither the
-bitmap's size nor a collision changes the result: a last pass counts the frequent
-phrases themselves, by their words.
+bitmap's size nor a collision in it changes the result.
+
+Phrases are counted under a key and a mark, two hashes of 94 bits that share nothing
+but the words' bytes.  Documents are dealt to shares, and a phrase's count brings the
+least share it occurs in: a last pass has only the documents of that share send the
+phrase's words, so what is sent follows the number of frequent phrases and not, as if
+every task sent its own, that number times the tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +43,8 @@ _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _BLANK | _BREAK
 SLICE_BYTES = 1 << 20
 HELD_KEYS = 1 << 21  # a task counts and sends its phrases when it holds so many occurrences
-HELD_PHRASES = 1 << 20  # and, with their words, so many phrases
+SHARES = 1 << 12  # of the documents; those of one share send a phrase's words
+PROBES = 3  # bits that a phrase's share sets
 BUCKET_BITS = 15  # bits that one value of bitmap_construct_agg holds
 
 
@@ -87,11 +92,26 @@ class Filter:
         return out
 
 
+def distinct(keys: np.ndarray, marks: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair of key and mark once, with its number and its least share."""
+    order = np.argsort(keys)
+    if ((keys[order[1:]] == keys[order[:-1]]) & (marks[order[1:]] != marks[order[:-1]])).any():
+        order = np.lexsort((marks, keys))
+    heads = runs(keys[order], marks[order])
+    least = np.minimum.reduceat(shares[order], heads) if len(heads) else shares
+    return keys[order[heads]], marks[order[heads]], np.diff(np.append(heads, len(order))), least
+
+
+def spot(keys: np.ndarray, shares: np.ndarray, probe: int) -> np.ndarray:
+    """Where a filter of phrases with their shares has one of its bits."""
+    return mix(keys + (shares.astype(U64) * U64(PROBES) + U64(probe + 1)) * U64(0xD6E8FEB86659FD93))
+
+
 class Grams:
     """Words of a slice, and the hashes of its phrases by number of words.
 
-    A hash depends on the language and the words alone; its two lowest bits are the
-    number of words less one."""
+    A hash depends on the language and the words alone.  Of a key, the two lowest
+    bits are the number of words less one; a mark is made of other hashes of the words."""
 
     def __init__(self, part: pa.RecordBatch, hasher: Hasher):
         texts = Texts(part.column("text"), lower=True)
@@ -102,8 +122,9 @@ class Grams:
         self.piece = breaks[self.starts] if len(self.starts) else breaks[:0]
         self.langs = ["und" if x is None else x for x in part.column("lang").to_pylist()]
         salt = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in set(self.langs)}
-        lang = np.array([salt[x] for x in self.langs], dtype=U64)
-        self.word = mix(hasher.words(texts.data, self.starts, self.ends) ^ lang[self.row])
+        self.lang = np.array([salt[x] for x in self.langs], dtype=U64)
+        self.data, self.other = texts.data, None
+        self.word = mix(hasher.words(texts.data, self.starts, self.ends) ^ self.lang[self.row])
 
     def of(self, n_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(k, first words, hashes) for k = 1 to ``n_words``; phrases do not leave a piece."""
@@ -118,71 +139,51 @@ class Grams:
             at, h = at[ok], mix(h[ok] * U64(0x9FB21C651E98DF25) + self.word[last[ok]] + U64(k))
             yield k, at, (h & ~U64(3)) | U64(k - 1)
 
+    def marks(self, at: np.ndarray, k: int, hasher: Hasher) -> np.ndarray:
+        """Marks of the phrases of ``k`` words from the words ``at``; ``hasher`` has another
+        base than that of the keys."""
+        if self.other is None and len(at):
+            self.other = mix(hasher.words(self.data, self.starts, self.ends) ^ self.lang[self.row])
+        h = np.full(len(at), k, dtype=U64)
+        for i in range(k if len(at) else 0):
+            h = h * U64(0xC2B2AE3D27D4EB4F) + self.other[at + i]
+        return (mix(h) >> U64(32)).astype(np.uint32).view(np.int32)
+
     def phrase(self, i: int, k: int) -> bytes:
         return b" ".join([self.raw[a:b] for a, b in zip(self.starts[i : i + k].tolist(), self.ends[i : i + k].tolist())])
 
 
-class Held:
-    """A task's phrases so far, by hash: their counts, and their words once."""
-
-    def __init__(self) -> None:
-        self.keys, self.n, self.name = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.phrases: list[bytes] = []
-        self.langs: list[str] = []
-        self.totals: Counter[str] = Counter()
-
-    def add(self, grams: Grams, at: np.ndarray, hashes: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        heads = runs(hashes[order])
-        keys, first, n = hashes[order[heads]], at[order[heads]], np.diff(np.append(heads, len(order)))
-        place = np.searchsorted(self.keys, keys)
-        old = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.keys)
-        old[inside] = self.keys[place[inside]] == keys[inside]
-        self.n[place[old]] += n[old]
-        new, begun = ~old, len(self.phrases)
-        for i, k in zip(first[new].tolist(), (keys[new] & U64(3)).tolist()):
-            self.phrases.append(grams.phrase(i, k + 1))
-            self.langs.append(grams.langs[grams.row[i]])
-        merged = np.concatenate([self.keys, keys[new]])
-        order = np.argsort(merged, kind="stable")
-        self.keys, self.n = merged[order], np.concatenate([self.n, n[new]])[order]
-        self.name = np.concatenate([self.name, np.arange(begun, len(self.phrases))])[order]
-
-    def words(self, grams: Grams, rows: int) -> None:
-        for lang, n in zip(grams.langs, np.bincount(grams.row, minlength=rows).tolist()):
-            self.totals[lang] += n
-
-    def batch(self) -> pa.RecordBatch:
-        n, sizes = np.zeros(len(self.phrases), dtype=np.int64), np.zeros(len(self.phrases), dtype=np.int64)
-        n[self.name], sizes[self.name] = self.n, (self.keys & U64(3)).astype(np.int64) + 1
-        langs, phrases = self.langs + list(self.totals), self.phrases + [None] * len(self.totals)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(sizes.tolist() + [0] * len(self.totals), pa.int32()),
-             pa.array(n.tolist() + list(self.totals.values()), pa.int64())], names=["lang", "phrase", "n_words", "f"],
-        )
-
-
-def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int, rules: PhraseRules) -> DataFrame:
-    """(key, n): the phrases whose parts of one word less are in ``now``, without those
-    that ``before`` has already counted, that occur at least ``bar`` times in all of ``docs``;
-    a written table."""
+def dealt(docs: DataFrame) -> DataFrame:
+    """Texts, languages, and the share of every document."""
+    return docs.select("text", "lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARES)).cast("smallint").alias("share"))
+
+
+def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int, rules: PhraseRules, marked: bool = True) -> DataFrame:
+    """(key, mark, n, share): the phrases whose parts of one word less are in ``now``, without
+    those that ``before`` has already counted, that occur at least ``bar`` times in all of
+    ``docs``, with the least share of a document that holds them; a written table.
+
+    Not ``marked``, marks and shares are 0 and phrases of one key are one."""
     sent = docs.sparkSession.sparkContext.broadcast((now, before))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (now, before), hasher = sent.value, Hasher()
+        (now, before), hasher, other = sent.value, Hasher(), Hasher(1)
 
         def parts_in(inside: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
             # both parts begin where a phrase of one word less begins: at this word and the next
             return inside[place[at]] & inside[place[at + 1]]
 
-        def counted(chosen: list[np.ndarray]) -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(chosen) if chosen else np.zeros(0, dtype=U64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+        def counted(chosen: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            none = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int16)
+            keys, marks, n, shares = distinct(*map(np.concatenate, zip(none, *chosen)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), pa.array(marks), pa.array(n.astype(np.int64)), pa.array(shares)], names=["key", "mark", "n", "share"],
+            )
 
-        chosen: list[np.ndarray] = []
+        chosen: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for part in slices(batches, "text", SLICE_BYTES):
-            grams = Grams(part, hasher)
+            grams, share = Grams(part, hasher), part.column("share").to_numpy()
             place = inside = seen = np.zeros(0, dtype=np.int64)
             for k, at, keys in grams.of(rules.max_words):
                 if k == 1:
@@ -191,17 +192,22 @@ def border_counts(docs: DataFrame, now: Filter, before: Filter | None, bar: int,
                     pick = parts_in(inside, at, place)
                     if before is not None:
                         pick &= ~parts_in(seen, at, place)
-                chosen.append(keys[pick])
+                picked = at[pick]
+                if marked:
+                    chosen.append((keys[pick], grams.marks(picked, k, other), share[grams.row[picked]]))
+                else:
+                    chosen.append((keys[pick], np.zeros(len(picked), dtype=np.int32), np.zeros(len(picked), dtype=np.int16)))
+                held += len(picked)
                 place = np.zeros(len(grams.word) + 1, dtype=np.int64)
                 place[at] = np.arange(len(at))
                 inside = now.has(keys)
                 seen = before.has(keys) if before is not None else inside
-            if sum(map(len, chosen)) > HELD_KEYS:
+            if held > HELD_KEYS:
                 yield counted(chosen)
-                chosen = []
+                chosen, held = [], 0
         yield counted(chosen)
 
-    counts = docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = dealt(docs).mapInArrow(run, "key bigint, mark int, n bigint, share smallint").groupBy("key", "mark").agg(F.sum("n").alias("n"), F.min("share").alias("share"))
     written = materialize(counts.filter(F.col("n") >= bar), "phrases")
     sent.destroy()
     return written
@@ -213,13 +219,13 @@ def propose(docs: DataFrame, rules: PhraseRules) -> Filter:
     sample, bar = docs.filter(own), max(1, int(rules.min_count / rules.sample_one_in * rules.lowered))
     done, now = None, Filter(rules.filter_bits)
     for _ in range(rules.max_words - 1):
-        done, now = now, now.joined(border_counts(sample, now, done, bar, rules))
+        done, now = now, now.joined(border_counts(sample, now, done, bar, rules, marked=False))
     return now
 
 
 def frequent_keys(docs: DataFrame, rules: PhraseRules) -> tuple[DataFrame, int]:
-    """Keys of all phrases that occur ``min_count`` times (and of some more, where hashes
-    collide), as a written table, and the number of passes over all documents."""
+    """All phrases that occur ``min_count`` times as ``border_counts`` has them, and the
+    number of passes over all documents."""
     before, now, passes, found = None, propose(docs, rules), 0, None
     while True:
         counted = border_counts(docs, now, before, rules.min_count, rules)
@@ -241,6 +247,48 @@ def frequent_keys(docs: DataFrame, rules: PhraseRules) -> tuple[DataFrame, int]:
         before, now = now, wider
 
 
+def named(docs: DataFrame, found: DataFrame, rules: PhraseRules) -> DataFrame:
+    """(key, mark, lang, phrase, n): the words of every phrase of ``found``, from the documents
+    of its share (and of some more phrases, where filter bits collide); and without a
+    phrase, numbers of words of the languages.  A written table."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, shares = b.column("key").to_numpy().view(U64), b.column("share").to_numpy()
+            for probe in range(PROBES):
+                yield pa.RecordBatch.from_arrays([pa.array(spot(keys, shares, probe).view(np.int64))], names=["key"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(Filter(rules.filter_bits).joined(found.select("key", "share").mapInArrow(places, "key bigint")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, hasher, other = sent.value, Hasher(), Hasher(1)
+        for part in slices(batches, "text", SLICE_BYTES):
+            grams, share = Grams(part, hasher), part.column("share").to_numpy()
+            ids, langs, phrases = [], [], []
+            for k, at, keys in grams.of(rules.max_words):
+                for probe in range(PROBES):
+                    pick = asked.has(spot(keys, share[grams.row[at]], probe))
+                    at, keys = at[pick], keys[pick]
+                marks = grams.marks(at, k, other)
+                first = dict(zip(zip(keys.view(np.int64).tolist(), marks.tolist()), at.tolist()))
+                ids += first
+                langs += [grams.langs[grams.row[i]] for i in first.values()]
+                phrases += [grams.phrase(i, k) for i in first.values()]
+            totals: dict[str, int] = {}
+            for lang, n in zip(grams.langs, np.bincount(grams.row, minlength=part.num_rows).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+            none = [None] * len(totals)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([key for key, _ in ids] + none, pa.int64()), pa.array([mark for _, mark in ids] + none, pa.int32()),
+                pa.array(langs + list(totals), pa.string()), pa.array(phrases + none, pa.binary()).cast(pa.string()),
+                pa.array([None] * len(ids) + list(totals.values()), pa.int64()),
+            ], names=["key", "mark", "lang", "phrase", "n"])
+
+    written = materialize(dealt(docs).mapInArrow(run, "key bigint, mark int, lang string, phrase string, n bigint"), "phrases")
+    sent.destroy()
+    return written
+
+
 def phrase_counts(df: DataFrame, rules: PhraseRules = PhraseRules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, n_words, f): every phrase of 1 to ``max_words`` words that occurs at
     least ``min_count`` times in its language, with its exact count; and for each
@@ -256,25 +304,14 @@ def phrase_counts(df: DataFrame, rules: PhraseRules = PhraseRules(), doc_id: str
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"),
     )
-    keys, _ = frequent_keys(docs, rules)
-    sent = docs.sparkSession.sparkContext.broadcast(Filter(rules.filter_bits).joined(keys.select("key")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hasher, held = sent.value, Hasher(), Held()
-        for part in slices(batches, "text", SLICE_BYTES):
-            grams = Grams(part, hasher)
-            found = [(at[pick], h[pick]) for _, at, h in grams.of(rules.max_words) for pick in [frequent.has(h)]]
-            held.add(grams, np.concatenate([at for at, _ in found]), np.concatenate([h for _, h in found]))
-            held.words(grams, part.num_rows)
-            if len(held.phrases) > HELD_PHRASES:
-                yield held.batch()
-                held = Held()
-        yield held.batch()
-
-    exact = docs.mapInArrow(run, "lang string, phrase string, n_words int, f bigint").groupBy("lang", "phrase", "n_words").agg(F.sum("f").alias("f"))
-    written = materialize(exact.filter((F.col("f") >= rules.min_count) | (F.col("phrase").isNull() & (F.col("f") > 0))), "phrases")
-    sent.destroy()
-    return written
+    found, _ = frequent_keys(docs, rules)
+    names = named(docs, found, rules)
+    words = names.filter("phrase is not null").groupBy("key", "mark").agg(F.min(F.struct("lang", "phrase")).alias("of"))
+    exact = found.join(words, ["key", "mark"]).select(
+        "of.lang", "of.phrase", (F.col("key").bitwiseAND(F.lit(3)) + 1).cast("int").alias("n_words"), F.col("n").alias("f"),
+    )
+    totals = names.filter("phrase is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter("f > 0")
+    return materialize(exact.unionByName(totals.withColumn("n_words", F.lit(0))), "phrases")
 
 
 def collocations(counts: DataFrame, rules: PhraseRules = PhraseRules()) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from risklens.llm import phrases
 from risklens.llm.phrases import Filter, PhraseRules, collocations, frequent_keys, phrase_counts
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -119,3 +120,49 @@ def test_filter_holds_what_it_was_given(spark):
     filled = Filter(20).joined(spark.createDataFrame([(int(k),) for k in keys] + [(0,), (-1,)], "key bigint"))
     assert filled.has(keys.view(np.uint64)).all() and filled.has(np.array([0, 2**64 - 1], dtype=np.uint64)).all()
     assert np.bitwise_count(filled.bytes).sum() <= 502
+
+
+def test_words_of_a_phrase_are_sent_about_once(spark, monkeypatch):
+    # 40 tasks each hold nearly every frequent phrase: once from each task would be 40 times the phrases
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{rng.randint(0, 11)}" for _ in range(60)), "en") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(40)
+    sent, plain = spark.sparkContext.accumulator(0), type(docs).mapInArrow
+
+    def counting(df, run, schema, *rest):
+        def counted(batches):
+            for b in run(batches):
+                sent.add(b.num_rows if "phrase string" in schema else 0)
+                yield b
+
+        return plain(df, counted, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counting)
+    f, totals = as_dict(phrase_counts(docs))
+    assert (f, totals) == plain_counts([r[1:] for r in rows], 30) and len(f) > 1500
+    assert sent.value < 4 * len(f)
+
+
+def test_phrases_of_one_key_are_counted_apart():
+    import numpy as np
+
+    keys, marks, shares = np.array([9, 4, 9, 9, 4, 9], dtype=np.uint64), np.array([1, 5, -2, 1, 5, -2], dtype=np.int32), np.array([7, 3, 2, 6, 8, 4], dtype=np.int16)
+    got = [x.tolist() for x in phrases.distinct(keys, marks, shares)]
+    assert got == [[4, 9, 9], [5, -2, 1], [2, 2, 2], [3, 2, 6]]
+    none = phrases.distinct(keys[:0], marks[:0], shares[:0])
+    assert [len(x) for x in none] == [0, 0, 0, 0]
+
+
+def test_marks_are_of_the_words_and_not_of_the_key():
+    import numpy as np
+    import pyarrow as pa
+
+    from risklens.llm.textvec import Hasher
+
+    texts, langs = ["new York city", "x  new york", "york new", "new york"], ["en", "en", "en", "fr"]
+    grams = phrases.Grams(pa.RecordBatch.from_pydict({"text": texts, "lang": langs}), Hasher())
+    at = np.array([0, 4, 6, 8])
+    marks = grams.marks(at, 2, Hasher(1)).tolist()
+    assert marks[0] == marks[1] and len(set(marks)) == 3
+    grams.word[:] = 0  # every key of two words is one
+    assert len({int(h[0]) for k, _, h in grams.of(2) if k == 2}) == 1 and grams.marks(at, 2, Hasher(1)).tolist() == marks
