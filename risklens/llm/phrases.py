@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from risklens.llm.records import runs
-from risklens.llm.textvec import U64, Hasher, Texts, mix, slices
+from risklens.llm.textvec import U64, Hasher, Texts, mix, ranges, slices
 from risklens.session import materialize
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -42,7 +42,7 @@ _BREAK = np.zeros(256, dtype=bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAPS = _BLANK | _BREAK
 SLICE_BYTES = 1 << 20
-HELD_KEYS = 1 << 21  # a task counts and sends its phrases when it holds so many occurrences
+HELD_KEYS = 1 << 20  # a task counts and sends its phrases when it holds so many occurrences
 SHARES = 1 << 12  # of the documents; those of one share send a phrase's words
 PROBES = 3  # bits that a phrase's share sets
 BUCKET_BITS = 15  # bits that one value of bitmap_construct_agg holds
@@ -139,14 +139,20 @@ class Grams:
             at, h = at[ok], mix(h[ok] * U64(0x9FB21C651E98DF25) + self.word[last[ok]] + U64(k))
             yield k, at, (h & ~U64(3)) | U64(k - 1)
 
+    def _others(self, at: np.ndarray, hasher: Hasher) -> np.ndarray:
+        # of a few words: their bytes alone are hashed, not those of the slice
+        sizes = self.ends[at] - self.starts[at]
+        ends = np.cumsum(sizes)
+        return mix(hasher.words(self.data[ranges(self.starts[at], sizes)], ends - sizes, ends) ^ self.lang[self.row[at]])
+
     def marks(self, at: np.ndarray, k: int, hasher: Hasher) -> np.ndarray:
         """Marks of the phrases of ``k`` words from the words ``at``; ``hasher`` has another
         base than that of the keys."""
-        if self.other is None and len(at):
-            self.other = mix(hasher.words(self.data, self.starts, self.ends) ^ self.lang[self.row])
         h = np.full(len(at), k, dtype=U64)
+        if self.other is None and k * len(at) > len(self.word) // 4:
+            self.other = mix(hasher.words(self.data, self.starts, self.ends) ^ self.lang[self.row])
         for i in range(k if len(at) else 0):
-            h = h * U64(0xC2B2AE3D27D4EB4F) + self.other[at + i]
+            h = h * U64(0xC2B2AE3D27D4EB4F) + (self._others(at + i, hasher) if self.other is None else self.other[at + i])
         return (mix(h) >> U64(32)).astype(np.uint32).view(np.int32)
 
     def phrase(self, i: int, k: int) -> bytes:
