@@ -1,10 +1,15 @@
+import os
 import random
+import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from risklens.operators import graph, imports, tree
 from risklens.operators.imports import build_edges, import_candidates
 from risklens.operators.units import extract_imports
+from risklens.session import TIDY, materialize
 
 REPO = {
     "main.py": "import os\nimport helper\nfrom app.utils.db import connect\n\ndef main():\n    helper.greet()\n",
@@ -167,6 +172,71 @@ def test_dependencies_equal_a_queue_walk(spark, depth):
     )
 
 
+def _per_level(found):
+    return found.groupBy("root", "level").agg(F.count(F.lit(1)).alias("files"), F.sum(F.crc32("dst")).alias("sum"))
+
+
+def _odd_edges(spark):
+    """Two projects with the same names, repeated imports, cycles, null sources, targets and projects."""
+    edges, _ = _random_graph(spark, 60, 11)
+    rows = [tuple(r) for r in edges.collect()]
+    rows += [("q", *r[1:]) for r in rows[::3]] + rows[::4] + [("p", "f1", "f1", 9, 0)]
+    rows += [("p", src, dst, 9, 1) for src in ("f1", "f2", None) for dst in ("f3", None)]
+    rows += [("p", "f4", None, 9, 2), (None, "f1", "f5", 9, 3), ("p", "f5", "f1", 9, 4), ("p", "f1", "f2", 9, 5)]
+    return spark.createDataFrame(rows, edges.schema)
+
+
+@pytest.mark.parametrize("depth, longest", [(0, 1 << 18), (1, 3), (2, 1 << 18), (2, 20), (3, 100)])
+def test_lists_of_imports_give_the_rows_of_single_pairs(spark, monkeypatch, depth, longest):
+    """Whatever the number of walks from which a root goes row by row, and in batches."""
+    edges = _odd_edges(spark)
+    roots = edges.select("project_name", F.col("src").alias("root"))
+    more = spark.createDataFrame([("p", "gone"), (None, "f1"), ("r", "f1")], roots.schema)
+    roots = roots.unionByName(more)
+    rows = graph._dependencies_by_rows(edges, roots, depth, False)
+    want, folded = Counter(rows.collect()), Counter(_per_level(rows).collect())
+    assert depth == 0 or any(r.dst is None for r in want)
+    monkeypatch.setattr(graph, "LONG_ROOT", longest)
+    monkeypatch.setattr(graph, "BATCH_WALKS", 600)
+    found = graph.dependencies(edges, roots, depth, order=False)
+    assert found.columns == rows.columns and Counter(found.collect()) == want
+    assert Counter(graph.dependencies(edges, roots, depth, order=False, fold=_per_level).collect()) == folded
+
+
+def test_pairs_on_disk_are_those_of_a_batch(spark, monkeypatch):
+    """Walks are taken in batches of about as many as there are edges."""
+    n, fan = 200, 5
+    rows = [("p", f"f{i}", f"f{(i * 31 + j * j * 7 + j) % n}", j, 0) for i in range(n) for j in range(fan)]
+    edges = spark.createDataFrame(rows, "project_name string, src string, dst string, stmt_seq bigint, pos bigint")
+    roots = edges.select("project_name", F.col("src").alias("root"))
+    monkeypatch.setattr(graph, "BATCH_WALKS", 1)
+    seen = []
+
+    def fold(found):
+        seen.append(found.select("root").distinct().count())
+        return _per_level(found)
+
+    rows = _per_level(graph._dependencies_by_rows(edges, roots, 2, False)).collect()
+    assert Counter(graph.dependencies(edges, roots, 2, order=False, fold=fold).collect()) == Counter(rows)
+    # walks of one and two steps are fan + fan^2 for a root, so there are fan + 1 batches
+    assert len(seen) == fan + 1 and sum(seen) == n and max(seen) < n / 2
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    folders = [f.getAbsolutePath() for f in blocks.diskBlockManager().localDirs()]
+    shuffles = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = shuffles()
+    df = spark.range(10_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(r["count"] for r in materialize(df).collect())[0] == 1428
+    for _ in range(100):  # they are removed by another thread
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(TIDY, None) in (None, "false")
+
+
 def _walk_tree(out, root, limit):
     lines, opened = [root], set()
 
